@@ -28,25 +28,28 @@ from . import pfor
 from .common import prepare, scratch
 
 PAGE_IDS, PAGE_DOCS = 1 << 16, 4096
-#: Distinct strings that a worker remembers; the memory is emptied beyond that, which changes speed only.
-MEMO = 600_000
+#: Distinct pieces that a worker remembers; the memory is emptied beyond that, which changes speed only.
+MEMO = 1_000_000
 #: Characters of text that are split into words at a time.
 SLICE = 1 << 21
 
 PAGES = "shard int, page int, start long, n_ids long, doc_ids array<long>, doc_lens array<int>, body binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, page int"
 
-# White space ends a word for this kind of tokenizer, and so do the piece borders below; over these characters it
-# neither composes nor changes anything but letter case. All other words go to the library as they are.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿŒœ]+")
-_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[^0-9a-zß-öø-ÿœ]+")
+# In texts of these characters alone, the tokenizer changes nothing but letter case, and splits into these pieces.
+_PLAIN = re.compile(r"[\t-\r !-~À-ÖØ-öø-ÿŒœ]*")
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[^\t-\r 0-9a-zß-öø-ÿœ]+")
+_BYTES = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+#: The printable character that stands for each byte in a byte-level vocabulary.
+_BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _BYTES)}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32 bytes, from a ``tokenizers`` file whose pre-tokenizer drops white space.
+    """Ids of texts as little-endian uint32 bytes, from a ``tokenizers`` file of byte-level word pieces.
 
-    Each distinct word is encoded once by the library and remembered. ``exact`` texts (with a special token's
-    marker) are encoded whole.
+    Plain texts are split into the pieces that the pre-tokenizer makes; the library's model encodes each distinct
+    piece once, which is remembered. Other texts, and those that may hold a special token's marker, go to the library
+    as they are.
     """
 
     def __init__(self, path: str):
@@ -56,49 +59,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = None
+        size = self.tk.get_vocab_size()
+        self.last = np.zeros(size, bool)  # tokens that end a piece
+        self.last[[k for w, k in self.tk.get_vocab().items() if w.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, strings: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tk.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > MEMO:
-            self.words.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        odd: list[bytes] = []
-        split: list[tuple[bytes, list[str]]] = []
-        new: set[str] = set()
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(s):
-                found = _PIECE.findall(s.lower())
-                split.append((w, found))
-                new.update(filterfalse(self.pieces.__contains__, found))
-            else:
-                odd.append(w)
-        fresh = list(new)
-        self.pieces.update(zip(fresh, self._library(fresh), strict=True))
-        self.words.update(zip(odd, self._library([w.decode("utf-8", "replace") for w in odd]), strict=True))
-        get = self.pieces.__getitem__
-        for w, found in split:
-            self.words[w] = b"".join(map(get, found))
+    def _learn(self, new: list[str]) -> None:
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in new]
+        ids = np.asarray(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary doesn't mark the ends of pieces")
+        raw = ids.tobytes()
+        self.pieces.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in x else x.encode("utf-8", "replace").split() for x in texts]
-        missing: set[bytes] = set()
-        known = self.words.__contains__
-        for words in split:
-            if words:
-                missing.update(filterfalse(known, words))
+        split = [None if "<|" in x or not _PLAIN.fullmatch(x) else _PIECE.findall(x.lower()) for x in texts]
+        missing: set[str] = set()
+        known = self.pieces.__contains__
+        for pieces in split:
+            if pieces:
+                missing.update(filterfalse(known, pieces))
         if missing:
-            if len(self.words) + len(missing) > MEMO:  # then none that is needed here may be forgotten
-                missing = {w for words in split if words for w in words}
-            self._learn(missing)
-        get = self.words.__getitem__
-        whole = iter(self._library([x for x, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+            if len(self.pieces) + len(missing) > MEMO:
+                self.pieces.clear()
+                missing = {w for pieces in split if pieces for w in pieces}
+            self._learn(list(missing))
+        get = self.pieces.__getitem__
+        whole = iter(self._library([x for x, pieces in zip(texts, split, strict=True) if pieces is None]))
+        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
