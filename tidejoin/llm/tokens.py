@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +80,20 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if "<|" in x or not _PLAIN.fullmatch(x) else _PIECE.findall(x.lower()) for x in texts]
-        missing: set[str] = set()
-        known = self.pieces.__contains__
-        for pieces in split:
-            if pieces:
-                missing.update(filterfalse(known, pieces))
-        if missing:
-            if len(self.pieces) + len(missing) > MEMO:
+        get = self.pieces.get
+        found = [None if pieces is None else list(map(get, pieces)) for pieces in split]
+        open_ = [[k for k, v in enumerate(ids) if v is None] if ids and None in ids else () for ids in found]
+        new = {pieces[k] for pieces, at in zip(split, open_, strict=True) for k in at}
+        if new:
+            if len(self.pieces) + len(new) > MEMO:
                 self.pieces.clear()
-                missing = {w for pieces in split if pieces for w in pieces}
-            self._learn(list(missing))
-        get = self.pieces.__getitem__
+            self._learn(list(new))
+            known = self.pieces
+            for pieces, ids, at in zip(split, found, open_, strict=True):
+                for k in at:
+                    ids[k] = known[pieces[k]]
         whole = iter(self._library([x for x, pieces in zip(texts, split, strict=True) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in split]
+        return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
 
 _encoders: dict[str, WordEncoder] = {}
