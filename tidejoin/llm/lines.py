@@ -49,6 +49,7 @@ def remove_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     lines = docs.select(key.alias("key"), F.explode(F.array_distinct(F.transform(split_lines(F.col("text")), line_hash))).alias("line"))
     hits, _ = cut(lines.join(found, "line", "left_semi").distinct().groupBy("key").agg(F.collect_list("line").alias("hits")), "hits")
-    body = docs.select(key.alias("key"), F.col("doc_id").cast("long"), split_lines(F.col("text")).alias("lines")).join(hits, "key", "left")
+    # The hits grow with the input, so the plan that shuffles both sides is taken at every size.
+    body = docs.select(key.alias("key"), F.col("doc_id").cast("long"), "text").join(hits.hint("merge"), "key", "left").withColumn("lines", split_lines(F.col("text")))
     kept = body.select("doc_id", "lines", F.when(F.col("hits").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("hits", line_hash(x)))).alias("kept"))
     return kept.select("doc_id", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_removed"), F.array_join("kept", "\n").alias("kept_text"))
