@@ -25,8 +25,9 @@ from .common import cut, prepare
 from .components import components
 
 SEED = 42
-#: Fingerprints in a tile, in a sub-tile.
-TILE, SUB = 4096, 256
+#: A table makes about TILES tiles, of at least MIN_TILE and at most MAX_TILE fingerprints, compared in sub-tiles of
+#: SUB. What tile pairs shuffle is TILES times the fingerprints until tiles reach MAX_TILE, which bounds a task's memory.
+TILES, MIN_TILE, MAX_TILE, SUB = 16, 4096, 1 << 17, 256
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
@@ -154,48 +155,65 @@ def links_of_tiles(x: np.ndarray, y: np.ndarray | None, radius: int, screen: int
     return root[node], node
 
 
-def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_rows(size: int):
     """Sorted (doc_id, fp) rows of a partition to tiles: part, number, ids and fingerprints, ranges of the counts."""
-    from pyspark import TaskContext
-
-    part, number = TaskContext.get().partitionId(), 0
-    ids: list[np.ndarray] = []
-    fps: list[np.ndarray] = []
-    held = 0
-
-    def close(ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        nonlocal number
-        q = _quarters(fp[:, 0])
-        row = [[(part << 32) + number], [ids.astype("<i8").tobytes()], [fp.astype("<u8").tobytes()], [q.min(axis=0).tolist()], [q.max(axis=0).tolist()]]
-        number += 1
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["tile", "ids", "fps", "lo", "hi"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids.append(b.column(0).to_numpy(zero_copy_only=False))
-        fps.append(b.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1))
-        held += b.num_rows
-        while held >= TILE:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
+        fps: list[np.ndarray] = []
+        held = 0
+
+        def close(ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            q = _quarters(fp[:, 0])
+            row = [[(part << 32) + number], [ids.astype("<i8").tobytes()], [fp.astype("<u8").tobytes()], [q.min(axis=0).tolist()], [q.max(axis=0).tolist()]]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["tile", "ids", "fps", "lo", "hi"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids.append(b.column(0).to_numpy(zero_copy_only=False))
+            fps.append(b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(b.num_rows, -1))
+            held += b.num_rows
+            if held >= 2 * size:
+                i, f = np.concatenate(ids), np.concatenate(fps)
+                yield close(i[:size], f[:size])
+                ids, fps, held = [i[size:]], [f[size:]], held - size
+        if held:  # a rest of up to two tiles is one or two of its own
             i, f = np.concatenate(ids), np.concatenate(fps)
-            yield close(i[:TILE], f[:TILE])
-            ids, fps, held = [i[TILE:]], [f[TILE:]], held - TILE
-    if held:
-        yield close(np.concatenate(ids), np.concatenate(fps))
+            half = held if held <= 1.2 * size else -(-held // 2)
+            yield close(i[:half], f[:half])
+            if half < held:
+                yield close(i[half:], f[half:])
+
+    return run
 
 
 def _compare(words: int, radius: int, screen: int):
+    """Rows (tile, other, ids, fps), two for each pair of tiles, one if tile and other are the same, to links."""
+
+    def of(x: np.ndarray, y: np.ndarray | None, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = links_of_tiles(x, y, radius, screen)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
         for batch in batches:
-            for i1, f1, i2, f2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                x = np.frombuffer(f1, "<u8").reshape(-1, words)
-                ids = np.frombuffer(i1, "<i8")
-                y = None
-                if i2 is not None:
-                    y, ids = np.frombuffer(f2, "<u8").reshape(-1, words), np.concatenate([ids, np.frombuffer(i2, "<i8")])
-                a, b = links_of_tiles(x, y, radius, screen)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
+            for k in range(batch.num_rows):
+                tile, other, i, f = (batch.column(c)[k].as_py() for c in range(4))
+                x, ids = np.frombuffer(f, "<u8").reshape(-1, words), np.frombuffer(i, "<i8")
+                if tile == other:
+                    yield from of(x, None, ids)
+                elif first is None:
+                    first = x, ids
+                else:
+                    yield from of(first[0], x, np.concatenate([first[1], ids]))
+                    first = None
 
     return run
 
@@ -204,23 +222,25 @@ def links(distinct: DataFrame, words: int, radius: int, screen: int | None = Non
     """distinct (doc_id, fp), each fp once, to spanning links (u, v) of all pairs within ``radius`` differing bits."""
     spark = distinct.sparkSession
     screen = radius if screen is None else screen
+    size = min(MAX_TILE, max(MIN_TILE, -(-distinct.count() // TILES)))
     first = F.col("fp")[0]
     quarter = [F.bit_count(F.shiftrightunsigned(first, 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"q{k}") for k in range(4)]
-    ordered = distinct.select("doc_id", "fp", *quarter).repartitionByRange("q0", "q1", "q2", "q3", "doc_id").sortWithinPartitions("q0", "q1", "q2", "q3", "doc_id")
-    tiles, _ = cut(ordered.select("doc_id", "fp").mapInArrow(_tile_rows, "tile long, ids binary, fps binary, lo array<int>, hi array<int>"), "tiles")
+    order = ["q0", "q1", "q2", "q3", "doc_id"]
+    ordered = distinct.select("doc_id", "fp", *quarter).repartitionByRange(*order).coalesce(max(1, -(-distinct.count() // size))).sortWithinPartitions(*order)
+    tiles, _ = cut(ordered.select("doc_id", "fp").mapInArrow(_tile_rows(size), "tile long, ids binary, fps binary, lo array<int>, hi array<int>"), "tiles")
     # Tile numbers and ranges only: a tile meets the strips of count that its first quarter's range, widened by the
-    # radius, touches. Pairs are dealt out before the tiles' contents join them.
+    # radius, touches.
     heads = tiles.select("tile", "lo", "hi")
     home = heads.select("tile", "lo", "hi", F.explode(F.sequence(F.col("lo")[0], F.col("hi")[0])).alias("strip"))
     reach = heads.select(F.col("tile").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("lo")[0] - screen), F.least(F.lit(16), F.col("hi")[0] + screen))).alias("strip"))
     gap = sum((F.greatest(F.lit(0), F.col("lo")[k] - F.col("hi2")[k], F.col("lo2")[k] - F.col("hi")[k]) for k in range(4)), F.lit(0))
     pairs = home.join(reach, "strip").where((F.col("tile") <= F.col("other")) & (gap <= screen)).select("tile", "other").distinct()
-    one = tiles.select("tile", "ids", "fps")
-    two = tiles.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("fps").alias("fps2"))
-    same = F.col("tile") == F.col("other")
-    full = pairs.join(one, "tile").join(two, "other").select("ids", "fps", F.when(~same, F.col("ids2")).alias("ids2"), F.when(~same, F.col("fps2")).alias("fps2"))
+    # A tile's contents go once to each of its pairs.
+    of = tiles.select(F.col("tile").alias("of"), "ids", "fps")
+    ends = pairs.select("tile", "other", F.col("tile").alias("of")).union(pairs.where("tile != other").select("tile", "other", F.col("other").alias("of")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return full.repartition(4 * n).mapInArrow(_compare(words, radius, screen), "u long, v long")
+    dealt = ends.join(of, "of").repartition(4 * n, "tile", "other").sortWithinPartitions("tile", "other", "of")
+    return dealt.select("tile", "other", "ids", "fps").mapInArrow(_compare(words, radius, screen), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: int = 4, screen: int | None = None) -> DataFrame:
