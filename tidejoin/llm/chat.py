@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, keep, prepare
 
 OPEN, TEXT, CLOSE = "<turn>", "<text>", "</turn>"
 LEARNED_ROLES = ("assistant",)
@@ -81,20 +81,15 @@ def mask_spans(token_starts: np.ndarray, token_ends: np.ndarray, spans: list[tup
     return np.stack([a, b], axis=1).astype(np.int32), chars.astype(np.int32)
 
 
-_tokenizers: dict[str, object] = {}
+def _load(path: str):
+    import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import AddedToken, Tokenizer
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer
-
-        tk = Tokenizer.from_file(path)
-        tk.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (OPEN, TEXT, CLOSE)])
-        _tokenizers[path] = tk
-    return _tokenizers[path]
+    tk = Tokenizer.from_file(path)
+    tk.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (OPEN, TEXT, CLOSE)])
+    return tk
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -105,7 +100,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _format(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk = _tokenizer(path)
+        tk = keep(("chat", path), lambda: _load(path))
         turns: list[tuple[str, str]] = []
         size, part, conv, begun = 0, 0, None, False
 

@@ -6,15 +6,20 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Rows in one Arrow batch. Texts may be long, so the default of 10,000 rows would not bound a worker's memory.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, "16m"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_kept: dict[object, object] = {}
 _shipped: dict[str, str] = {}
 _own_dir: dict[str, str] = {}
 
@@ -26,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and make this package importable on executors that don't have it installed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -79,3 +85,11 @@ def text_bytes(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def keep(key: object, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task: one object at a time, so operators that follow each other don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]  # type: ignore[return-value]

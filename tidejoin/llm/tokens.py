@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor
-from .common import prepare, scratch
+from .common import keep, prepare, scratch
 
 PAGE_IDS, PAGE_DOCS = 1 << 16, 4096
 #: Distinct pieces that a worker remembers; the memory is emptied beyond that, which changes speed only.
-MEMO = 1_000_000
+MEMO = 900_000
 #: Characters of text that are split into words at a time.
 SLICE = 1 << 21
 
@@ -96,13 +96,8 @@ class WordEncoder:
         return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return keep(("tokens", path), lambda: WordEncoder(path))
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
