@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 T = TypeVar("T")
 
 #: Rows in one Arrow batch. Texts may be long, so the default of 10,000 rows would not bound a worker's memory.
-ARROW_ROWS, ARROW_BYTES = 512, "16m"
+ARROW_ROWS, ARROW_BYTES = 512, "4m"
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,5 +93,9 @@ def keep(key: object, make: Callable[[], T]) -> T:
     """What a worker keeps from task to task: one object at a time, so operators that follow each other don't add up."""
     if key not in _kept:
         _kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # gives freed memory back, where the C library can
+        if trim:
+            trim(0)
         _kept[key] = make()
     return _kept[key]  # type: ignore[return-value]

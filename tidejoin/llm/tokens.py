@@ -28,7 +28,7 @@ from .common import keep, prepare, scratch
 
 PAGE_IDS, PAGE_DOCS = 1 << 16, 4096
 #: Distinct pieces that a worker remembers; the memory is emptied beyond that, which changes speed only.
-MEMO = 900_000
+MEMO = 750_000
 #: Characters of text that are split into words at a time.
 SLICE = 1 << 21
 
