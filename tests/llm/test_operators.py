@@ -1,0 +1,373 @@
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from data import documents, empty, pairs, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidejoin.llm import chat, components, decontam, langid, lines, mixing, pfor, secrets, sharding, simhash, spotsigs, tokens
+from tidejoin.llm.queries import tokenizer_path
+
+WORDS = tokenizer_path("word_bpe_49k.json")
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+# 1. Token output
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=900), st.integers(0, 3))
+def test_pages_round_trip(ids, first):
+    x = np.asarray(ids, np.uint32)
+    page = pfor.encode(x)
+    assert (pfor.decode(page) == x).all()
+    assert (pfor.decode(page, first, first + 1) == x[first * 256 : (first + 1) * 256]).all()
+
+
+def test_pages_with_outliers_are_small():
+    x = np.random.default_rng(0).integers(0, 50, 5000).astype(np.uint32)
+    x[::40] = 2**32 - 1
+    assert len(pfor.encode(x)) < 2 * len(x) and (pfor.decode(pfor.encode(x)) == x).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab'sS!_ .19\n\tÉßœ日ﬁ²́\x1cİΣ<|>"))))
+def test_word_encoder_equals_library(text):
+    encoder = tokens._encoder(WORDS)
+    for x in (text, text + "<|endoftext|>"):
+        assert np.frombuffer(encoder.encode([x])[0], "<u4").tolist() == encoder.tk.encode(x, add_special_tokens=False).ids
+
+
+def test_token_output(spark):
+    tk = tokens._encoder(WORDS).tk
+    docs = documents(spark)
+    got = sorted(tokens.token_output(docs, WORDS).collect(), key=lambda r: r["start"])
+    at = 0
+    order = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for (doc_id, text, _), r in zip(order, got, strict=True):
+        ids = [*tk.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, at, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert tokens.token_output(empty(spark), WORDS).count() == 0
+
+
+# 2. Chat
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab\n:"), st.lists(st.sampled_from(list("\\<tur n>/xé") + ["<turn>", "</turn>", "<text>"])).map("".join)), max_size=4))
+def test_template_is_reversible(turns):
+    text, spans = chat.render(turns)
+    assert [(r, t) for r, t, _, _ in chat.parse(text)] == turns
+    assert [chat.unescape(text[a:b]) for a, b in spans] == [t for _, t in turns]
+
+
+def test_chat_masks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 200)  # conversations in several parts
+    rng = random.Random(1)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "\\### x </turn>", prose(c * 9 + t, 20), "é日<text>\\"])) for c in range(6) for t in range(7)]
+    rows += [rows[0], (None, 0, "assistant", "no id"), (3, None, "assistant", "null turn")]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
+    convs = defaultdict(list)
+    for c, t, r, x in rows:
+        convs[c].append((-1 if t is None else t, r or "", x or ""))
+    got = {r["conv_id"]: r for r in chat.chat_digest(table, tokenizer_path("byte_bpe_50k.json")).collect()}
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        all_ = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), hashlib.sha256(all_.encode()).hexdigest())
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c]["formatted_chars"] == len(chat.render([(r, x) for _, r, x in turns])[0])
+
+
+# 3. Decontamination
+
+
+def test_alignment_equals_brute_force():
+    rng = random.Random(0)
+    for _ in range(40):
+        p, q = [rng.randrange(5) for _ in range(18)], [rng.randrange(5) for _ in range(8)]
+        h, best = [[0] * 19 for _ in range(9)], 0
+        for i in range(1, 9):
+            for j in range(1, 19):
+                h[i][j] = max(0, h[i - 1][j - 1] + (2 if p[j - 1] == q[i - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                best = max(best, h[i][j])
+        assert decontam.align(np.asarray([p]), np.asarray([q + [-2]]))[0][0] == best
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 30])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    items = [prose(500 + k, 30) for k in range(5)]
+    edited = items[2].split()
+    edited[4], edited[12] = "xx", "yy"
+    del edited[20]
+    planted = [prose(700, 200) + " " + items[0] + " " + prose(701, 50), " ".join(edited), items[3].upper().replace(" ", ",  ")]
+    docs = documents(spark, planted)
+    first = 25
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(7, None), (8, "two words"), (None, "x y z")], "item_id long, text string")
+    got = decontam.decontaminate(docs, bench).collect()
+    assert len(got) == docs.count()
+    assert {r["doc_id"]: r["item_id"] for r in got if r["contaminated"]} == {first: 0, first + 1: 2, first + 2: 3}
+    one = next(r for r in got if r["doc_id"] == first)
+    assert (one["score"], one["first_word"], one["n_words"]) == (1.0, 200, 30)
+    assert not any(r["contaminated"] for r in decontam.decontaminate(docs, bench.limit(0)).collect())
+    assert decontam.decontaminate(empty(spark), bench).count() == 0
+
+
+# 4. Sharding
+
+
+def test_sharding(spark):
+    docs = documents(spark, [prose(900, 50)] * 30 + [prose(901 + k, 45) for k in range(120)])
+    got = sharding.shard_documents(docs, 4).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in pairs(docs))
+    slots, sizes, groups = defaultdict(list), Counter(), defaultdict(set)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+        groups[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(4))
+    share = sum(sizes.values()) / 4
+    single = max(r["size"] for r in got)
+    assert all(abs(s - share) <= single for s in sizes.values())
+    assert all(len(s) == 1 for s in groups.values())
+    assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+def test_group_that_no_shard_holds(spark):
+    docs = spark.createDataFrame([(k, "copy " * 9) for k in range(60)] + [(100 + k, f"other {k}") for k in range(40)], "doc_id long, text string")
+    sizes = Counter()
+    for r in sharding.shard_documents(docs, 4).collect():
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 46
+
+
+# 5. SimHash
+
+
+def slow_print(text, n=4):
+    w = [x.lower() for x in words(text)]
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[k : k + n]), 42) for k in range(max(1, len(w) - n + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MIN_TILE", 5)
+    monkeypatch.setattr(simhash, "SUB", 2)
+    b = prose(2, 60)
+    docs = documents(spark, [b + " tail", b + " other tail", b + " other", "", None])
+    rows = [(d, t, slow_print(t)) for d, t, _ in pairs(docs)]
+    got = simhash.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["fp"][0] % 2**64) for r in got) == Counter((d, f) for d, _, f in rows)
+    parent = {d: d for d, _, _ in rows if d is not None}
+    for d, _, f in rows:
+        for e, _, g in rows:
+            if d is not None and e is not None and (d == e or bin(f ^ g).count("1") <= 4):
+                x, y = find(parent, d), find(parent, e)
+                parent[max(x, y)] = min(x, y)
+    assert all(r["component_id"] == (None if r["doc_id"] is None else find(parent, r["doc_id"])) for r in got)
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_tiles_lose_no_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    x = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 63, 700).astype(np.uint64)) for _ in range(2))])
+    x = x[np.lexsort(simhash._quarters(x).T[::-1])].reshape(-1, 1)
+    a, b = np.nonzero(np.bitwise_count(x[:, 0][:, None] ^ x[:, 0][None]) <= 4)
+    assert (simhash._roots(len(x), a, b) == simhash._roots(len(x), *simhash.links_of_tiles(x, None, 4, 4))).all()
+    part = (a < 900) & (b >= 900)
+    assert (simhash._roots(len(x), a[part], b[part]) == simhash._roots(len(x), *simhash.links_of_tiles(x[:900], x[900:], 4, 4))).all()
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
+    parent = {x: x for e in edges for x in e}
+    for u, v in edges:
+        x, y = find(parent, u), find(parent, v)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(parent, x) for x in parent if find(parent, x) != x}
+
+
+# 6. Secrets
+
+
+def test_secrets(spark):
+    table = secrets.labelled_findings(spark, 6000)
+    model = secrets.train(table.where("id % 5 != 0"))
+    held, _ = secrets.with_features(table.where("id % 5 = 0"))
+    right = model.transform(held).selectExpr("avg(cast(prediction = label as int)) as a").first()[0]
+    assert right > 0.95
+    key = hashlib.sha1(b"k").hexdigest()
+    docs = documents(spark, [prose(1, 50) + f' token = "{key}" ' + prose(2, 9), f"commit {key}", "card 4111111111111111 paid", f'password: "{key[:32]}"'])
+    found = {(r["doc_id"], r["secret_sha256"]) for r in secrets.scan(docs, model).collect() if r["is_secret"]}
+    assert found == {(25, hashlib.sha256(key.encode()).hexdigest()), (28, hashlib.sha256(key[:32].encode()).hexdigest())}
+    assert secrets.scan(empty(spark), model).count() == 0
+
+
+# 7. SpotSigs
+
+
+def test_spotsigs(spark):
+    docs = documents(spark).where("doc_id is null or doc_id != 6").dropDuplicates(["doc_id"])
+    rows = sorted(((d, t or "") for d, t, _ in pairs(docs)), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    got = {r["doc_id"]: r for r in spotsigs.edited_fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    cut = lambda f: {f[k : k + 8] for k in range(0, len(f), 8)}
+    like = lambda a, b: len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+    by_text = defaultdict(set)
+    for k, (d, t) in enumerate(rows):
+        n, nxt = rows[(k + 1) % len(rows)]
+        half = len(t) // 2
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest())
+        assert abs(r["near_next"] - like(r["fingerprint"], got[n]["fingerprint"])) < 1e-12
+        assert abs(r["near_edited"] - like(r["fingerprint"], r["edited_fingerprint"])) < 1e-12
+        by_text[t].add(r["fingerprint"])
+    assert all(len(f) == 1 for f in by_text.values())
+    assert spotsigs.edited_fingerprints(empty(spark)).count() == 0
+
+
+def test_spotsigs_classes(spark):
+    docs = documents(spark, [prose(2, 60) + " end", prose(3, 3000) + " of a mil"])
+    prints = spotsigs.with_signatures(docs.selectExpr("doc_id", "coalesce(text, '') as text"), "text", "s").collect()
+    sets = [(r["doc_id"], frozenset(r["s"])) for r in prints if r["doc_id"] is not None]
+    parent = {d: d for d, _ in sets}
+    for d, s in sets:
+        for e, t in sets:
+            if d == e or len(s & t) / len(s | t) >= 0.8:
+                x, y = find(parent, d), find(parent, e)
+                parent[max(x, y)] = min(x, y)
+    got = spotsigs.duplicate_classes(docs).collect()
+    single = Counter(d for d, _ in sets)
+    assert all(r["class_id"] == find(parent, r["doc_id"]) for r in got if r["doc_id"] is not None and single[r["doc_id"]] == 1)
+
+
+# 8. Lines
+
+
+@pytest.mark.parametrize("sites", [2, 3])
+def test_lines(spark, sites):
+    shared = ["  footer ", "footer", "menu\nfooter\n\n", "x\nmenu", "y\r\nmenu", "menu\nmenu"]
+    docs = documents(spark, shared)
+    spread = defaultdict(set)
+    for _, t, s in pairs(docs):
+        for x in (t or "").split("\n"):
+            if s is not None and x.strip(" "):
+                spread[x.strip(" ")].add(s)
+    gone = {x for x, s in spread.items() if len(s) >= sites}
+    want = Counter()
+    for d, t, _ in pairs(docs):
+        kept = [x for x in (t or "").split("\n") if x.strip(" ") not in gone]
+        want[d, len((t or "").split("\n")), len((t or "").split("\n")) - len(kept), "\n".join(kept)] += 1
+    assert Counter(tuple(r) for r in lines.remove_lines(docs, sites).collect()) == want
+    assert gone and lines.remove_lines(empty(spark)).count() == 0
+
+
+# 9. Mixing
+
+
+def slow_targets(sizes):
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    total = 1.5 * sum(sizes.values())
+    target = {s: total * weight[s] / sum(weight.values()) for s in order}
+    capped = set()
+    while over := [s for s in order if s not in capped and target[s] > 2 * sizes[s]]:
+        excess = sum(target[s] - 2 * sizes[s] for s in over)
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        capped |= set(over)
+        open_ = [s for s in order if s not in capped]
+        for s in open_:
+            target[s] += excess * weight[s] / sum(weight[x] for x in open_)
+    return target
+
+
+def test_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    docs = documents(spark)
+    sizes, source = Counter(), defaultdict(set)
+    for d, t, s in pairs(docs):
+        sizes[s] += len(words(t))
+    target = slow_targets(sizes)
+    got = mixing.taken_words(docs).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, len(words(t))) for d, t, _ in pairs(docs))
+    taken = Counter()
+    for r in got:
+        s = next(x for x in target if abs(target[x] - r["target"]) < 1e-6 and sizes[x] == r["source_size"])
+        taken[s] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in target)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.taken_words(docs).collect()))
+    assert mixing.taken_words(empty(spark)).count() == 0
+
+
+def test_hypergeometric_and_tree(spark):
+    import pyspark.sql.functions as F
+
+    draws = spark.range(20000).select(mixing.hypergeometric(F.lit(50.0), F.lit(20.0), F.lit(15.0), (F.col("id") + 0.5) / 20000).alias("x"))
+    x = np.asarray([r[0] for r in draws.collect()])
+    assert abs(x.mean() - 6) < 0.01 and abs(x.var() - 15 * 0.4 * 0.6 * 35 / 49) < 0.05 and x.min() >= 0 and x.max() <= 15
+    quotas = [(1, 1000.0), (2, 10.0), (3, 333.0), (4, 0.0)]
+    rows = mixing.splitting_tree(spark.createDataFrame(quotas, "source_no int, n double"), 5).collect()
+    by_source, by_shard = Counter(), Counter()
+    for r in rows:
+        assert r["n"] >= 0 and r["n"] == int(r["n"])
+        by_source[r["source_no"]] += r["n"]
+        by_shard[r["shard"]] += r["n"]
+    assert by_source == Counter(dict(quotas)) and len(by_shard) == 5 and max(by_shard.values()) - min(by_shard.values()) <= 3
+
+
+# 10. Language ID
+
+
+def test_kneser_ney_sums_to_one():
+    data = [b"banana bandana", b"cabana cab"]
+    keys, n = np.unique(langid.grams_of(data)[0], return_counts=True)
+    model = langid.Model(["x"], [(keys, n)])
+    alphabet = model.grams[1].hashes * np.uint64(pow(int(langid._ODD), -1, 2**64))
+    for context in (keys[3] >> np.uint64(16), np.uint64(0x6200610061), np.uint64(0x7A007A007A)):
+        total = np.exp(model.logs((context << np.uint64(16)) | alphabet)).sum()
+        unseen = np.exp(model.logs(np.asarray([(context << np.uint64(16)) | np.uint64(0x4E00)])))[0, 0]
+        assert abs(total + unseen - 1) < 1e-4
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    say = {"en": "the and thing with other", "fr": "être ça dans où élève", "de": "über schön nicht wörter straße"}
+    rows = [(k, " ".join(rng.choice(say[lang].split()) for _ in range(12)), lang) for k in range(400) for lang in [rng.choice(sorted(say))]]
+    odd = [(900, None, "en"), (901, "", None), (902, "12 !!", "fr"), (903, "日本語の文章" * 20, None), (None, "the other thing", "en"), (904, "the thing", "en"), (904, "the thing", "en")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + odd], "doc_id long, text string, lang string, rejected string")
+    model = langid.train(docs)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows) + len(odd)
+    by_id = {r["doc_id"]: r for r in got}
+    held = [k for k, _, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(by_id[k]["held_out"] == (k in held) for k, _, _ in rows)
+    assert np.mean([by_id[k]["lang_pred"] == rows[k][2] for k in held]) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert [by_id[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and by_id[903]["lang_pred"] in say and by_id[903]["rejected"]
+    assert {r["doc_id"] for r in langid.keep_accepted(docs, model).collect()} == {k for k in by_id if not by_id[k]["rejected"]}
+    none = langid.train(docs.limit(0))
+    assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}

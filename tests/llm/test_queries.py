@@ -1,0 +1,46 @@
+import corpus_pipeline
+import pytest
+from oracle import SF, compare
+
+import __spark_entry__ as entry
+from tidejoin.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert compare(spark, QUERIES[name], ORACLE_SQL[name])
+
+
+def test_registered():
+    assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage on the last one's rows: clean documents stay, copies and test items go, the mix meets its targets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+        if name == "simhash_dedup":
+            kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert len(kept) == docs.count() and set(kept.values()) == {kept[k] for k in kept}
+            assert len(set(kept.values())) == len(kept)  # no exact copy stays
+            sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in kept.items() for w in [t.lower().split()]}
+            first = {}
+            for d, s in sets.items():
+                for g in s:
+                    e = first.setdefault(g, d)
+                    assert e == d or len(s & sets[e]) / len(s | sets[e]) < 0.85
+            assert len(kept) > 0.85 * before.count()
+        elif name == "decontamination":
+            items = [r["text"].lower() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert not any(i in r["text"].lower() for r in docs.collect() for i in items)
+            assert docs.count() > 0.9 * before.count()
+        elif name == "source_mix":
+            assert docs.groupBy("doc_id").count().where("count > 2").count() == 0
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == docs.count()
