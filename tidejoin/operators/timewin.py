@@ -30,6 +30,7 @@ def batch_windows(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> D
     points = batches.select("arr", F.col("wm").alias("x"), F.lit(0).alias("asks")).union(batches.select("arr", F.col("wm") + width_ms, F.lit(1)))
     down = Window.orderBy(F.desc("x"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     found = points.withColumn("nxt", F.min(F.when(F.col("asks") == 0, F.col("arr"))).over(down)).where("asks = 1 and nxt is not null").select("arr", "nxt")
+    found = found.persist()  # one small row a batch, read again by every step of the chain
     chain = spark.sql(
         """WITH RECURSIVE closes(at) AS (
              SELECT nxt FROM {found} WHERE arr = 0

@@ -21,15 +21,16 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
 
 
 def _side(stream: DataFrame, side: str, p: str, delay: str, *more: str) -> DataFrame:
+    """One side, with its event time under the watermark apart from the plain timestamp."""
     names = ("key", "val", "ts", *more)
-    return stream.where(F.col("side") == side).select(*(F.col(c).alias(f"{p}{c}") for c in names)).withWatermark(f"{p}ts", delay)
+    return stream.where(F.col("side") == side).select(*(F.col(c).alias(f"{p}{c}") for c in names), F.col("ts").alias(f"{p}time")).withWatermark(f"{p}time", delay)
 
 
 def tumbling_stream_join(stream: DataFrame, width: str, delay: str = DELAY) -> DataFrame:
     """Both sides of a stream joined in aligned windows. State is dropped once the watermark passes a window; later
     tuples are dropped with it."""
-    left, right = _side(stream, "L", "l", delay), _side(stream, "R", "r", delay)
-    left, right = left.withColumn("lw", F.window("lts", width)), right.withColumn("rw", F.window("rts", width))
+    left = _side(stream, "L", "l", delay).withColumn("lw", F.window("ltime", width)).drop("ltime")
+    right = _side(stream, "R", "r", delay).withColumn("rw", F.window("rtime", width)).drop("rtime")
     return left.join(right, (F.col("lw") == F.col("rw")) & (F.col("lkey") == F.col("rkey"))).select(F.col("lw.start").alias("start"), *RESULT)
 
 
@@ -42,7 +43,7 @@ def count_stream_join(stream: DataFrame, batch: int, window: int, span: str, del
     left, right = _side(stream, "L", "l", delay, "seq"), _side(stream, "R", "r", delay, "seq")
     win = lambda seq, shift: F.floor((2 * F.floor(F.col(seq) / batch) + shift) / length)
     left, right = left.withColumn("win", win("lseq", 0)), right.withColumn("rwin", win("rseq", 1))
-    near = F.expr(f"rts BETWEEN lts - INTERVAL {span} AND lts + INTERVAL {span}")
+    near = F.expr(f"rtime BETWEEN ltime - INTERVAL {span} AND ltime + INTERVAL {span}")
     return left.join(right, (F.col("win") == F.col("rwin")) & (F.col("lkey") == F.col("rkey")) & near).select("win", *RESULT)
 
 
