@@ -68,11 +68,15 @@ def encode(ids: np.ndarray) -> bytes:
         rows = np.flatnonzero(width == w)
         d = delta[rows]
         low = d & np.uint32((1 << int(w)) - 1)
-        high = (d.astype(np.uint64) >> np.uint64(w)).astype(np.uint32)
-        packed = _pack(low.reshape(len(rows), PER_LANE, LANES), int(w))
-        for i, r in enumerate(rows):
-            pos = np.flatnonzero(high[i])
-            bodies[r] = struct.pack("<IBBH", base[r], w, 0, len(pos)) + packed[i].tobytes() + pos.astype(np.uint8).tobytes() + high[i][pos].tobytes()
+        high = d >> np.uint32(w) if w < 32 else np.zeros_like(d)
+        packed = _pack(low.reshape(len(rows), PER_LANE, LANES), int(w)).tobytes()
+        row, pos = np.nonzero(high)
+        places, values = pos.astype(np.uint8).tobytes(), high[row, pos].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(row, minlength=len(rows))).tolist()
+        size, e = 4 * LANES * int(w), 0
+        for i, (r, m, f) in enumerate(zip(rows.tolist(), base[rows].tolist(), ends, strict=True)):
+            bodies[r] = b"".join((struct.pack("<IBBH", m, w, 0, f - e), packed[i * size : (i + 1) * size], places[e:f], values[4 * e : 4 * f]))
+            e = f
     starts = np.zeros(n_blocks + 1, np.uint32)
     np.cumsum([len(b) for b in bodies], out=starts[1:])
     return MAGIC + struct.pack("<II", n, n_blocks) + starts.astype("<u4").tobytes() + b"".join(bodies)
@@ -98,13 +102,16 @@ def decode(page: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         size = 4 * LANES * int(w)
-        words = raw[(at[rows] + 8)[:, None] + np.arange(size)].copy().view("<u4").reshape(len(rows), int(w), LANES)
+        packed = b"".join([page[p : p + size] for p in (at[rows] + 8).tolist()])
+        words = np.frombuffer(packed, "<u4").reshape(len(rows), int(w), LANES)
         out[rows] = _unpack(words, int(w)).reshape(len(rows), BLOCK)
-    for r in np.flatnonzero(n_exc):
-        p, k = int(at[r] + 8 + 4 * LANES * width[r]), int(n_exc[r])
-        pos = raw[p : p + k]
-        high = raw[p + k : p + 5 * k].copy().view("<u4")
-        out[r, pos] |= (high.astype(np.uint64) << np.uint64(width[r])).astype(np.uint32)
+    outlying = np.flatnonzero(n_exc)
+    if len(outlying):
+        k = n_exc[outlying]
+        spans = list(zip((at[outlying] + 8 + 4 * LANES * width[outlying]).tolist(), k.tolist(), strict=True))
+        pos = np.frombuffer(b"".join([page[p : p + m] for p, m in spans]), np.uint8)
+        high = np.frombuffer(b"".join([page[p + m : p + 5 * m] for p, m in spans]), "<u4")
+        out[np.repeat(outlying, k), pos] |= high << np.repeat(width[outlying], k).astype(np.uint32)
     out += base[:, None]
     flat = out.reshape(-1)
     return flat[: min(n, last * BLOCK) - first * BLOCK]
