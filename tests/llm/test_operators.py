@@ -371,3 +371,35 @@ def test_language_id(spark):
     assert {r["doc_id"] for r in langid.keep_accepted(docs, model).collect()} == {k for k in by_id if not by_id[k]["rejected"]}
     none = langid.train(docs.limit(0))
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
+
+
+def test_counts_of_all_learnable_documents(spark):
+    """The model's grams and counts equal a plain count over every learnable document that doesn't calibrate."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["ab", "b", "Été", "x1y", "ccc"]) for _ in range(rng.randrange(60))), rng.choice("pq")) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, calibrate_docs=0)
+    expect = set()
+    for lang in "pq":
+        texts = [t for k, t, x in rows if x == lang and zlib.crc32(str(k).encode()) % 4 != 2]
+        expect |= set(langid.grams_of([w for t in texts for w in t.encode().split()])[0].tolist())
+    keys = model.grams[langid.ORDER].hashes * np.uint64(pow(int(langid._ODD), -1, 2**64))
+    assert set(keys.tolist()) == expect
+
+    counted = {}
+    words = docs.select("lang", "text").mapInArrow(langid._count_words, "lang string, word binary, n long").groupBy("lang", "word").sum("n").withColumnRenamed("sum(n)", "n")
+    for r in words.mapInArrow(langid._count_grams, "lang string, gram long, n long").collect():
+        key = r["lang"], r["gram"] % 2**64
+        counted[key] = counted.get(key, 0) + r["n"]
+    plain = {}
+    for _, t, lang in rows:
+        for g in langid.grams_of(t.encode().split())[0].tolist():
+            plain[lang, g] = plain.get((lang, g), 0) + 1
+    assert counted == plain
+
+
+def test_grams_kept_by_lowest_count(spark):
+    grams = spark.createDataFrame([("a", k, n) for k, n in enumerate([5, 5, 3, 2, 2, 2, 1])] + [("b", 1, 4), ("b", 2, 4)], "lang string, gram long, n long")
+    assert langid._lowest_counts(grams, 4) == {"a": 3, "b": 4}
+    assert langid._lowest_counts(grams, 1) == {"a": 5, "b": 4}  # more than one of the highest count: all of these
+    assert langid._lowest_counts(grams.limit(0), 4) == {}
