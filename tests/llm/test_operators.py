@@ -132,6 +132,28 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontam.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_edited_copies_equal_brute_force(spark):
+    """Every 4th or 5th word replaced, or words at random: what aligns at the threshold is found."""
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(400)]
+    items = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (20, 40, 55) for _ in range(6)]
+    copies = list(items[::2])  # intact copies of some, so that broken trigrams are the rarest
+    for t in items:
+        copies += [" ".join(f"new{k}" if k % step == step - 1 else w for k, w in enumerate(t.split())) for step in (4, 5)]
+        copies += [" ".join(rng.choice(vocab) if rng.random() < 0.3 else w for w in t.split()) for _ in range(4)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(30)) + f" {c} " + " ".join(rng.choice(vocab) for _ in range(30)) for c in copies]
+    number = {}
+    ids = lambda t: np.asarray([number.setdefault(w, len(number)) for w in t.split()])
+    best = lambda t: max(decontam.align(ids(t)[None], ids(i)[None])[0][0] / (2 * len(i.split())) for i in items)
+    grams = lambda t: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)}
+    seeds = set().union(*map(grams, items))
+    expect = {d for d, t in enumerate(texts) if best(t) >= decontam.THRESHOLD and grams(t) & seeds}
+    assert len(expect) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect() if r["contaminated"]} == expect
+
+
 # 4. Sharding
 
 

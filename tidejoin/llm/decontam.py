@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of word characters. First pass: in how many documents each trigram of the test items
-occurs. In every WINDOW consecutive trigrams of an item the rarest becomes a seed, so the choice follows rarity but
-leaves no stretch of an item without seeds, however often it was copied. Second pass: documents' trigrams meet the
-seeds, each hit proposes the passage around its diagonal, and local alignment of passage and item (match 2, mismatch
-and gap -1) scores it as a share of the item's perfect score. A document is contaminated at THRESHOLD or more.
+Words are lower-cased runs of word characters. Every trigram of a test item is a seed, common or rare, so an edited
+copy is found by whatever trigram its edits left whole. Each hit proposes the passage around its diagonal. A passage
+that holds too few of the item's words to reach the threshold even if all of them matched is passed over, which loses
+nothing; local alignment of passage and item (match 2, mismatch and gap -1) scores the others as a share of the item's
+perfect score. A document is contaminated at THRESHOLD or more. Out of reach: copies without three words in a row of
+the item, and what lies beyond a passage (the item's length, and one to two quarters of it on either side).
 
 Items are taken in blocks of BLOCK_WORDS words (or of one item, if that is longer); only one block is broadcast at a
 time, and each block meets all documents. There is no cap on hits, passages or partners.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
-NGRAM, WINDOW = 3, 3
+NGRAM = 3
 THRESHOLD = 0.4
 BLOCK_WORDS = 400_000
 MATCH, MISS, GAP = 2, -1, -1
@@ -81,7 +82,10 @@ class Items:
         self.place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
         self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.grams, self.gram = np.unique(self.flat, return_inverse=True)
-        self.seed = np.ones(len(self.flat), bool)
+        self.by_gram = np.argsort(self.gram, kind="stable")
+        self.first = np.searchsorted(self.gram[self.by_gram], np.arange(len(self.grams) + 1))
+        self.size = np.asarray([len(w) for w in self.words], np.int64)
+        self.distinct = [np.unique(w, return_counts=True) for w in self.words]
 
     def keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Trigram keys of known words, and their positions."""
@@ -102,18 +106,16 @@ class Items:
         hit = self.grams[k] == keys
         return k[hit], at[hit]
 
-    def choose(self, frequency: np.ndarray) -> None:
-        """In every WINDOW consecutive grams of an item, the rarest (the first of equals) becomes a seed."""
-        self.seed = np.zeros(len(self.flat), bool)
-        f = frequency[self.gram]
-        for k in range(len(self.ids)):
-            lo, hi = np.searchsorted(self.owner, [k, k + 1])
-            for a in range(lo, max(lo + 1, hi - WINDOW + 1)):
-                self.seed[a + int(np.argmin(f[a : min(a + WINDOW, hi)]))] = True
-        use = np.flatnonzero(self.seed)
-        order = use[np.argsort(self.gram[use], kind="stable")]
-        self.by_gram = order
-        self.first = np.searchsorted(self.gram[order], np.arange(len(self.grams) + 1))
+    def reachable(self, ids: np.ndarray, cand: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the passages in which words of the item are enough for the threshold, each matched at most once."""
+        there, good = np.zeros(len(self.vocab) + 1, bool), np.zeros(len(cand), bool)  # the last is that of unknown words
+        for r, (i, a, b) in enumerate(cand.tolist()):
+            there[ids[a:b]] = True
+            there[-1] = False
+            words, n = self.distinct[i]
+            good[r] = n[there[words]].sum() >= threshold * self.size[i] - 1e-9
+            there[ids[a:b]] = False
+        return cand[good]
 
     def candidates(self, ids: np.ndarray) -> np.ndarray:
         """Rows (item, first word, end) of the passages that seeds propose."""
@@ -123,11 +125,11 @@ class Items:
             return np.zeros((0, 3), np.int64)
         e = self.by_gram[np.repeat(self.first[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
         item = self.owner[e]
-        size = np.asarray([len(w) for w in self.words])[item]
+        size = self.size[item]
         slack = np.maximum(6, size // 4)
         band = (np.repeat(at, n) - self.place[e]) // slack
         u = np.unique(np.stack([item, band], axis=1), axis=0)
-        size = np.asarray([len(w) for w in self.words])[u[:, 0]]
+        size = self.size[u[:, 0]]
         slack = np.maximum(6, size // 4)
         start = u[:, 1] * slack - slack
         return np.stack([u[:, 0], np.maximum(start, 0), np.minimum(start + 3 * slack + size, len(ids))], axis=1)
@@ -142,7 +144,7 @@ class Items:
 
     def matches(self, docs: list[np.ndarray], threshold: float) -> list[tuple[int, int, float, int, int]]:
         """Of numbered documents: (document, item_id, score, first word, words) of each alignment that counts."""
-        found = [np.concatenate([np.full((len(c), 1), d), c], axis=1) for d, c in ((d, self.candidates(x)) for d, x in enumerate(docs)) if len(c)]
+        found = [np.concatenate([np.full((len(c), 1), d), c], axis=1) for d, c in ((d, self.reachable(x, self.candidates(x), threshold)) for d, x in enumerate(docs)) if len(c)]
         if not found:
             return []
         cand = np.concatenate(found)
@@ -171,21 +173,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MATCHES.split(", ")])
 
 
-def _frequency(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, n = shared.value, Counter()
-        for b in batches:
-            for x in b.column(1).to_pylist():
-                n.update(np.unique(items.found(items.number(words_of(x)))[0]).tolist())
-            if len(n) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["gram", "n"])
-                n = Counter()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["gram", "n"])
-
-    return run
-
-
 def _search(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -226,14 +213,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         rows = benchmark.where(F.col("item_id").between(block[0], block[-1])).select(F.col("item_id").cast("long"), "text").collect() if block else []
         items = Items([tuple(r) for r in rows])
         shared = spark.sparkContext.broadcast(items)
-        frequency = np.zeros(len(items.grams), np.int64)
-        for r in source.mapInArrow(_frequency(shared), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            frequency[r["gram"]] = r["n"]
-        items.choose(frequency)
-        chosen = spark.sparkContext.broadcast(items)
-        tables.append(cut(source.mapInArrow(_search(chosen, threshold), MATCHES), "matches")[0])
-        shared.destroy()
-        chosen.unpersist()
+        tables.append(cut(source.mapInArrow(_search(shared, threshold), MATCHES), "matches")[0])
+        shared.unpersist()
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
