@@ -1,8 +1,11 @@
+import random
+
 import corpus_pipeline
 import pytest
 from oracle import SF, compare
 
 import __spark_entry__ as entry
+from tidejoin.llm import simhash
 from tidejoin.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -44,3 +47,37 @@ def test_pipeline(spark, tmp_path):
             assert docs.groupBy("doc_id").count().where("count > 2").count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count()
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 300])
+def test_near_duplicates_are_verified(spark, monkeypatch, block):
+    """What stays and goes equals brute-force components of the pairs at 0.8 or more."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng = random.Random(3)
+    texts = []
+    for k in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        texts.append(" ".join(w))
+        for m in (5, 11, 20, 25, 30, 45):  # an index of about 0.9 to 0.4: a changed stretch at the end
+            texts.append(" ".join(w[:-m] + [f"x{rng.randrange(5000)}" for _ in range(m)]))
+    base = [f"v{j}" for j in range(100)]
+    texts += [" ".join([*base[:k], f"y{k}", *base[k + 1 :]]) for k in range(0, 100, 2)]  # one large group
+    texts += ["line one two three four five\n" * 20 + t for t in texts[:14:7]] + [texts[0], texts[0].upper(), "", "  "]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for t in texts for w in [t.lower().split()]]
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if like(sets[a], sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()}
+    assert kept == {d for d in range(len(sets)) if parent[d] == d}
+    assert all(any(like(sets[d], s) for k, s in enumerate(sets) if k != d) for d in range(len(sets)) if d not in kept)

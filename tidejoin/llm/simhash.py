@@ -7,6 +7,9 @@ so skipped tile pairs hold no link. Within a tile pair the same bound skips pair
 numpy exclusive-or and bit counts. A tile pair yields a spanning forest of its links, never all of them, so a group of
 thousands of copies costs no more rows than its members; the forests' components are the links' components.
 
+``verified_roots`` holds such components against the shingle sets themselves: within each, all pairs of distinct sets
+that aren't joined yet are compared exactly, in blocks of a bounded number of shingles, each pair of blocks once.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; equal fingerprints are one
 component; rows with equal doc_id are told apart only by what they hold; a null doc_id has a null component; other
 columns are ignored.
@@ -14,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ SEED = 42
 #: A table makes about TILES tiles, of at least MIN_TILE and at most MAX_TILE fingerprints, compared in sub-tiles of
 #: SUB. What tile pairs shuffle is TILES times the fingerprints until tiles reach MAX_TILE, which bounds a task's memory.
 TILES, MIN_TILE, MAX_TILE, SUB = 16, 4096, 1 << 17, 256
+#: Shingles, about, in a block of a component's sets.
+BLOCK_SHINGLES = 1 << 19
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
@@ -40,18 +46,26 @@ def _majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
-    """ASCII letters are lower-cased, words are runs of anything but ASCII white space."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words. ASCII letters are lower-cased, words are runs of anything but ASCII white space."""
     from xxhash import xxh64_intdigest
 
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
-        return [0] * words
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(found), max(1, len(found) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(found)) - 1 :][:n] - 1).tolist()
-    h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1, distinct: bool = False) -> list[int]:
+    """distinct: a repeated shingle counts once."""
+    h = shingles(text, shingle)
+    if not len(h):
+        return [0] * words
+    h = np.unique(h) if distinct else h
     out = [_majority(h)]
     for k in range(1, words):
         x = h * np.uint64(_MIX[(k - 1) % 4]) + np.uint64(k)
@@ -60,10 +74,10 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]
     return out
 
 
-def _fingerprints(shingle: int, words: int):
+def _fingerprints(shingle: int, words: int, distinct: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x, shingle, words) for x in b.column(1).to_pylist()]
+            fps = [fingerprint(x, shingle, words, distinct) for x in b.column(1).to_pylist()]
             flat = np.asarray(fps, np.uint64).reshape(-1).view(np.int64)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * words, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), rows], names=["doc_id", "fp"])
@@ -71,10 +85,10 @@ def _fingerprints(shingle: int, words: int):
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
     """docs (doc_id, text) to (doc_id, fp array<long>)."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle, words), "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle, words, distinct), "doc_id long, fp array<long>")
 
 
 def _quarters(first: np.ndarray) -> np.ndarray:
@@ -243,9 +257,9 @@ def links(distinct: DataFrame, words: int, radius: int, screen: int | None = Non
     return dealt.select("tile", "other", "ids", "fps").mapInArrow(_compare(words, radius, screen), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: int = 4, screen: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: int = 4, screen: int | None = None, distinct: bool = False) -> DataFrame:
     """docs (doc_id, text) to (doc_id, fp, component_id): the smallest doc_id reachable by links, itself included."""
-    fps, _ = cut(fingerprints(docs, shingle, words), "fingerprints")
+    fps, _ = cut(fingerprints(docs, shingle, words, distinct), "fingerprints")
     rep, _ = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     # A doc_id on rows of different texts stands for several fingerprints; these are linked by it.
     again = rep.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
@@ -256,3 +270,94 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: i
     root = components(found.union(same_doc))
     placed, _ = cut(rep.join(root, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "placed")
     return fps.join(placed, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _sets(shingle: int):
+    """(doc_id, component_id, text) to the text's shingle set, its size and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(x, shingle)) for x in b.column(2).to_pylist()]
+            blobs = [x.astype("<u8").tobytes() for x in sets]
+            columns = [b.column(0), b.column(1), pa.array([hashlib.md5(x).digest() for x in blobs], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "component_id", "digest", "n", "hashes"])
+
+    return run
+
+
+def links_of_sets(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Spanning links of the pairs of sets with a Jaccard index of at least ``threshold``.
+
+    side: 0 or 1 for each set; if both occur, only pairs across count.
+    """
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    n = np.asarray([len(x) for x in sets], np.int64)
+    parts = np.split(flat, np.cumsum(n)[:-1])
+    across, mark = bool((side != side[0]).any()), np.zeros(len(flat) + 1, bool)
+    root = np.arange(len(sets))
+    u: list[int] = []
+    v: list[int] = []
+    for a in range(len(sets)):
+        open_ = (root[a + 1 :] != root[a]) & (np.minimum(n[a + 1 :], n[a]) >= threshold * np.maximum(n[a + 1 :], n[a]) - 1e-9) & (n[a + 1 :] > 0)
+        if across:
+            open_ &= side[a + 1 :] != side[a]
+        others = np.flatnonzero(open_) + a + 1
+        if not len(others):
+            continue
+        mark[parts[a]] = True
+        both = np.add.reduceat(mark[np.concatenate([parts[b] for b in others])], np.concatenate([[0], np.cumsum(n[others])[:-1]]), dtype=np.int64)
+        mark[parts[a]] = False
+        good = others[both >= threshold * (n[a] + n[others] - both) - 1e-9]
+        if len(good):
+            joined, first = np.unique(root[good], return_index=True)
+            u += [a] * len(first)
+            v += good[first].tolist()
+            root[np.isin(root, joined)] = root[a]
+    return u, v
+
+
+def _verify(threshold: float):
+    """Rows (component_id, lo, hi, block, doc_id, hashes) sorted by the first three to links."""
+
+    def of(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        blocks, ids, blobs = zip(*rows, strict=True)
+        side = np.asarray(blocks)
+        u, v = links_of_sets([np.frombuffer(x, "<u8") for x in blobs], side, threshold)
+        if u:
+            ids = np.asarray(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            for c, lo, hi, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if key != (c, lo, hi):
+                    if len(held) > 1 and (key[1] == key[2] or len({x[0] for x in held}) > 1):
+                        yield from of(held)
+                    key, held = (c, lo, hi), []
+                held.append(row)
+        if len(held) > 1 and (key[1] == key[2] or len({x[0] for x in held}) > 1):
+            yield from of(held)
+
+    return run
+
+
+def verified_roots(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """texts (doc_id, component_id, text) to (node, root) as components() gives them.
+
+    Links are all pairs within a component whose shingle sets have a Jaccard index of at least ``threshold``; equal
+    sets, empty ones too, are linked.
+    """
+    spark = texts.sparkSession
+    prepare(spark)
+    sets, _ = cut(texts.select("doc_id", "component_id", "text").mapInArrow(_sets(shingle), "doc_id long, component_id long, digest binary, n long, hashes binary"), "sets")
+    reps, _ = cut(sets.groupBy("component_id", "digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct")
+    same = sets.select("doc_id", "component_id", "digest").join(reps, ["component_id", "digest"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    blocks = reps.groupBy("component_id").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("m > 1")
+    block = F.pmod(F.xxhash64("rep", "digest"), F.greatest("blocks", F.lit(1))).cast("int")
+    placed = reps.join(blocks, "component_id").select("component_id", "digest", F.col("rep").alias("doc_id"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("o"))
+    ends = placed.select("component_id", "digest", "doc_id", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
+    rows = ends.join(sets.select("doc_id", "digest", "component_id", "hashes"), ["doc_id", "digest", "component_id"])
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.select("component_id", "lo", "hi", "block", "doc_id", "hashes").repartition(4 * n, "component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi")
+    return components(dealt.mapInArrow(_verify(threshold), "u long, v long").union(same))
