@@ -425,3 +425,17 @@ def test_grams_kept_by_lowest_count(spark):
     assert langid._lowest_counts(grams, 4) == {"a": 3, "b": 4}
     assert langid._lowest_counts(grams, 1) == {"a": 5, "b": 4}  # more than one of the highest count: all of these
     assert langid._lowest_counts(grams.limit(0), 4) == {}
+
+
+def test_large_language_keeps_every_gram(spark):
+    """The model of a language with over 300,000 grams equals one of plain counts; documents that calibrate count too."""
+    rng = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    rows = [(k, " ".join("".join(rng.choice(letters) for _ in range(9)) for _ in range(30)) + " aber aber", "zz") for k in range(1600)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = [w for k, t, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2 for w in t.encode().split()]
+    keys, n = np.unique(langid.grams_of(words)[0], return_counts=True)
+    assert len(keys) > 300_000
+    plain = langid.Model(["zz"], [(keys, n)])
+    for order in range(1, langid.ORDER + 1):
+        assert (model.grams[order].hashes == plain.grams[order].hashes).all() and (model.grams[order].values == plain.grams[order].values).all()

@@ -8,11 +8,11 @@ the full interpolated probability, also for languages that never saw the gram; g
 through the context's weights. The language with the lowest cross-entropy a symbol wins; ties go to the first by name.
 
 Learning: all documents with text and lang whose id doesn't fall to the held-out quarter. Their words are counted by
-language, then the words' grams. A language with more than MODEL_GRAMS distinct grams keeps those above the lowest
-count at which no more than so many are left (all of the highest count, if these are more), so the model, which is
-broadcast, has about 4 * MODEL_GRAMS * languages rows at most. About CALIBRATE_DOCS documents of each language (a tenth of all, if fewer), chosen by a hash of doc_id, aren't
-counted but calibrate: the score's temperature, and each language's usual cross-entropy. A document is rejected if it
-has no letter, or if its cross-entropy exceeds its language's mean by REJECT deviations, widened for short texts.
+language, then the words' grams. Every gram counts and stays: the model, which is broadcast, grows with the distinct
+grams of the languages. About CALIBRATE_DOCS documents of each language (a tenth of all, if fewer), chosen by a hash of
+doc_id, are first left out and calibrate a model of the others: the score's temperature, and each language's usual
+cross-entropy. Then they are counted too. A document is rejected if it has no letter, or if its cross-entropy exceeds
+its language's mean by REJECT deviations, widened for short texts.
 
 Defined results: null text, or none with a letter: ``und``, score 0, rejected. A table to learn from without a usable
 row: all ``und``. A null doc_id counts as not held out. Rows are predicted one by one, so repeated rows agree; very
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep, prepare
 
-CALIBRATE_DOCS, MODEL_GRAMS = 300, 300_000
+CALIBRATE_DOCS = 300
 #: Distinct words, and their bytes, that a counting task holds before it passes them on.
 HELD_WORDS, HELD_BYTES = 200_000, 1 << 24
 ORDER, BOUNDARY = 4, 1
@@ -170,6 +170,15 @@ class Model:
             out[miss] = back + self._lower(k, order)
         return out
 
+    def calibrated_by(self, other: Model) -> None:
+        """Takes the temperature, and the figures of languages that the other model has; others get wide ones."""
+        self.temperature = other.temperature
+        self.spread[:] = 10.0
+        for k, lang in enumerate(self.languages):
+            if lang in other.languages:
+                j = other.languages.index(lang)
+                self.mean[k], self.spread[k], self.noise[k] = other.mean[j], other.spread[j], other.noise[j]
+
     def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
         return self.mean[lang] + REJECT * (self.spread[lang] + self.noise[lang] / np.sqrt(np.maximum(n, 1)))
 
@@ -266,7 +275,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lowest_counts(grams: DataFrame, most: int) -> dict[str, int]:
-    """For each language the lowest count that at most ``most`` of its grams reach, from the counts of counts."""
+    """For each language the lowest count that at most ``most`` of its grams reach, from the counts of counts.
+
+    To look at a table of grams; train() leaves none out.
+    """
     seen = grams.groupBy("lang", "n").agg(F.count("*").alias("grams"))
     above = seen.withColumn("reach", F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
     lowest = above.groupBy("lang").agg(F.min(F.when(F.col("reach") <= most, F.col("n"))).alias("low"), F.max("n").alias("top"))
@@ -299,7 +311,29 @@ def _calibrate(model: Model, rows: list) -> None:
         model.noise[k] = 1.0
 
 
-def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS, model_grams: int = MODEL_GRAMS) -> Model:
+def _gram_counts(texts: DataFrame) -> list[pa.Table]:
+    """(lang, text) to tables (gram, n) named by language in their metadata, every gram once."""
+    words = texts.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    grams, _ = cut(words.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    names = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    return [grams.where(F.col("lang") == name).select("gram", "n").toArrow().replace_schema_metadata({"lang": name}) for name in names]
+
+
+def _by_language(tables: list[pa.Table]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """Languages, and the keys and summed counts of each."""
+    name = lambda t: t.schema.metadata[b"lang"].decode()
+    names = sorted({name(t) for t in tables})
+    counts = []
+    for lang in names:
+        mine = [t for t in tables if name(t) == lang]
+        keys, at = np.unique(np.concatenate([t.column("gram").to_numpy() for t in mine]).view(np.uint64), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, at, np.concatenate([t.column("n").to_numpy() for t in mine]))
+        counts.append((keys, n))
+    return names, counts
+
+
+def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
     """A model from docs (doc_id, text, lang); held-out rows are left out here."""
     spark = docs.sparkSession
     prepare(spark)
@@ -309,20 +343,8 @@ def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS, model_grams: in
     at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     calibrates = at < F.element_at(shares, F.col("lang"))
     sample, _ = cut(usable.where(calibrates).select("lang", "text"), "sample")
-    words = usable.where(~calibrates).select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams, _ = cut(words.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    lowest = _lowest_counts(grams, model_grams)
-    keep_from = F.create_map(*(x for k, v in lowest.items() for x in (F.lit(k), F.lit(v)))) if lowest else F.expr("map('', 0L)")
-    table = grams.where(F.col("n") >= F.element_at(keep_from, F.col("lang"))).toArrow()
-    langs, keys, n = (table.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    names = sorted(set(langs.tolist()))
-    counts = []
-    for name in names:
-        mine = langs == name
-        k = keys[mine].view(np.uint64)
-        order = np.argsort(k)
-        counts.append((k[order], n[mine][order]))
-    model = Model(names, counts)
+    others = _gram_counts(usable.where(~calibrates))
+    model = Model(*_by_language(others))
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +354,9 @@ def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS, model_grams: in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(s), pa.list_(pa.float64()))], names=["lang", "sums"])
 
     _calibrate(model, sample.mapInArrow(sums, "lang string, sums array<double>").collect())
-    return model
+    whole = Model(*_by_language([*others, *_gram_counts(sample)]))
+    whole.calibrated_by(model)
+    return whole
 
 
 def _scorer(key: str, shared) -> Scorer:
