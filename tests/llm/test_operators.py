@@ -154,6 +154,19 @@ def test_edited_copies_equal_brute_force(spark):
     assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect() if r["contaminated"]} == expect
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 30])
+def test_every_matching_item_is_reported(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    items = [prose(800 + k, 30) for k in range(4)]
+    texts = [" ".join([prose(900, 40), items[2], prose(901, 40), items[0], items[2]]), items[1], prose(902, 60)]
+    docs = spark.createDataFrame([*enumerate(texts), (1, items[3])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontam.find_matches(docs, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["first_word"]) for r in found) == [(0, 0, 1.0, 110), (0, 2, 1.0, 40), (1, 1, 1.0, 0), (1, 3, 1.0, 0)]
+    got = sorted((r["doc_id"], r["item_id"], r["n_items"]) for r in decontam.decontaminate(docs, bench).collect() if r["contaminated"])
+    assert got == [(0, 0, 2), (1, 1, 2), (1, 1, 2)]
+
+
 # 4. Sharding
 
 

@@ -18,7 +18,6 @@ ignored; empty tables give empty or all-clean results.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -178,13 +177,11 @@ def _search(shared, threshold: float):
         items = shared.value
         for b in batches:
             ids = b.column(0).to_pylist()
-            best: dict[int, tuple] = {}
-            n: Counter = Counter()
+            best: dict[tuple[int, int], tuple] = {}
             for d, item, score, first, size in items.matches([items.number(words_of(x)) for x in b.column(1).to_pylist()], threshold):
-                n[d] += 1
-                key = (-score, item, first)
-                if d not in best or key < best[d][0]:
-                    best[d] = (key, (ids[d], item, score, first, size))
+                key = (-score, first, size)
+                if (d, item) not in best or key < best[d, item][0]:
+                    best[d, item] = (key, (ids[d], item, score, first, size))
             if best:
                 yield _batch([row for _, row in best.values()])
 
@@ -204,7 +201,7 @@ def _blocks(benchmark: DataFrame) -> list[list[int]]:
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The best match of each contaminated document row in each block of items: MATCHES."""
+    """Every (doc_id, item_id) that matches, with the best alignment of the pair: MATCHES."""
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.col("doc_id").cast("long"), "text")
@@ -218,13 +215,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out
+    best = F.min(F.struct((-F.col("score")).alias("order"), "first_word", "n_words")).alias("m")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs to (doc_id, contaminated, item_id, score, first_word, n_words), a row for each row of docs."""
+    """docs to (doc_id, contaminated, item_id, score, first_word, n_words, n_items), a row for each row of docs.
+
+    The best match, and the number of items that match; find_matches has each of them.
+    """
     worst = F.min(F.struct((-F.col("score")).alias("order"), "item_id", "first_word", "n_words")).alias("m")
-    best = find_matches(docs, benchmark, threshold).groupBy(F.col("doc_id").alias("of")).agg(worst)
+    best = find_matches(docs, benchmark, threshold).groupBy(F.col("doc_id").alias("of")).agg(worst, F.count("*").alias("n_items"))
     ids = docs.select(F.col("doc_id").cast("long"))
     joined = ids.join(best, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    return joined.select("doc_id", F.col("m").isNotNull().alias("contaminated"), "m.item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words")
+    return joined.select("doc_id", F.col("m").isNotNull().alias("contaminated"), "m.item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
