@@ -260,6 +260,20 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark), model).count() == 0
 
 
+def test_secrets_that_touch_marks(spark):
+    mixed = lambda k, n: hashlib.sha256(f"{k}".encode()).hexdigest()[:n].replace("a", "Q").replace("b", "x").replace("c", "Z")
+    live, hub, aws, tail = f"sk_live_{mixed(1, 24)}", f"ghp_{mixed(2, 36)}", f"AKIA{mixed(3, 16).upper()}", mixed(4, 40)
+    texts = [
+        f"see https://api.site.org/v1?api_key={live}&page=1", f"{{{hub}}} here", f"the key [{aws}] is", f"token={tail}! then", f"secret {tail}.", f"der Schlüssel „{hub}“ token",
+        'password = "p7!xQ#9v$Lm2" then', "pwd=xV9kq3Tz", "password: Zr8$kT2!wq more", "the page item list and user_name value", f"a|{hub}|{aws}?",
+    ]
+    want = {(0, live), (1, hub), (2, aws), (3, tail), (4, tail), (5, hub), (6, "p7!xQ#9v$Lm2"), (7, "xV9kq3Tz"), (8, "Zr8$kT2!wq"), (10, hub), (10, aws)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert want <= {(r["doc_id"], r["candidate"]) for r in secrets.candidates(docs).collect()}
+    found = {(r["doc_id"], r["secret_sha256"]) for r in secrets.scan(docs).collect() if r["is_secret"]}
+    assert found == {(d, hashlib.sha256(x.encode()).hexdigest()) for d, x in want}
+
+
 # 7. SpotSigs
 
 

@@ -1,14 +1,20 @@
 """Secret scans, in DataFrame operations only: candidates by shape, false positives removed by a random forest.
 
-Words are cut at white space, quotes and = : ; , ( ) < >. A candidate has MIN_CHARS or more characters of secrets'
+Words are cut at white space and at all ASCII marks outside secrets' alphabets (so at = & ? # and brackets too); only
+what a password's label assigns (password = "...") is one word with its marks, up to its quote, or unquoted up to
+white space or a mark that ends it. A candidate is a maximal run of secrets' characters in a word, less dots at its
+ends, or such a password. It has MIN_CHARS or more characters, or SHORT_CHARS or more if a word like "token" or
+"password" is among the AROUND words before it, of secrets'
 alphabets and a digit, or both letter cases. Its features are length, character transitions, dictionary coverage, path
 marks, and neighbouring words. ``pyspark.ml`` trains the forest from labelled findings (candidate, before, after,
 label); ``labelled_findings`` makes them by rule, since no table here labels secrets. The bound of the training table
 is its parameter n.
 
 A result names a secret by digest, not by value. Defined results: a null or empty text has no findings; repeated rows
-and repeated candidates are findings of their own, told apart by place (the word's number); very long texts are
-scanned whole; other columns are ignored.
+and repeated candidates are findings of their own, told apart by place (the word's number; runs parted only by characters
+beyond ASCII share it); very long texts are
+scanned whole; other columns are ignored. Out of reach: secrets with marks that no password's label precedes, a
+padding = at a secret's end, passwords with white space or under SHORT_CHARS, and lower-case letters alone.
 """
 
 from __future__ import annotations
@@ -22,9 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_CHARS, AROUND = 16, 3
+MIN_CHARS, SHORT_CHARS, AROUND = 16, 8, 3
 TRAIN_ROWS, TREES, DEPTH, SEED = 12_000, 24, 8, 42
-CUT = r"[\s\"'`=:;,()<>]+"
+MARKS = r"\s!-*,:-?\[-^`{-}"  # all of ASCII's that no secret's alphabet has, and =
+RUN = "[A-Za-z0-9_+/.@~-]"
+_LABEL = r"(?<=(?i:password|passwd|pwd|passphrase)[\"'`]?\s{0,2}[:=]\s{0,2}"
+#: Words: quoted values of a password's label, unquoted ones, others.
+WORDS = rf"{_LABEL}[\"'`])[^\s\"'`]{{{SHORT_CHARS},}}(?=[\"'`])|{_LABEL})[^\s\"'`&,;()<>\[\]{{|}}]{{{SHORT_CHARS - 1},}}[^\s\"'`&,;()<>\[\]{{|}}.!?:]|[^{MARKS}]+"
 
 # Words that stand in placeholders, names and paths; words before secrets; words before other codes.
 DICTIONARY = "example sample test dummy placeholder change insert your here name value data user admin key token secret password api file path index item list page image video static assets public private default config setting update create delete get set string number object class function return http https www com org net html json xml the and for with this that from not all new one two use can was are you has her his out day time year version release build module package license".split()
@@ -37,11 +47,16 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, place, candidate, before, after."""
-    words = docs.select(F.col("doc_id").cast("long"), F.split(F.coalesce("text", F.lit("")), CUT).alias("w"))
-    shaped = lambda x: x.rlike(rf"^[A-Za-z0-9_+/.@~=-]{{{MIN_CHARS},}}$") & (x.rlike("[0-9]") | (x.rlike("[a-z]") & x.rlike("[A-Z]")))
-    found = F.filter(F.transform("w", lambda x, i: F.when((F.octet_length(x) >= MIN_CHARS) & shaped(x), F.struct(i.alias("i"), x.alias("x")))), lambda s: s.isNotNull())
-    near = F.transform(found, lambda s: F.struct(s["i"].alias("place"), s["x"].alias("candidate"), F.array_join(F.slice("w", F.greatest(s["i"] - AROUND + 1, F.lit(1)), F.least(F.lit(AROUND), s["i"])), " ").alias("before"), F.array_join(F.slice("w", s["i"] + 2, AROUND), " ").alias("after")))
-    return words.where(F.exists("w", lambda x: F.octet_length(x) >= MIN_CHARS)).select("doc_id", F.explode(near).alias("c")).select("doc_id", "c.*")
+    words = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0)).alias("w"))
+    runs = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"{RUN}{{{SHORT_CHARS},}}"), F.lit(0)), lambda r: F.regexp_replace(r, r"^\.+|\.+$", ""))
+    parts = lambda x: F.when(x.rlike(f"[{MARKS}]"), F.array(x)).otherwise(runs(x))
+    near = lambda x, i: F.struct(i.alias("place"), F.array_join(F.slice("w", F.greatest(i - AROUND + 1, F.lit(1)), F.least(F.lit(AROUND), i)), " ").alias("before"), F.array_join(F.slice("w", i + 2, AROUND), " ").alias("after"), parts(x).alias("parts"))
+    found = F.filter(F.transform("w", lambda x, i: F.when(F.octet_length(x) >= SHORT_CHARS, near(x, i))), lambda s: s.isNotNull())
+    rows = words.where(F.exists("w", lambda x: F.octet_length(x) >= SHORT_CHARS)).select("doc_id", F.explode(found).alias("c"))
+    rows = rows.select("doc_id", "c.place", F.explode("c.parts").alias("candidate"), "c.before", "c.after")
+    c = F.col("candidate")
+    mixed = c.rlike("[0-9]") | (c.rlike("[a-z]") & c.rlike("[A-Z]")) | c.rlike(f"[{MARKS}]")
+    return rows.where(mixed & ((F.length(c) >= MIN_CHARS) | (F.length(c) >= SHORT_CHARS) & F.col("before").rlike(WARM)))
 
 
 def with_features(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -90,13 +105,17 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
     url = F.concat(F.lit("//www."), word(23), F.lit(".com/"), word(24), F.lit("/"), word(25), F.pmod(F.col("id"), F.lit(999)).cast("string"))
     filler = F.concat(pick(26, "your_token_here_", "xxxxxxxxxxxxxxxxxxxx", "00000000000000000000", "changeme_changeme_", "example_api_key_"), F.pmod(F.col("id"), F.lit(9)).cast("string"))
     not_warm, not_plain = F.concat_ws(" ", plain(27), warm), plain(28)
-    kind = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(10))
+    mark = lambda k: pick(k, "!", "#", "$", "&", "?", "*", "%", "-", "_", "@")
+    password = F.concat(F.substring(mixed(39), 1, 4), pick(40, mark(41), F.lit("")), F.substring(mixed(42), 5, 4), pick(43, mark(44), F.substring(bits(45), 1, 3), F.substring(mixed(46), 1, 5)))
+    plain_short = pick(47, F.concat(word(48), pick(49, "1", "12", "123", "2024")), F.concat(F.initcap(word(50)), F.initcap(word(51))), F.concat(word(52), between, word(53), F.lit("1")), F.lit("changeme1"), F.lit("password1"), F.lit("********1"), F.concat(word(54), F.initcap(word(55)), F.lit("s")))
+    kind = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(12))
     rows = spark.range(n).withColumn("kind", kind)
     false = lambda c, b: F.struct(c.alias("candidate"), b.alias("before"), F.lit(0.0).alias("label"))
     true = lambda c, b: F.struct(c.alias("candidate"), b.alias("before"), F.lit(1.0).alias("label"))
     made = F.when(F.col("kind") < 4, true(secret, not_warm)).when(F.col("kind") == 4, true(pick(30, F.concat(F.lit("AKIA"), F.upper(F.substring(bits(31), 1, 16))), F.concat(F.lit("ghp_"), F.substring(mixed(32), 1, 36))), not_plain))
     made = made.when(F.col("kind") == 5, false(pick(33, long_hex, uuid), F.concat_ws(" ", plain(34), cold))).when(F.col("kind") == 6, false(pick(35, digits, uuid), not_plain))
-    made = made.when(F.col("kind") == 7, false(pick(36, name, camel, url), not_plain)).when(F.col("kind") == 8, false(filler, not_warm)).otherwise(false(pick(37, name, camel), not_warm))
+    made = made.when(F.col("kind") == 7, false(pick(36, name, camel, url), not_plain)).when(F.col("kind") == 8, false(filler, not_warm))
+    made = made.when(F.col("kind") == 10, true(F.rpad(password, 9, "7"), F.concat_ws(" ", plain(56), pick(57, "password", "pwd", "the password", "db_password", "passphrase", "secret")))).when(F.col("kind") == 11, false(plain_short, not_warm)).otherwise(false(pick(37, name, camel), not_warm))
     return rows.select("id", made.alias("m")).select("id", "m.*", plain(38).alias("after"))
 
 
