@@ -195,6 +195,19 @@ def test_group_that_no_shard_holds(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 46
 
 
+def test_rounds_end_when_nothing_fits(spark):
+    """Two groups of 0.6 of what is left, again and again: a round accepts one of them."""
+    free, rows = 10**7, []
+    for k in range(14):
+        size = free * 6 // 10
+        rows += [(2 * k, f"a{k}", size, 0), (2 * k + 1, f"b{k}", size, 0)]
+        free -= size
+    done, left = sharding.propagate(spark.createDataFrame(rows, "rid long, grp string, size long, shard int"), [10**7])
+    placed = {r["grp"] for r in done.collect()}
+    assert {g[1:] for g in placed} == {str(k) for k in range(14)} and len(placed) == 14
+    assert {r["grp"] for r in left.collect()} == {g for _, g, _, _ in rows} - placed
+
+
 # 5. SimHash
 
 

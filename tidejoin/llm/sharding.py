@@ -3,7 +3,8 @@
 Documents start with a label by hash. Linked documents (those of groups of two or more; here, of equal texts) then
 move: in each round a join gives every group the weight of its members under each label, the group proposes the
 heaviest label that has room, and proposals are accepted from the largest group down while the label's quota, an equal
-share of all bytes, holds. Accepted groups are whole in one shard. Rounds end when none is pending, or when nothing
+share of all bytes, holds. Labels of members and weights stay as they were, and only equal texts are links, so a group
+takes one majority vote a round. Accepted groups are whole in one shard. Rounds end when none is pending, or when nothing
 more fits: such groups outgrow every shard's room, and their members fill shards in a row, so they touch the fewest.
 Unlinked documents are ballast: they fill the remaining room in three rounds, from large to small, so shards differ by
 about one small document.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, text_bytes
 from .prefix import bucket_of, running
 
-SHARDS, SEED, MAX_ROUNDS = 8, 42, 12
+SHARDS, SEED = 8, 42
 #: Parts of a shard's share that part unlinked documents into large, middle and small.
 LARGE, MIDDLE = 64, 512
 
@@ -78,7 +79,7 @@ def propagate(linked: DataFrame, capacity: list[int]) -> tuple[DataFrame, DataFr
     pending, _ = cut(weights, "pending")
     placed: list[DataFrame] = []
     free = list(capacity)
-    for _ in range(MAX_ROUNDS):
+    while True:  # a round with a proposal accepts the largest group of a shard at least
         proposals, _ = cut(_propose(pending, free).where("shard is not null"), "proposals")
         accepted, _ = cut(_accept(proposals, free).join(proposals, ["grp", "shard"]).select("grp", "shard", "gsize"), "accepted")
         used = _per_shard(accepted.withColumnRenamed("gsize", "size"), shards)
