@@ -47,11 +47,14 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to doc_id, place, candidate, before, after."""
-    words = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0)).alias("w"))
+    text = F.coalesce("text", F.lit(""))
+    split = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # Looking behind at every place is dear, and finds nothing in texts without a label.
+    words = docs.select(F.col("doc_id").cast("long"), F.when(text.rlike("(?i)password|passwd|pwd|passphrase"), split(WORDS)).otherwise(split(f"[^{MARKS}]+")).alias("w"))
     runs = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"{RUN}{{{SHORT_CHARS},}}"), F.lit(0)), lambda r: F.regexp_replace(r, r"^\.+|\.+$", ""))
     parts = lambda x: F.when(x.rlike(f"[{MARKS}]"), F.array(x)).otherwise(runs(x))
     near = lambda x, i: F.struct(i.alias("place"), F.array_join(F.slice("w", F.greatest(i - AROUND + 1, F.lit(1)), F.least(F.lit(AROUND), i)), " ").alias("before"), F.array_join(F.slice("w", i + 2, AROUND), " ").alias("after"), parts(x).alias("parts"))
-    found = F.filter(F.transform("w", lambda x, i: F.when(F.octet_length(x) >= SHORT_CHARS, near(x, i))), lambda s: s.isNotNull())
+    found = F.filter(F.transform("w", lambda x, i: F.when((F.octet_length(x) >= SHORT_CHARS) & x.rlike(f"[0-9A-Z{MARKS}]"), near(x, i))), lambda s: s.isNotNull())
     rows = words.where(F.exists("w", lambda x: F.octet_length(x) >= SHORT_CHARS)).select("doc_id", F.explode(found).alias("c"))
     rows = rows.select("doc_id", "c.place", F.explode("c.parts").alias("candidate"), "c.before", "c.after")
     c = F.col("candidate")
