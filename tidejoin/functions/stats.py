@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import JoinSpec
 from ..operators.join import histogram, window_join
 from ..operators.windows import assign_windows
+from .running import running_sum
 
 #: Rows of room for each expected match.
 ROOM = {"NLJ": 10.0, "HJ": 1.125, "SMJ": 1.125}
@@ -17,18 +18,24 @@ RING = 1024
 
 
 def progress(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
-    """The progress curve: arr (ordinal of the emitting batch), matches, cumulative matches, window, closed flag.
+    """The progress curve: arr (ordinal of the emitting batch), win, matches, cumulative matches, closed flag.
 
-    A lazy window emits at the batch that completes it, and is closed; an eager match at the later of its two batches,
-    and the flag marks the first emission of a later window.
+    Eager: a row for every batch, with the matches whose later batch it is; the flag marks the first batch of a later
+    window, which finds an empty state and so has none. Lazy: a row for every executed window, at the batch that
+    completes it, always closed. Rows without a match are kept.
     """
-    joined = window_join(tuples, spec)
-    emitted = (2 * (F.col("win") + 1) * spec.whole - 1) if spec.progress == "LAZY" else F.greatest("larr", "rarr")
-    found = joined.groupBy("win", emitted.alias("arr")).agg(F.count("*").alias("matches"))
-    order = Window.orderBy("arr")  # a row for each batch that emits, already counted
-    closed = F.lit(True) if spec.progress == "LAZY" else F.coalesce(F.lag("win").over(order) < F.col("win"), F.lit(False))
-    running = F.sum("matches").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return found.select("arr", "win", "matches", running.alias("current_matches"), closed.alias("is_window_closed"))
+    counts, placed = window_join(tuples, spec), assign_windows(tuples, spec)
+    if spec.progress == "LAZY":
+        every, key = placed.select("win").distinct(), "win"
+        found = counts.groupBy("win").agg(F.count("*").alias("matches"))
+        arr, closed = 2 * (F.col("win") + 1) * spec.whole - 1, F.lit(True)
+    else:
+        every, key = placed.select("arr", "win").distinct(), "arr"
+        found = counts.groupBy(F.greatest("larr", "rarr").alias("arr")).agg(F.count("*").alias("matches"))
+        arr, closed = F.col("arr"), (F.col("arr") > 0) & (F.col("arr") % spec.length == 0)
+    rows = every.join(found, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+    summed = running_sum(rows, key, "matches", "current_matches")
+    return summed.select(arr.alias("arr"), "win", "matches", "current_matches", closed.alias("is_window_closed"))
 
 
 def prefix_sums(tuples: DataFrame, spec: JoinSpec) -> DataFrame:

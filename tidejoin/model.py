@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Join hints. A nested loop runs inside windows, which meet by hash.
-ALGORITHMS = {"NLJ": "shuffle_hash", "HJ": "shuffle_hash", "SMJ": "merge"}
+#: Join hints. A nested loop runs inside windows, which meet by hash. EMPTY takes the input in and joins nothing.
+ALGORITHMS = {"NLJ": "shuffle_hash", "HJ": "shuffle_hash", "SMJ": "merge", "EMPTY": "shuffle_hash"}
 PROGRESS = ("LAZY", "EAGER")
 OUTPUTS = ("NO_OUTPUT", "COUNT_KERNEL", "ESTIMATED_SELECTIVITY", "BITMAP", "ATOMIC")
 DEVICES = ("CPU", "GPU")
@@ -61,3 +61,8 @@ class JoinSpec:
     def touched(self) -> int:
         """Batches that a side needs to hold a window's tuples."""
         return -(-self.window // self.batch)
+
+    @property
+    def length(self) -> int:
+        """Batches of both sides that an eager window holds."""
+        return 2 * self.touched - 1

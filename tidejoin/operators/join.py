@@ -13,11 +13,13 @@ WORD = 32  # right tuples in a bitmap word
 HYBRID_SALTS = 8
 
 
-def _dealt(df: DataFrame, spec: JoinSpec, win: str, key: str) -> DataFrame:
+def _salted(df: DataFrame, spec: JoinSpec, win: str, key: str) -> DataFrame:
+    """Dealt by window (INTER), or by window and salt (HYBRID), whose salt is also a join key so that the deal holds."""
     if spec.parallel == "INTER":
         return df.repartition(win)
     if spec.parallel == "HYBRID":
-        return df.repartition(win, F.pmod(F.hash(key), F.lit(HYBRID_SALTS)))
+        salt = f"{key}_salt"
+        return df.withColumn(salt, F.pmod(F.hash(key), F.lit(HYBRID_SALTS))).repartition(win, salt)
     return df
 
 
@@ -28,10 +30,14 @@ def window_join(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
     meet by hash, and all pairs of a window are compared, never pairs of different windows.
     """
     left, right = sides(assign_windows(tuples, spec))
-    left, right = _dealt(left, spec, "win", "lkey"), _dealt(right, spec, "rwin", "rkey")
-    if spec.algorithm == "NLJ":
-        return left.join(right.hint(ALGORITHMS["NLJ"]), (F.col("win") == F.col("rwin")) & (F.col("lkey") - F.col("rkey") == 0)).drop("rwin")
-    return left.join(right.hint(ALGORITHMS[spec.algorithm]), (F.col("win") == F.col("rwin")) & (F.col("lkey") == F.col("rkey"))).drop("rwin")
+    left, right = _salted(left.where("lkey is not null"), spec, "win", "lkey"), _salted(right.where("rkey is not null"), spec, "rwin", "rkey")
+    same = F.col("win") == F.col("rwin")
+    if spec.parallel == "HYBRID":
+        same = same & (F.col("lkey_salt") == F.col("rkey_salt"))
+    if spec.algorithm == "EMPTY":
+        same = F.lit(False)
+    match = (F.col("lkey") - F.col("rkey") == 0) if spec.algorithm == "NLJ" else (F.col("lkey") == F.col("rkey"))
+    return left.join(right.hint(ALGORITHMS[spec.algorithm]), same & match).drop("rwin", "lkey_salt", "rkey_salt")
 
 
 def materialize(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -67,11 +73,15 @@ def decode_bitmap(bits: DataFrame) -> DataFrame:
 
 
 def selectivity(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
-    """One row: windows, matches, possible matches, and their share in percent (null without possible matches)."""
+    """One row: windows, matches, possible matches, and their share in percent (null without possible matches).
+
+    A lazy window counts as executed when it joins, an eager one when it is cleared, so the open last one doesn't.
+    """
     each = lambda s: F.count(F.when(F.col("side") == s, 1))
     sizes = assign_windows(tuples, spec).groupBy("win").agg(each("L").alias("l"), each("R").alias("r"))
     table = sizes.join(count_by_histogram(tuples, spec), "win", "left")
-    sums = table.agg(F.count("*").alias("windows"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("possible"))
+    executed = F.count("*") if spec.progress == "LAZY" else F.coalesce(F.max("win"), F.lit(0).cast("long"))
+    sums = table.agg(executed.alias("windows"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("possible"))
     return sums.withColumn("selectivity", 100.0 * F.col("matches") / F.nullif(F.col("possible"), F.lit(0)))
 
 

@@ -3,6 +3,10 @@
 The watermark is the largest last timestamp of any batch so far; a window closes at the first batch that takes it
 ``width`` beyond the close before. The crossing batch still belongs to a lazy window, and opens the next eager one.
 Lazy windows that never close don't join.
+
+Each batch points to the one that would close next if a window closed at it. The chain of closes from the first batch is
+found by pointer doubling: each round doubles the pointers' reach, so n windows take about log2(n) rounds, each a join
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,42 +14,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_max, running_sum
 from ..model import one_of
+from ..sources.scratch import cut, drop
 from .join import RESULT
 from .windows import arrival
 
-RECURSION = {"spark.sql.cteRecursionLevelLimit": "1000000", "spark.sql.cteRecursionRowLimit": "100000000"}
+
+def _pointers(batches: DataFrame, width_ms: int) -> DataFrame:
+    """batches (arr, wm), wm ascending, to arr, nxt: the first batch whose watermark is ``width_ms`` further.
+
+    Watermarks fall into cells of that width, and the wanted batch lies in the cell after this one's or is the first
+    of the next cell that has any. So batches of one cell meet in a window, and cells, a row each, in another.
+    """
+    cell = F.floor(F.col("wm") / width_ms)
+    own = batches.select(cell.alias("cell"), F.col("wm").alias("x"), F.lit(0).alias("asks"), "arr")
+    asks = batches.select((cell + 1).alias("cell"), (F.col("wm") + width_ms).alias("x"), F.lit(1).alias("asks"), "arr")
+    down = Window.partitionBy("cell").orderBy(F.desc("x"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.min(F.when(F.col("asks") == 0, F.col("arr")))
+    inside = own.union(asks).withColumn("found", first.over(down)).where("asks = 1")
+    cells = own.union(asks).groupBy("cell").agg(first.alias("first"))
+    later = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each window's width of time
+    return inside.join(cells.select("cell", F.min("first").over(later).alias("next")), "cell").select("arr", F.coalesce("found", "next").alias("nxt"))
+
+
+def _closes(pointers: DataFrame) -> DataFrame:
+    """pointers (arr, nxt) to (arr) of the batches that the chain from batch 0 meets."""
+    spark = pointers.sparkSession
+    now, path = cut(pointers.select("arr", "nxt", (F.col("arr") == 0).alias("met")), "chain")
+    while now.where("arr = 0 and nxt is not null").count():
+        # What a met batch points to is met; then every pointer takes two steps at once.
+        ahead = now.where("met and nxt is not null").select(F.col("nxt").alias("arr"), F.lit(True).alias("hit"))
+        twice = now.select(F.col("arr").alias("nxt"), F.col("nxt").alias("nxt2"))
+        after = now.join(ahead, "arr", "left").join(twice, "nxt", "left")
+        now, new = cut(after.select("arr", F.col("nxt2").alias("nxt"), (F.col("met") | F.coalesce("hit", F.lit(False))).alias("met")), "chain")
+        drop(spark, path)
+        path = new
+    return now.where("met and arr > 0").select("arr")
 
 
 def batch_windows(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> DataFrame:
     """arr, win of every batch, from batched tuples. One row a batch: all that follows the first aggregate is small."""
     one_of("progress", progress, ("LAZY", "EAGER"))
-    spark = tuples.sparkSession
-    for k, v in RECURSION.items():
-        spark.conf.set(k, v)
     last = tuples.groupBy(arrival().alias("arr")).agg(F.max_by(F.unix_millis(F.col("ts").cast("timestamp")), "seq").alias("last"))
-    order = Window.orderBy("arr").rowsBetween(Window.unboundedPreceding, 0)
-    batches = last.select("arr", F.max("last").over(order).alias("wm"))
-    # Where a close at each batch would be followed by the next: the first batch whose watermark is width further.
-    points = batches.select("arr", F.col("wm").alias("x"), F.lit(0).alias("asks")).union(batches.select("arr", F.col("wm") + width_ms, F.lit(1)))
-    down = Window.orderBy(F.desc("x"), "asks").rowsBetween(Window.unboundedPreceding, 0)
-    found = points.withColumn("nxt", F.min(F.when(F.col("asks") == 0, F.col("arr"))).over(down)).where("asks = 1 and nxt is not null").select("arr", "nxt")
-    found = found.persist()  # one small row a batch, read again by every step of the chain
-    chain = spark.sql(
-        """WITH RECURSIVE closes(at) AS (
-             SELECT nxt FROM {found} WHERE arr = 0
-             UNION ALL
-             SELECT f.nxt FROM closes c JOIN {found} f ON f.arr = c.at)
-           SELECT at FROM closes""",
-        found=found,
-    )
-    flagged = batches.join(chain, F.col("arr") == F.col("at"), "left").select("arr", F.col("at").isNotNull().cast("long").alias("closes"))
-    until = order if progress == "EAGER" else order.rowsBetween(Window.unboundedPreceding, -1)
-    win = flagged.withColumn("win", F.coalesce(F.sum("closes").over(until), F.lit(0)))
+    batches, _ = cut(running_max(last, "arr", "last", "wm").select("arr", "wm"), "batches")
+    closes = _closes(_pointers(batches, width_ms)).select("arr", F.lit(1).alias("closes"))
+    flagged = batches.select("arr").join(closes, "arr", "left").withColumn("closes", F.coalesce("closes", F.lit(0)))
+    win = running_sum(flagged, "arr", "closes", "win", before=progress == "LAZY").select("arr", "win")
     if progress == "EAGER":
-        return win.select("arr", "win")
-    closed = F.sum("closes").over(Window.partitionBy(F.lit(0)))
-    return win.withColumn("n", closed).where("win < n").select("arr", "win")
+        return win
+    return win.join(F.broadcast(closes.agg(F.count("*").alias("n"))), F.col("win") < F.col("n"), "left_semi")  # one row
 
 
 def time_join(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> DataFrame:

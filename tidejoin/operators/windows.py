@@ -22,7 +22,7 @@ def assign_windows(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
     """tuples (side, batch, nb, ...) with win and arr; tuples of no window are dropped."""
     placed = tuples.withColumn("arr", arrival())
     if spec.progress == "EAGER":
-        return placed.withColumn("win", F.floor(F.col("arr") / (2 * spec.touched - 1)).cast("long"))
+        return placed.withColumn("win", F.floor(F.col("arr") / spec.length).cast("long"))
     spare = spec.touched - spec.whole
     windows = F.greatest(F.lit(0), F.floor((F.col("nb") - spare) / spec.whole))
     return placed.withColumn("win", F.floor(F.col("batch") / spec.whole).cast("long")).where(F.col("win") < windows)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import csv
+import logging
 import os
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.stats import median, progress
+from ..functions.stats import ROOM, estimated_capacity, median, progress
 from ..model import ALGORITHMS, DEVICES, OUTPUTS, PARALLEL, PROGRESS, JoinSpec, one_of
-from ..operators.join import count_by_histogram, count_by_window, materialize, selectivity
+from ..operators.join import bitmap, count_by_histogram, count_by_window, materialize, selectivity
 from ..sources.datagen import stream_pair
 from ..sources.sequence import batched
 
+LOG = logging.getLogger("tidejoin")
+
 #: Tuples of 16 bytes in a kibibyte and a mebibyte.
 KIB, MIB = 64, 65536
 LIMIT_MS, NEAR_MS, PRECISION = 1000, 50, 32 * KIB
@@ -54,26 +57,62 @@ def grid(config: dict, size: int = 2560 * MIB) -> list[Experiment]:
     ]
 
 
+def outputs(tuples: DataFrame, spec: JoinSpec) -> list[DataFrame]:
+    """What a run writes, in order, by its output mode.
+
+    NO_OUTPUT counts (sort-merge by histograms); COUNT_KERNEL counts, then writes the rows; ESTIMATED_SELECTIVITY sets
+    room aside, then writes the rows; BITMAP writes bits; ATOMIC writes the rows. EMPTY only takes the input in.
+    """
+    if spec.algorithm == "EMPTY":
+        return [tuples]
+    if spec.output == "NO_OUTPUT":
+        return [count_by_histogram(tuples, spec) if spec.algorithm == "SMJ" else count_by_window(tuples, spec)]
+    if spec.output == "BITMAP":
+        return [bitmap(tuples, spec)]
+    first = {"COUNT_KERNEL": count_by_window, "ESTIMATED_SELECTIVITY": estimated_capacity}.get(spec.output)
+    return ([first(tuples, spec)] if first else []) + [materialize(tuples, spec)]
+
+
 def run_once(spark: SparkSession, x: Experiment, size: int | None = None, ts_range: int = 1000) -> dict:
-    """Generate both sides, run the join into a noop sink, and report. Time covers the join, not the generation."""
+    """Generate both sides, run the join into a noop sink, and report. ``time`` covers the join, not the generation.
+
+    Besides the file's columns: matches, windows, generate_ms, window_ms (time by executed window, null without one),
+    and overflown, the windows whose matches exceed the room that ESTIMATED_SELECTIVITY sets aside.
+    """
     size = size or x.size
+    began = time.perf_counter()
     tuples = batched(stream_pair(spark, size, theta=x.theta, distinct=x.distinct, upper=ts_range), x.spec.batch).persist()
     tuples.count()
-    began = time.perf_counter()
-    if x.spec.output == "NO_OUTPUT" and x.spec.algorithm == "SMJ":
-        result = count_by_histogram(tuples, x.spec)
-    else:
-        result = (count_by_window if x.spec.output == "NO_OUTPUT" else materialize)(tuples, x.spec)
-    result.write.format("noop").mode("overwrite").save()
-    elapsed = (time.perf_counter() - began) * 1000
-    share = selectivity(tuples, x.spec).first()
+    made = time.perf_counter()
+    for df in outputs(tuples, x.spec):
+        df.write.format("noop").mode("overwrite").save()
+    elapsed = (time.perf_counter() - made) * 1000
+    counted = replace(x.spec, algorithm="HJ") if x.spec.algorithm == "EMPTY" else x.spec
+    share = selectivity(tuples, counted).first()
+    overflown = None
+    if x.spec.output == "ESTIMATED_SELECTIVITY" and x.spec.algorithm in ROOM:
+        overflown = count_by_window(tuples, counted).join(estimated_capacity(tuples, counted), "win").where("matches > capacity").count()
     tuples.unpersist()
     cores = spark.sparkContext.defaultParallelism
     probe, join = {"INTRA": (cores, 1), "INTER": (1, cores), "HYBRID": (max(1, cores // 4), 4)}[x.spec.parallel]
-    return {
+    matches = 0 if x.spec.algorithm == "EMPTY" else share["matches"]
+    report = {
         "algorithm_name": x.spec.name, "write_result": x.spec.output, "ingestion_rate": size, "batch_size": x.spec.batch, "zipf_theta": x.theta, "distinct_key": x.distinct,
-        "window_size": x.spec.window, "probe_threads": probe, "joiner_threads": join, "selectivity": share["selectivity"], "time": elapsed, "matches": share["matches"],
+        "window_size": x.spec.window, "probe_threads": probe, "joiner_threads": join, "selectivity": share["selectivity"] if matches else 0.0, "time": elapsed, "matches": matches,
+        "windows": share["windows"], "generate_ms": (made - began) * 1000, "window_ms": elapsed / share["windows"] if share["windows"] else None, "overflown": overflown,
     }
+    LOG.info("%s: %s matches, selectivity %s %%, %.0f ms, %s windows", x.spec.name, matches, report["selectivity"], elapsed, share["windows"])
+    return report
+
+
+def standalone(spark: SparkSession, size: int = 128 * MIB) -> dict:
+    """One run of a lazy sort-merge join over skewed keys, counted: windows of 2 MiB, batches of 128 KiB."""
+    return run_once(spark, Experiment(JoinSpec(128 * KIB, 2 * MIB, algorithm="SMJ", device="GPU"), 1000, 0.99, size))
+
+
+def write_input(path: str, tuples: DataFrame) -> None:
+    """Append the tuples to a folder of CSV files: key, val, ts, without a header."""
+    tuples.select("key", "val", "ts").write.mode("append").csv(path)
 
 
 def sustainable(spark: SparkSession, x: Experiment, run=run_once, limit: float = LIMIT_MS, near: float = NEAR_MS, precision: int = PRECISION, most: int = 1 << 40) -> dict:
@@ -125,11 +164,15 @@ def write_progress(spark: SparkSession, path: str, x: Experiment) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
-def main(config: str, out: str) -> None:
-    """Command line: a YAML grid, and a folder for the CSV files."""
+def main(config: str, out: str = "") -> None:
+    """Command line: a YAML grid, and a folder for the CSV files; or ``standalone``."""
     import yaml
 
+    logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("tidejoin").getOrCreate()
+    if config == "standalone":
+        print(standalone(spark))
+        return
     with open(config) as f:
         wanted = yaml.safe_load(f)
     for x in grid(wanted):

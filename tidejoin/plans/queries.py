@@ -81,18 +81,27 @@ for _mode in ("LAZY", "EAGER"):
     _add(f"{_low}_nlj_bitmap", _joined(join.bitmap, _mode, "NLJ", output="BITMAP"), _sql + "SELECT win, lseq, rseq // 32 AS word, bit_or(CAST(1 AS BIGINT) << CAST(rseq % 32 AS BIGINT)) AS bits FROM j GROUP BY 1, 2, 3")
     _add(f"{_low}_bitmap_decoded", lambda s, d, m=_mode: join.decode_bitmap(join.bitmap(_tuples(s, d), _spec(m, "NLJ"))), _sql + "SELECT win, lseq, rseq FROM j")
     _add(f"{_low}_smj_histogram_count", _joined(join.count_by_histogram, _mode, "SMJ"), _sql + "SELECT win, count(*) AS matches FROM j GROUP BY win")
-    _add(f"{_low}_selectivity", _joined(join.selectivity, _mode), _sql + "SELECT (SELECT count(*) FROM z) AS windows, (SELECT count(*) FROM j) AS matches, (SELECT CAST(coalesce(sum(l * r), 0) AS BIGINT) FROM z) AS possible, 100.0::DOUBLE * (SELECT count(*) FROM j) / nullif((SELECT sum(l * r) FROM z), 0) AS selectivity")
+    _add(f"{_low}_selectivity", _joined(join.selectivity, _mode), _sql + f"SELECT (SELECT {'count(*)' if _mode == 'LAZY' else 'coalesce(max(win), 0)'} FROM z) AS windows, (SELECT count(*) FROM j) AS matches, (SELECT CAST(coalesce(sum(l * r), 0) AS BIGINT) FROM z) AS possible, 100.0::DOUBLE * (SELECT count(*) FROM j) / nullif((SELECT sum(l * r) FROM z), 0) AS selectivity")
     _add(f"{_low}_windows", _joined(join.by_window, _mode), _sql + "SELECT win, coalesce(m, 0) AS matches, l * r AS possible_matches, 100.0::DOUBLE * coalesce(m, 0) / nullif(l * r, 0) AS selectivity FROM z LEFT JOIN (SELECT win, count(*) AS m FROM j GROUP BY win) USING (win)")
-    _emitted = f"2 * (win + 1) * {WINDOW // BATCH} - 1" if _mode == "LAZY" else "greatest(larr, rarr)"
-    _closed = "TRUE" if _mode == "LAZY" else "coalesce(lag(win) OVER (ORDER BY arr) < win, FALSE)"
-    _add(f"{_low}_progress", _joined(stats.progress, _mode), _sql + f", e AS (SELECT win, {_emitted} AS arr, count(*) AS matches FROM j GROUP BY 1, 2) SELECT arr, win, matches, CAST(sum(matches) OVER (ORDER BY arr) AS BIGINT) AS current_matches, {_closed} AS is_window_closed FROM e")
+    if _mode == "LAZY":
+        _rows = f"e AS (SELECT win, 2 * (win + 1) * {WINDOW // BATCH} - 1 AS arr, TRUE AS closed, count(j.lseq) AS matches FROM (SELECT DISTINCT win FROM w) LEFT JOIN j USING (win) GROUP BY win)"
+    else:
+        _rows = "x AS (SELECT DISTINCT arr, win FROM w), y AS (SELECT *, coalesce(lag(win) OVER (ORDER BY arr) < win, FALSE) AS closed FROM x), e AS (SELECT y.win, y.arr, y.closed, count(j.lseq) AS matches FROM y LEFT JOIN j ON greatest(larr, rarr) = y.arr GROUP BY ALL)"
+    _add(f"{_low}_progress", _joined(stats.progress, _mode), _sql + f", {_rows} SELECT arr, win, matches, CAST(sum(matches) OVER (ORDER BY arr) AS BIGINT) AS current_matches, closed AS is_window_closed FROM e")
 _sql = _ctes("LAZY")
 _add("lazy_estimated_capacity", _joined(stats.estimated_capacity, "LAZY"), _sql + ", d AS (SELECT count(DISTINCT key) AS d FROM w) SELECT win, CAST(ceil(1.125 * ceil(l * r / d)) AS BIGINT) AS capacity, 1.0::DOUBLE / d AS estimated_selectivity FROM z, d")
+for _alg, _output in (("NLJ", "ESTIMATED_SELECTIVITY"), ("SMJ", "ESTIMATED_SELECTIVITY")):
+    _add(f"lazy_{_alg.lower()}_capacity", _joined(stats.estimated_capacity, "LAZY", _alg, output=_output), _sql + f", d AS (SELECT count(DISTINCT key) AS d FROM w) SELECT win, CAST(ceil({stats.ROOM[_alg]} * ceil(l * r / d)) AS BIGINT) AS capacity, 1.0::DOUBLE / d AS estimated_selectivity FROM z, d")
+_add("lazy_empty", _joined(join.by_window, "LAZY", "EMPTY"), _sql + "SELECT win, CAST(0 AS BIGINT) AS matches, l * r AS possible_matches, 0.0::DOUBLE AS selectivity FROM z")
 _add("key_histogram", _joined(join.histogram, "LAZY"), _sql + "SELECT side, win, key, count(*) AS n FROM w GROUP BY 1, 2, 3")
 _add("key_prefix_sum", _joined(stats.prefix_sums, "LAZY"), _sql + ", h AS (SELECT side, win, key, count(*) AS n FROM w GROUP BY 1, 2, 3) SELECT side, win, key, n, CAST(coalesce(sum(n) OVER (PARTITION BY side, win ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h")
 _add("counting_sort_slots", _joined(stats.slots, "LAZY"), _sql + "SELECT side, win, key, val, row_number() OVER (PARTITION BY side, win ORDER BY key, seq) - 1 AS slot FROM w")
 _add("latest_results_ring", _joined(stats.latest_results, "LAZY"), _sql + "SELECT row_number() OVER (ORDER BY win DESC, lseq DESC, rseq DESC) - 1 AS slot, win, lseq, rseq, lval, rval FROM j ORDER BY slot LIMIT 1024")
-_add("median_elapsed", lambda s, d: event_tuples(s, d).groupBy("side").agg(F.floor(F.percentile("key", 0.5)).alias("median")), _sql + "SELECT side, CAST(floor(quantile_cont(key, 0.5)) AS BIGINT) AS median FROM t GROUP BY side")
+# The time from a window's first tuple to its last stands for what it took.
+_add(
+    "median_window_span", lambda s, d: windows.assign_windows(_tuples(s, d), _spec("LAZY")).groupBy("win").agg((F.max(F.unix_millis(F.col("ts").cast("timestamp"))) - F.min(F.unix_millis(F.col("ts").cast("timestamp")))).alias("ms")).agg(F.floor(F.percentile("ms", 0.5)).alias("median_ms")),
+    _sql + "SELECT CAST(floor(quantile_cont(ms, 0.5)) AS BIGINT) AS median_ms FROM (SELECT win, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS ms FROM w GROUP BY win)",
+)
 _add("window_w_not_multiple_of_b", lambda s, d: join.by_window(batched(event_tuples(s, d), 48), JoinSpec(48, 200)), _ctes("LAZY", 48, 200) + "SELECT win, coalesce(m, 0) AS matches, l * r AS possible_matches, 100.0::DOUBLE * coalesce(m, 0) / nullif(l * r, 0) AS selectivity FROM z LEFT JOIN (SELECT win, count(*) AS m FROM j GROUP BY win) USING (win)")
 
 
@@ -129,6 +138,10 @@ _add(
 )
 
 
+_add("gen_burst_sorted", lambda s, d: datagen.generate(s, _N, mode="BURST", distinct=_D, upper=_UB).select("id", "ts"), ORACLE_SQL["gen_burst_ts"].replace("SELECT place % 1000 AS ts, count(*) AS n FROM p GROUP BY 1", "SELECT row_number() OVER (ORDER BY place % 1000) - 1 AS id, place % 1000 AS ts FROM p"))
+_add("gen_zipf_sorted", lambda s, d: datagen.sorted_by(datagen.generate(s, _N, theta=0.5, distinct=_D), "key"), "WITH k AS (" + ORACLE_SQL["gen_zipf_keys"] + ") SELECT row_number() OVER (ORDER BY key) - 1 AS id, key FROM k, range(n) r(i)")
+
+
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(x.spec.algorithm, x.spec.device, x.spec.progress, x.distinct, x.theta, x.spec.window, x.spec.batch, x.spec.parallel, x.repeat) for x in experiment.grid(CONFIG)]
     return spark.createDataFrame(rows, "algorithm string, device string, progress string, distinct_key long, theta double, window long, batch long, par string, repeat long")

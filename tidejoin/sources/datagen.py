@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEFT_SEED, RIGHT_SEED = 123, 456
 STEADY, BURST = "STEADY", "BURST"
 PRIME = 2147483647
+#: Distinct values, at most, that sorted_by() lays out.
+VALUES = 1 << 14
 #: Weights of a burst's period, whole numbers so that sums are exact: a sine a degree a tuple, above zero.
 PERIOD = 360
 BURST_WEIGHTS = [math.floor(1_000_000 * (math.sin(k * 3.14159 / 180) + 1)) + 1 for k in range(PERIOD)]
@@ -63,16 +65,36 @@ def zipf_key(spark: SparkSession, u: Column, distinct: int, theta: float) -> Col
 
 
 def generate(spark: SparkSession, count: int, theta: float = 0.0, mode: str = STEADY, distinct: int = 1000, seed: int = LEFT_SEED, upper: int = 1000) -> DataFrame:
-    """id, key, val (equal to key), ts in milliseconds."""
+    """id, key, val (equal to key), ts in milliseconds. Timestamps ascend along the ids, bursts too."""
     if mode not in (STEADY, BURST):
         raise ValueError(f"unknown timestamp mode {mode!r}")
     key = zipf_key(spark, uniform(F.col("id"), seed), distinct, theta)
     ts = (steady_ts if mode == STEADY else burst_ts)(F.col("id"), count, upper)
-    return spark.range(count).select("id", key.alias("key"), key.alias("val"), ts.alias("ts"))
+    made = spark.range(count).select("id", key.alias("key"), key.alias("val"), ts.alias("ts"))
+    if mode == STEADY:
+        return made
+    return made.drop("ts").join(sorted_by(made, "ts"), "id").select("id", "key", "val", "ts")
 
 
-def sorted_keys(keys: DataFrame) -> DataFrame:
-    return keys.orderBy("key", "id")
+def sorted_by(generated: DataFrame, column: str) -> DataFrame:
+    """id and the values of ``column``, in ascending order along the ids 0, 1, ...
+
+    A generator's values are few (timestamps under ``upper``, keys under ``distinct``): their counts give each value's
+    stretch of ids, which a binary search in one array finds, and no tuple is moved. More than VALUES are refused.
+    """
+    counts = generated.groupBy(column).agg(F.count("*").alias("n"))
+    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)  # a row a value
+    ends = counts.select(F.col(column).alias("value"), F.sum("n").over(upto).alias("end")).orderBy("value").limit(VALUES + 1).collect()
+    if len(ends) > VALUES:
+        raise ValueError(f"{column} has more than {VALUES} values")
+    ids = generated.select("id")
+    if not ends:
+        return ids.withColumn(column, F.lit(None).cast("long"))
+    literal = lambda xs: F.expr("array(" + ",".join(f"{x}L" for x in xs) + ")")
+    jumps = F.array(*(F.lit(1 << k) for k in reversed(range(len(ends).bit_length()))))
+    bounds = literal([r["end"] for r in ends])
+    step = lambda p, j: F.when((p + j < len(ends)) & (F.get(bounds, F.least(p + j, F.lit(len(ends))) - 1) <= F.col("id")), p + j).otherwise(p)
+    return ids.select("id", F.get(literal([r["value"] for r in ends]), F.aggregate(jumps, F.lit(0), step)).alias(column))
 
 
 def stream_pair(spark: SparkSession, count: int, **options) -> DataFrame:

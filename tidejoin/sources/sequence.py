@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tables up to this estimated size are numbered by one window a side; larger ones by ranges of time.
-SMALL_BYTES = 64 << 20
-RANGES = 512
+#: Tables up to this estimated size are numbered by one window a side; larger ones by ranges of time, of about
+#: RANGE_BYTES each.
+SMALL_BYTES, RANGE_BYTES, MOST_RANGES = 64 << 20, 64 << 20, 8192
 
 LEFT_EVENTS = ("click", "view")
 
@@ -29,10 +29,11 @@ def sequence(tuples: DataFrame, ranges: int | None = None) -> DataFrame:
     Large tables are dealt into ranges of time by quantiles: counts of the ranges, a bounded table, give offsets, and
     windows inside a range give the rest, so no task orders a whole side.
     """
-    if ranges is None and _estimated_bytes(tuples) <= SMALL_BYTES:
+    size = _estimated_bytes(tuples) if ranges is None else 0
+    if ranges is None and size <= SMALL_BYTES:
         at = F.row_number().over(Window.partitionBy("side").orderBy("ts", "val"))
         return tuples.withColumn("seq", at.cast("long") - 1)
-    ranges = ranges or RANGES
+    ranges = ranges or min(MOST_RANGES, max(8, size // RANGE_BYTES))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     bounds = tuples.agg(F.percentile_approx(us, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
     bounds = sorted(set(bounds or []))
@@ -54,5 +55,4 @@ def batched(tuples: DataFrame, batch: int, ranges: int | None = None) -> DataFra
     """Adds seq, batch, and nb, the number of whole batches that both sides have. Later tuples are dropped."""
     numbered = sequence(tuples, ranges).withColumn("batch", F.floor(F.col("seq") / batch).cast("long"))
     sizes = tuples.agg(*(F.floor(F.count(F.when(F.col("side") == s, 1)) / batch).alias(s) for s in ("L", "R")))
-    limit = F.broadcast(sizes.select(F.least("L", "R").cast("long").alias("nb")))  # one row
-    return numbered.crossJoin(limit).where("batch < nb")
+    return numbered.withColumn("nb", sizes.select(F.least("L", "R").cast("long")).scalar()).where("batch < nb")
