@@ -66,35 +66,80 @@ def test_token_output(spark):
     assert tokens.token_output(empty(spark), WORDS).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A file with other rules than the plain ones goes through the library alone."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    encoder = tokens.WordEncoder(path)
+    texts = ["Plain words, it's 12!", "日本 <|endoftext|>", ""]
+    assert not encoder.split and tokens.WordEncoder(WORDS).split
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoder.tk.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_emptied_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 2000)
+    encoder = tokens.WordEncoder(WORDS)
+    for k in range(30):
+        x = prose(k, 60)
+        assert np.frombuffer(encoder.encode([x])[0], "<u4").tolist() == encoder.tk.encode(x, add_special_tokens=False).ids
+        assert encoder.held < 2000 + 60 * 200
+
+
 # 2. Chat
 
 
+ESCAPES = chat.escapes(("<|endoftext|>",))
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.text(alphabet="ab\n:"), st.lists(st.sampled_from(list("\\<tur n>/xé") + ["<turn>", "</turn>", "<text>"])).map("".join)), max_size=4))
+@given(st.lists(st.tuples(st.text(alphabet="ab\n:"), st.lists(st.sampled_from(list("\\<tur n>/xé|") + ["<turn>", "</turn>", "<text>", "<|endoftext|>"])).map("".join)), max_size=4))
 def test_template_is_reversible(turns):
-    text, spans = chat.render(turns)
+    text, spans = chat.render(turns, ESCAPES)
     assert [(r, t) for r, t, _, _ in chat.parse(text)] == turns
     assert [chat.unescape(text[a:b]) for a, b in spans] == [t for _, t in turns]
+    assert not any(x in text[a:b] for a, b in spans for x in ("<turn>", "<text>", "</turn>", "<|endoftext|>"))
+
+
+def test_control_strings_stay_text():
+    tk = chat._Tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    said = "a <|endoftext|> b <<|endoftext|> \\<|endoftext|></turn>"
+    text, _ = chat.render([("user", said), ("assistant", said)], tk.escapes)
+    ids, _ = tk.encode(text, 2)
+    assert 50256 not in ids.tolist() and [i for i in ids.tolist() if i in tk.markers] == tk.markers * 2
+    assert [t for _, t, _, _ in chat.parse(text)] == [said, said]
+    with pytest.raises(ValueError):
+        tk.encode(text + "<|endoftext|>", 2)
+    with pytest.raises(ValueError):
+        chat.escapes(("x",))
 
 
-def test_chat_masks(spark, monkeypatch):
-    monkeypatch.setattr(chat, "PART", 200)  # conversations in several parts
+@pytest.mark.parametrize("part", [200, chat.PART])
+def test_chat_masks(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART", part)  # 200: conversations in several parts
     rng = random.Random(1)
-    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "\\### x </turn>", prose(c * 9 + t, 20), "é日<text>\\"])) for c in range(6) for t in range(7)]
-    rows += [rows[0], (None, 0, "assistant", "no id"), (3, None, "assistant", "null turn")]
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice([None, "", "\\### x </turn>", "<|endoftext|>", prose(c * 9 + t, 20), "é日<text>\\"])) for c in range(6) for t in range(7)]
+    rows += [rows[0], (None, 0, "assistant", "no id"), (None, 0, "user", "none either"), (3, None, "assistant", "null turn"), (9, 0, "assistant", prose(5, 4000))]
     table = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
     convs = defaultdict(list)
     for c, t, r, x in rows:
         convs[c].append((-1 if t is None else t, r or "", x or ""))
     got = {r["conv_id"]: r for r in chat.chat_digest(table, tokenizer_path("byte_bpe_50k.json")).collect()}
     assert set(got) == set(convs)
+    tk = chat._Tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    written = defaultdict(list)
+    for r in chat.format_conversations(table, tokenizer_path("byte_bpe_50k.json")).collect():
+        written[r["conv_id"]].append(r)
     for c, turns in convs.items():
         turns.sort()
         loss = "".join(x for _, r, x in turns if r == "assistant")
         all_ = "".join(f"{r}\n{x}\n" for _, r, x in turns)
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), hashlib.sha256(all_.encode()).hexdigest())
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert got[c]["formatted_chars"] == len(chat.render([(r, x) for _, r, x in turns])[0])
+        whole = chat.render([(r, x) for _, r, x in turns], ESCAPES)[0]
+        assert got[c]["formatted_chars"] == len(whole)
+        parts = sorted(written[c], key=lambda r: r["part"])
+        assert "".join(r["formatted"] for r in parts) == whole and [r["first_turn"] for r in parts] == [sum(x["n_turns"] for x in parts[:k]) for k in range(len(parts))]
+        assert [t for r in parts for t in r["token_ids"]] == tk.encode(whole, len(turns))[0].tolist()  # as if encoded whole
+    assert chat.chat_digest(table.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
 # 3. Decontamination
@@ -112,22 +157,27 @@ def test_alignment_equals_brute_force():
         assert decontam.align(np.asarray([p]), np.asarray([q + [-2]]))[0][0] == best
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 30])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST_SEEDS, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", broadcast)
     items = [prose(500 + k, 30) for k in range(5)]
     edited = items[2].split()
     edited[4], edited[12] = "xx", "yy"
     del edited[20]
     planted = [prose(700, 200) + " " + items[0] + " " + prose(701, 50), " ".join(edited), items[3].upper().replace(" ", ",  ")]
-    docs = documents(spark, planted)
+    docs = documents(spark, planted).unionByName(documents(spark, planted).where("doc_id = 25").selectExpr("cast(null as long) as doc_id", *[c for c in documents(spark).columns if c != "doc_id"]))
     first = 25
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(7, None), (8, "two words"), (None, "x y z")], "item_id long, text string")
     got = decontam.decontaminate(docs, bench).collect()
     assert len(got) == docs.count()
-    assert {r["doc_id"]: r["item_id"] for r in got if r["contaminated"]} == {first: 0, first + 1: 2, first + 2: 3}
+    assert {r["doc_id"]: r["item_id"] for r in got if r["contaminated"]} == {first: 0, first + 1: 2, first + 2: 3, None: 0}
+    assert sorted(r["contaminated"] for r in got if r["doc_id"] is None) == [False, True]  # rows are judged by their own text
+    kept = decontam.drop_matches(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 4
     one = next(r for r in got if r["doc_id"] == first)
     assert (one["score"], one["first_word"], one["n_words"]) == (1.0, 200, 30)
+    unnamed = bench.selectExpr("cast(null as long) as item_id", "text")
+    assert sum(r["contaminated"] for r in decontam.decontaminate(docs, unnamed).collect()) == 4
     assert not any(r["contaminated"] for r in decontam.decontaminate(docs, bench.limit(0)).collect())
     assert decontam.decontaminate(empty(spark), bench).count() == 0
 
@@ -154,9 +204,9 @@ def test_edited_copies_equal_brute_force(spark):
     assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect() if r["contaminated"]} == expect
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 30])
-def test_every_matching_item_is_reported(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("broadcast", [decontam.BROADCAST_SEEDS, 0])
+def test_every_matching_item_is_reported(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", broadcast)
     items = [prose(800 + k, 30) for k in range(4)]
     texts = [" ".join([prose(900, 40), items[2], prose(901, 40), items[0], items[2]]), items[1], prose(902, 60)]
     docs = spark.createDataFrame([*enumerate(texts), (1, items[3])], "doc_id long, text string")
@@ -164,7 +214,7 @@ def test_every_matching_item_is_reported(spark, monkeypatch, block):
     found = decontam.find_matches(docs, bench).collect()
     assert sorted((r["doc_id"], r["item_id"], r["score"], r["first_word"]) for r in found) == [(0, 0, 1.0, 110), (0, 2, 1.0, 40), (1, 1, 1.0, 0), (1, 3, 1.0, 0)]
     got = sorted((r["doc_id"], r["item_id"], r["n_items"]) for r in decontam.decontaminate(docs, bench).collect() if r["contaminated"])
-    assert got == [(0, 0, 2), (1, 1, 2), (1, 1, 2)]
+    assert got == [(0, 0, 2), (1, 1, 1), (1, 3, 1)]
 
 
 # 4. Sharding

@@ -1,16 +1,20 @@
 """Chat formatting with offset-aligned loss masks.
 
-Template of a turn: ``<turn>`` role ``<text>`` text ``</turn>`` and a line feed. In roles and texts a backslash is
-doubled and the ``<`` of each of the three markers gets a backslash after it, so a marker never occurs in an escaped
-string and unescaping (drop each backslash, keep what follows) restores it.
+Template of a turn: ``<turn>`` role ``<text>`` text ``</turn>`` and a line feed. Control strings are the three markers
+and every special token of the tokenizer's file. In roles and texts a backslash is doubled and the first character of
+each control string gets a backslash after it, so none occurs in an escaped string, and unescaping (drop each
+backslash, keep what follows) restores it. Tokens are checked too: a special id outside the template is an error.
+Tokenizers with special tokens of one character, or with a backslash, can't be escaped so and are refused.
 
 A conversation is rendered as a whole, its turn spans noted, and encoded once with offsets; the markers are special
 tokens, so no token crosses from a marker into a text. Turn spans and token spans are both sorted, and a binary search
-finds the tokens of each assistant turn. Conversations over PART characters are written as parts cut between turns;
-as markers are special tokens, the parts' tokens are those of the whole, and a part is all that a task holds.
+finds the tokens of each assistant turn. The unit of writing, at any length, is the part: a run of a conversation's
+turns that ends with the turn that takes it to PART characters, or with the conversation. A part knows how many turns
+precede it. As no token crosses a marker, the parts' tokens in a row are those of the whole.
 
 Defined results: null text and null role are empty strings; turns are in ascending order of turn (nulls first), equal
-ones by role, then text, repeated rows kept; a null conv_id is a conversation of its own; other columns are ignored.
+ones by role, then text, repeated rows kept; rows with a null conv_id form one conversation; a turn of any length is
+encoded whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,32 +28,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, prepare
+from .common import cut, keep, prepare, release
 
 OPEN, TEXT, CLOSE = "<turn>", "<text>", "</turn>"
 LEARNED_ROLES = ("assistant",)
+#: Characters that close a part; what a task holds at a time.
 PART = 1 << 22
 
-_ESCAPE = re.compile(r"\\|<(?=turn>|text>|/turn>)")
 _UNESCAPE = re.compile(r"\\(.?)", re.DOTALL)
 
-FORMATTED = "conv_id long, part int, n_turns long, formatted string, token_ids array<int>, token_starts array<int>, mask_tokens array<int>, mask_chars array<int>"
+FORMATTED = "conv_id long, part int, first_turn long, n_turns long, formatted string, token_ids array<int>, mask_tokens array<int>, mask_chars array<int>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
 
 
-def escape(s: str) -> str:
-    return _ESCAPE.sub(lambda m: m[0] + "\\", s)
+def escapes(special: tuple[str, ...] = ()) -> re.Pattern:
+    """What gets a backslash after it: a backslash, and the first character of the markers and special tokens."""
+    control = sorted({OPEN, TEXT, CLOSE, *special})
+    if any(len(x) < 2 or "\\" in x for x in control):
+        raise ValueError(f"control strings of one character or with a backslash can't be escaped: {control}")
+    return re.compile(r"\\|" + "|".join(f"{re.escape(x[0])}(?={re.escape(x[1:])})" for x in control))
+
+
+def escape(s: str, pattern: re.Pattern) -> str:
+    return pattern.sub(lambda m: m[0] + "\\", s)
 
 
 def unescape(s: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1] or "\\", s)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+def render(turns: list[tuple[str, str]], pattern: re.Pattern) -> tuple[str, list[tuple[int, int]]]:
     """The rendered turns and the span of each turn's escaped text."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{OPEN}{escape(role)}{TEXT}", escape(text)
+        head, body = f"{OPEN}{escape(role, pattern)}{TEXT}", escape(text, pattern)
         spans.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, CLOSE, "\n"]
         at = spans[-1][1] + len(CLOSE) + 1
@@ -81,15 +93,29 @@ def mask_spans(token_starts: np.ndarray, token_ends: np.ndarray, spans: list[tup
     return np.stack([a, b], axis=1).astype(np.int32), chars.astype(np.int32)
 
 
-def _load(path: str):
-    import os
+class _Tokenizer:
+    """A tokenizer with the template's markers, the escapes that it needs, and its special ids."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import AddedToken, Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer
+        self.tk = Tokenizer.from_file(path)
+        special = {x.content: k for k, x in self.tk.get_added_tokens_decoder().items()}
+        self.escapes = escapes(tuple(special))
+        self.tk.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (OPEN, TEXT, CLOSE)])
+        self.markers = [self.tk.token_to_id(x) for x in (OPEN, TEXT, CLOSE)]
+        self.special = np.asarray(sorted({*special.values(), *self.markers}), np.int32)
 
-    tk = Tokenizer.from_file(path)
-    tk.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (OPEN, TEXT, CLOSE)])
-    return tk
+    def encode(self, text: str, turns: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of a rendered text."""
+        e = self.tk.encode(text, add_special_tokens=False)
+        ids = np.asarray(e.ids, np.int32)
+        if (ids[np.isin(ids, self.special)] != np.tile(np.asarray(self.markers, np.int32), turns)[: 3 * turns]).any():
+            raise ValueError("a special token stands outside the template")
+        return ids, np.asarray(e.offsets, np.int64).reshape(-1, 2)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -100,17 +126,16 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _format(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk = keep(("chat", path), lambda: _load(path))
+        tk = keep(("chat", path), lambda: _Tokenizer(path))
         turns: list[tuple[str, str]] = []
-        size, part, conv, begun = 0, 0, None, False
+        size, part, before, conv, begun = 0, 0, 0, None, False
 
         def flush() -> tuple:
-            text, spans = render(turns)
-            e = tk.encode(text, add_special_tokens=False)
-            offsets = np.asarray(e.offsets, np.int64).reshape(-1, 2)
+            text, spans = render(turns, tk.escapes)
+            ids, offsets = tk.encode(text, len(turns))
             learned = [s for s, (role, _) in zip(spans, turns, strict=True) if role in LEARNED_ROLES]
             tokens, chars = mask_spans(offsets[:, 0], offsets[:, 1], learned)
-            return conv, part, len(turns), text, e.ids, offsets[:, 0].tolist(), tokens.ravel().tolist(), chars.ravel().tolist()
+            return conv, part, before, len(turns), text, ids, tokens.ravel(), chars.ravel()
 
         for batch in batches:
             out, held = [], 0
@@ -118,7 +143,8 @@ def _format(path: str):
                 if begun and (c != conv or size >= PART):
                     out.append(flush())
                     held += size
-                    part, turns, size = (part + 1 if c == conv else 0), [], 0
+                    part, before = (part + 1, before + len(turns)) if c == conv else (0, 0)
+                    turns, size = [], 0
                     if held >= PART:
                         yield _batch(out, FORMATTED)
                         out, held = [], 0
@@ -142,6 +168,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     conv, state = None, None
 
     def done() -> tuple:
@@ -163,7 +190,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 state[2] += len(learned)
                 state[3].update(learned.encode("utf-8", "surrogatepass"))
             state[4] += len(text)
-            state[5] += len(tokens)
+            state[5] += tokens
             state[6] += sum(masked_tokens[1::2]) - sum(masked_tokens[::2])
         if out:
             yield _batch(out, DIGEST)
@@ -174,8 +201,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digest(formatted: DataFrame) -> DataFrame:
     """What the written conversations hold, from their rendered text and loss mask alone."""
     prepare(formatted.sparkSession)
-    parts = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.select("conv_id", "formatted", "token_ids", "mask_tokens", "mask_chars").mapInArrow(_read, DIGEST)
+    parts = formatted.select("conv_id", "formatted", F.size("token_ids").alias("n_tokens"), "mask_tokens", "mask_chars", "part")
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part").drop("part").mapInArrow(_read, DIGEST)
 
 
 def chat_digest(conversations: DataFrame, tokenizer: str) -> DataFrame:

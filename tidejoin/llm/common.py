@@ -6,7 +6,6 @@ import ctypes
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from typing import TypeVar
@@ -14,6 +13,8 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut, drop, scratch, shared_dir
+
 T = TypeVar("T")
 
 #: Rows in one Arrow batch. Texts may be long, so the default of 10,000 rows would not bound a worker's memory.
@@ -23,7 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _kept: dict[object, object] = {}
 _shipped: dict[str, str] = {}
-_own_dir: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,37 +50,6 @@ def prepare(spark: SparkSession) -> None:
     _shipped[sc.applicationId] = path
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local master may fall back on a folder of this machine."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _own_dir:
-        _own_dir[sc.applicationId] = tempfile.mkdtemp(prefix="checkpoint-")
-    return f"file://{_own_dir[sc.applicationId]}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and reread it: lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
 
@@ -89,13 +58,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def keep(key: object, make: Callable[[], T]) -> T:
-    """What a worker keeps from task to task: one object at a time, so operators that follow each other don't add up."""
-    if key not in _kept:
+def release() -> None:
+    """Empty what a worker keeps. Every operator whose tasks keep nothing calls it, so that none holds another's memory."""
+    if _kept:
         _kept.clear()
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # gives freed memory back, where the C library can
         if trim:
             trim(0)
+
+
+def keep(key: object, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task: one object at a time, so operators that follow each other don't add up."""
+    if key not in _kept:
+        release()
         _kept[key] = make()
     return _kept[key]  # type: ignore[return-value]
+
+
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "WORD", "cut", "drop", "keep", "prepare", "release", "scratch", "shared_dir", "table", "text_bytes", "word_count"]

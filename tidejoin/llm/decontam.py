@@ -1,45 +1,61 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-cased runs of word characters. Every trigram of a test item is a seed, common or rare, so an edited
-copy is found by whatever trigram its edits left whole. Each hit proposes the passage around its diagonal. A passage
-that holds too few of the item's words to reach the threshold even if all of them matched is passed over, which loses
-nothing; local alignment of passage and item (match 2, mismatch and gap -1) scores the others as a share of the item's
-perfect score. A document is contaminated at THRESHOLD or more. Out of reach: copies without three words in a row of
-the item, and what lies beyond a passage (the item's length, and one to two quarters of it on either side).
-
-Items are taken in blocks of BLOCK_WORDS words (or of one item, if that is longer); only one block is broadcast at a
-time, and each block meets all documents. There is no cap on hits, passages or partners.
-
-Defined results: a null or wordless text is clean; items with fewer than NGRAM words, or null, match nothing; of equal
-scores the smallest item_id is reported; rows with one doc_id share the result of the worst of them; other columns are
-ignored; empty tables give empty or all-clean results.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Words are lower-cased runs of letters, digits and underscores, and stand as 64-bit hashes. Every trigram of a test item
+is a seed, common or rare, so an edited copy is found by whatever trigram its edits left whole. One join of all
+documents' trigrams with all items' seeds gives hits; hits of a text and an item on about one diagonal are one candidate
+passage. A second join cuts the passages from the texts that have any. A passage that holds too few of the item's
+words to reach the threshold even if all of them matched is passed over, which loses nothing; local alignment of passage
+and item (match 2, mismatch and gap -1) scores the others as a share of the item's perfect score. A document is
+contaminated at THRESHOLD or more. Out of reach: copies without three words in a row of the item, and what lies beyond a
+passage (the item's length, and one to two quarters of it on either side).
+
+Texts are keyed by digest, since a match depends on the text alone: equal texts are aligned once and share the result.
+Documents are scanned twice, whatever the number of items. Seeds are broadcast up to BROADCAST_SEEDS rows, and shuffled
+beyond that; both joins give the same rows. There is no cap on hits, passages or partners.
+
+Defined results: a null or wordless text is clean; items with fewer than NGRAM words, or null, match nothing; an item
+with a null item_id is one like any other; items of one text or one item_id are separate, and a pair of a document and an
+item_id counts once; of equal scores the smallest item_id is reported, null first; each row is judged by its own text,
+so repeated rows agree and rows that only share a doc_id don't; texts of any length are read whole; other columns are
+ignored; an empty benchmark gives all-clean results, empty documents an empty one.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, drop, prepare, release
 
 NGRAM = 3
 THRESHOLD = 0.4
-BLOCK_WORDS = 400_000
+#: Seeds up to this many rows (24 bytes each, less than 100 MB as a hash table) are broadcast.
+BROADCAST_SEEDS = 1 << 20
 MATCH, MISS, GAP = 2, -1, -1
 _CELLS = 1 << 22
+_WORD = r"[\p{L}\p{N}_]+"
+
+MATCHES = "key string, item long, score double, first_word long, n_words long"
 
-_WORD = re.compile(r"\w+")
-MATCHES = "doc_id long, item_id long, score double, first_word long, n_words long"
 
+def word_ids(text: Column) -> Column:
+    """Hashes of a text's words; none for a null."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+
+def _with_grams(df: DataFrame, *columns: str) -> DataFrame:
+    """df (ids, ...) to columns, at, seed: the place and hash of every trigram."""
+    ids = F.col("ids")
+    grams = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(ids, i + k) for k in range(1, NGRAM))))
+    return df.select(*columns, grams.alias("grams")).select(*columns, F.posexplode("grams").alias("at", "seed"))
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def align(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,155 +84,83 @@ def align(passages: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, where, row
 
 
-class Items:
-    """A block of test items with their grams."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        texts = [(k, w) for k, w in ((k, words_of(t)) for k, t in sorted(rows)) if len(w) >= NGRAM]
-        self.ids = [k for k, _ in texts]
-        self.vocab: dict[str, int] = {}
-        self.words = [np.asarray([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64) for _, w in texts]
-        parts = [self.keys(w)[0] for w in self.words]
-        self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts]).astype(np.int64)
-        self.place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.grams, self.gram = np.unique(self.flat, return_inverse=True)
-        self.by_gram = np.argsort(self.gram, kind="stable")
-        self.first = np.searchsorted(self.gram[self.by_gram], np.arange(len(self.grams) + 1))
-        self.size = np.asarray([len(w) for w in self.words], np.int64)
-        self.distinct = [np.unique(w, return_counts=True) for w in self.words]
-
-    def keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram keys of known words, and their positions."""
-        v = np.int64(len(self.vocab))
-        a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        return (a[at] * v + b[at]) * v + c[at], at
-
-    def number(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
-
-    def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the block's grams that occur, and their positions."""
-        if len(ids) < NGRAM or not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, at = self.keys(ids)
-        k = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
-        hit = self.grams[k] == keys
-        return k[hit], at[hit]
-
-    def reachable(self, ids: np.ndarray, cand: np.ndarray, threshold: float) -> np.ndarray:
-        """Those of the passages in which words of the item are enough for the threshold, each matched at most once."""
-        there, good = np.zeros(len(self.vocab) + 1, bool), np.zeros(len(cand), bool)  # the last is that of unknown words
-        for r, (i, a, b) in enumerate(cand.tolist()):
-            there[ids[a:b]] = True
-            there[-1] = False
-            words, n = self.distinct[i]
-            good[r] = n[there[words]].sum() >= threshold * self.size[i] - 1e-9
-            there[ids[a:b]] = False
-        return cand[good]
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (item, first word, end) of the passages that seeds propose."""
-        g, at = self.found(ids)
-        n = self.first[g + 1] - self.first[g]
-        if not n.sum():
-            return np.zeros((0, 3), np.int64)
-        e = self.by_gram[np.repeat(self.first[g] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        item = self.owner[e]
-        size = self.size[item]
-        slack = np.maximum(6, size // 4)
-        band = (np.repeat(at, n) - self.place[e]) // slack
-        u = np.unique(np.stack([item, band], axis=1), axis=0)
-        size = self.size[u[:, 0]]
-        slack = np.maximum(6, size // 4)
-        start = u[:, 1] * slack - slack
-        return np.stack([u[:, 0], np.maximum(start, 0), np.minimum(start + 3 * slack + size, len(ids))], axis=1)
-
-    def _padded(self, docs: list[np.ndarray], cand: np.ndarray, flip: bool) -> tuple[np.ndarray, np.ndarray]:
-        m, k = int((cand[:, 3] - cand[:, 2]).max()), max(len(self.words[i]) for i in cand[:, 1])
-        p, q = np.full((len(cand), m), -1, np.int64), np.full((len(cand), k), -2, np.int64)
-        step = -1 if flip else 1
-        for r, (d, i, a, b) in enumerate(cand.tolist()):
-            p[r, : b - a], q[r, : len(self.words[i])] = docs[d][a:b][::step], self.words[i][::step]
-        return p, q
-
-    def matches(self, docs: list[np.ndarray], threshold: float) -> list[tuple[int, int, float, int, int]]:
-        """Of numbered documents: (document, item_id, score, first word, words) of each alignment that counts."""
-        found = [np.concatenate([np.full((len(c), 1), d), c], axis=1) for d, c in ((d, self.reachable(x, self.candidates(x), threshold)) for d, x in enumerate(docs)) if len(c)]
-        if not found:
-            return []
-        cand = np.concatenate(found)
-        cand = cand[np.argsort(cand[:, 3] - cand[:, 2], kind="stable")]
-        out: list[tuple[int, int, float, int, int]] = []
-        at = 0
-        while at < len(cand):
-            width = max(1, int(cand[min(at + 1000, len(cand) - 1), 3] - cand[min(at + 1000, len(cand) - 1), 2]))
-            part = cand[at : at + max(1, min(1000, _CELLS // width))]
-            at += len(part)
-            best, end, _ = align(*self._padded(docs, part, False))
-            score = best / np.asarray([MATCH * len(self.words[i]) for i in part[:, 1]])
-            good = np.flatnonzero(score >= threshold)
-            if not len(good):
-                continue
-            hit = part[good].copy()
-            hit[:, 3] = hit[:, 2] + end[good] + 1
-            _, back, _ = align(*self._padded(docs, hit, True))
-            for (d, i, _, stop), s, b in zip(hit.tolist(), score[good].tolist(), back.tolist(), strict=True):
-                out.append((d, self.ids[i], s, stop - b - 1, b + 1))
-        return out
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MATCHES.split(", ")])
-
-
-def _search(shared, threshold: float):
+def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), fill, np.int64)
+    for r, x in enumerate(rows):
+        out[r, : len(x)] = x
+    return out
+
+
+def _aligned(passages: list[np.ndarray], items: list[np.ndarray], threshold: float) -> Iterator[tuple[int, float, int, int]]:
+    """Index, score, first word in the passage and number of words of each alignment that counts."""
+    order = sorted(range(len(passages)), key=lambda k: len(passages[k]))
+    at = 0
+    while at < len(order):
+        width = max(1, len(passages[order[min(at + 999, len(order) - 1)]]))
+        part = order[at : at + max(1, min(1000, _CELLS // width))]
+        at += len(part)
+        best, end, _ = align(_padded([passages[k] for k in part], -1), _padded([items[k] for k in part], -2))
+        score = best / np.asarray([MATCH * len(items[k]) for k in part])
+        good = np.flatnonzero(score >= threshold)
+        if not len(good):
+            continue
+        hit = [(part[g], int(end[g]) + 1) for g in good]  # from the end back: where the best alignment began
+        _, back, _ = align(_padded([passages[k][:stop][::-1] for k, stop in hit], -1), _padded([items[k][::-1] for k, _ in hit], -2))
+        for (k, stop), s, b in zip(hit, score[good].tolist(), back.tolist(), strict=True):
+            yield k, s, stop - b - 1, b + 1
+
+
+def _search(threshold: float):
+    """Rows (key, item, start, passage, words) to MATCHES."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        release()
         for b in batches:
-            ids = b.column(0).to_pylist()
-            best: dict[tuple[int, int], tuple] = {}
-            for d, item, score, first, size in items.matches([items.number(words_of(x)) for x in b.column(1).to_pylist()], threshold):
-                key = (-score, first, size)
-                if (d, item) not in best or key < best[d, item][0]:
-                    best[d, item] = (key, (ids[d], item, score, first, size))
-            if best:
-                yield _batch([row for _, row in best.values()])
+            passages, items = ([np.asarray(x, np.int64) for x in b.column(c).to_pylist()] for c in (3, 4))
+            found = list(_aligned(passages, items, threshold))
+            if found:
+                rows, score, first, size = (list(v) for v in zip(*found, strict=True))
+                starts = b.column(2).to_pylist()
+                columns = [b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(score), pa.array([starts[k] + f for k, f in zip(rows, first, strict=True)], pa.int64()), pa.array(size, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MATCHES.split(", ")])
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[list[int]]:
-    """item_ids in blocks of at most BLOCK_WORDS words; the number of items is that of the test sets, not the corpus."""
-    out, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.octet_length("text") / 2, F.lit(0)).cast("long").alias("n")).where("item_id is not null").groupBy("item_id").agg(F.sum("n").alias("n")).orderBy("item_id").toLocalIterator():
-        if out[-1] and size + r["n"] > BLOCK_WORDS:
-            out.append([])
-            size = 0
-        out[-1].append(r["item_id"])
-        size += r["n"]
-    return out
+def find_text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs (text) to (key, item_id, score, first_word, n_words): every pair of a distinct text and an item_id that
+    matches, with its best alignment."""
+    prepare(docs.sparkSession)
+    # Items number in the thousands to millions and are written once, numbered.
+    items, _ = cut(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), word_ids(F.col("text")).alias("words")).where(F.size("words") >= NGRAM), "items")
+    seeds, seeds_path = cut(_with_grams(items.select("item", F.size("words").alias("n"), F.col("words").alias("ids")), "item", "n").withColumnRenamed("at", "place"), "seeds")
+    small = seeds.count() <= BROADCAST_SEEDS
+    texts = docs.select(text_key(F.col("text")).alias("key"), word_ids(F.col("text")).alias("ids"))
+    hits = _with_grams(texts, "key").join(F.broadcast(seeds) if small else seeds.hint("merge"), "seed")
+    slack = F.greatest(F.lit(6), F.floor(F.col("n") / 4)).cast("int")
+    near = hits.withColumn("slack", slack).select("key", "item", "n", "slack", F.floor((F.col("at") - F.col("place")) / F.col("slack")).alias("band")).distinct()
+    start = ((F.col("band") - 1) * F.col("slack")).cast("int")
+    spans = near.select("key", "item", F.greatest(start, F.lit(0)).alias("start"), (start + 3 * F.col("slack") + F.col("n")).alias("stop"))
+    candidates, candidates_path = cut(spans, "candidates")
+    drop(docs.sparkSession, seeds_path)
+    # Candidates grow with the documents, so the plan that shuffles both sides is taken at every size.
+    cutting = texts.join(candidates.hint("merge"), "key").select("key", "item", "start", F.slice("ids", F.col("start") + 1, F.col("stop") - F.col("start")).alias("passage"))
+    by_item = items.select("item", "words")
+    by_item = F.broadcast(by_item) if small else by_item.hint("merge")  # its words are no more than its seeds and two an item
+    shared = F.size(F.filter("words", lambda w: F.array_contains("passage", w)))
+    possible = cutting.join(by_item, "item").where(shared >= F.lit(threshold) * F.size("words") - 1e-9)
+    once = possible.groupBy("key", "item", "start").agg(F.first("passage").alias("passage"), F.first("words").alias("words"))
+    found, _ = cut(once.mapInArrow(_search(threshold), MATCHES), "matches")
+    drop(docs.sparkSession, candidates_path)
+    best = F.min(F.struct((-F.col("score")).alias("order"), "first_word", "n_words")).alias("m")
+    named = found.join(items.select("item", "item_id"), "item")
+    return named.groupBy("key", "item_id").agg(best).select("key", "item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words")
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (doc_id, item_id) that matches, with the best alignment of the pair: MATCHES."""
-    spark = docs.sparkSession
-    prepare(spark)
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    tables = []
-    for block in _blocks(benchmark):
-        rows = benchmark.where(F.col("item_id").between(block[0], block[-1])).select(F.col("item_id").cast("long"), "text").collect() if block else []
-        items = Items([tuple(r) for r in rows])
-        shared = spark.sparkContext.broadcast(items)
-        tables.append(cut(source.mapInArrow(_search(shared, threshold), MATCHES), "matches")[0])
-        shared.unpersist()
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    best = F.min(F.struct((-F.col("score")).alias("order"), "first_word", "n_words")).alias("m")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words")
+    """docs (doc_id, text) to (doc_id, item_id, score, first_word, n_words): a row for each row and item_id that match."""
+    keyed = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key"))
+    return keyed.join(find_text_matches(docs, benchmark, threshold), "key").drop("key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -225,7 +169,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     The best match, and the number of items that match; find_matches has each of them.
     """
     worst = F.min(F.struct((-F.col("score")).alias("order"), "item_id", "first_word", "n_words")).alias("m")
-    best = find_matches(docs, benchmark, threshold).groupBy(F.col("doc_id").alias("of")).agg(worst, F.count("*").alias("n_items"))
-    ids = docs.select(F.col("doc_id").cast("long"))
-    joined = ids.join(best, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    best, _ = cut(find_text_matches(docs, benchmark, threshold).groupBy("key").agg(worst, F.count("*").alias("n_items")), "best")
+    joined = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("key")).join(best, "key", "left")
     return joined.select("doc_id", F.col("m").isNotNull().alias("contaminated"), "m.item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
+
+
+def drop_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text matches no item."""
+    found, _ = cut(find_text_matches(docs, benchmark, threshold).select("key").distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key"))
+    return rows.join(found, "key", "left_anti").select("row.*")

@@ -30,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep, prepare
+from .common import cut, keep, prepare, release
 
 CALIBRATE_DOCS = 300
 #: Distinct words, and their bytes, that a counting task holds before it passes them on.
 HELD_WORDS, HELD_BYTES = 200_000, 1 << 24
 ORDER, BOUNDARY = 4, 1
 REJECT = 12.0
-MEMO = 300_000
+#: Bytes of scored words, with what Python adds, that a worker remembers; emptied beyond that, which changes speed only.
+MEMO_BYTES = 24 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = [np.uint64((1 << 16 * n) - 1) for n in range(5)]
 _NONE = np.uint64(0)
@@ -187,14 +188,12 @@ class Scorer:
     """Sums of log probabilities by language, and symbols, of whole texts."""
 
     def __init__(self, model: Model):
-        self.model, self.row = model, {}
+        self.model, self.row, self.held = model, {}, 0
         self.sums = np.zeros((0, len(model.languages) + 1))
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.row) + len(words) > MEMO:
-            self.row.clear()
-            self.sums = self.sums[:0]
         new = list(words)
+        self.held += sum(map(len, new)) + len(new) * (140 + 8 * self.sums.shape[1])
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             keys, n = grams_of(part)
@@ -208,10 +207,11 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         split = [(x or "").encode("utf-8", "replace").split() for x in texts]
         out = np.zeros((len(texts), len(self.model.languages) + 1))
+        if self.held > MEMO_BYTES:
+            self.row, self.held = {}, 0
+            self.sums = np.zeros((0, self.sums.shape[1]))
         missing = {w for words in split for w in words if w not in self.row}
         if missing:
-            if len(self.row) + len(missing) > MEMO:
-                missing = {w for words in split for w in words}
             self._learn(missing)
         get = self.row.__getitem__
         for i, words in enumerate(split):
@@ -235,6 +235,7 @@ def decide(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, word, n), a word once for each HELD_WORDS or HELD_BYTES of distinct words in a task."""
+    release()
     held: dict[str, Counter] = {}
 
     def close() -> Iterator[pa.RecordBatch]:
@@ -262,6 +263,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) to (lang, gram, n)."""
+    release()
     for b in batches:
         langs, counts = np.asarray(b.column(0).to_pylist(), object), b.column(2).to_numpy()
         words = b.column(1).to_pylist()

@@ -68,7 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id)
 }
 
-_ESCAPED = r"(length({x}) + length({x}) - length(replace({x}, '\', '')) + (length({x}) - length(replace({x}, '<turn>', ''))) // 6 + (length({x}) - length(replace({x}, '<text>', ''))) // 6 + (length({x}) - length(replace({x}, '</turn>', ''))) // 7)"
+_ESCAPED = "(length({x}) + length({x}) - length(replace({x}, '\\', ''))" + "".join(f" + (length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)}" for c in ("<turn>", "<text>", "</turn>", "<|endoftext|>")) + ")"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": rf"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, drop, prepare, release
 from .components import components
 
 SEED = 42
@@ -76,6 +76,7 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1, distinct: bo
 
 def _fingerprints(shingle: int, words: int, distinct: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             fps = [fingerprint(x, shingle, words, distinct) for x in b.column(1).to_pylist()]
             flat = np.asarray(fps, np.uint64).reshape(-1).view(np.int64)
@@ -175,6 +176,7 @@ def _tile_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         part, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         fps: list[np.ndarray] = []
@@ -216,6 +218,7 @@ def _compare(words: int, radius: int, screen: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         first = None
         for batch in batches:
             for k in range(batch.num_rows):
@@ -276,6 +279,7 @@ def _sets(shingle: int):
     """(doc_id, component_id, text) to the text's shingle set, its size and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             sets = [np.unique(shingles(x, shingle)) for x in b.column(2).to_pylist()]
             blobs = [x.astype("<u8").tobytes() for x in sets]
@@ -328,6 +332,7 @@ def _verify(threshold: float):
             yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, held = None, []
         for b in batches:
             for c, lo, hi, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):

@@ -1,5 +1,9 @@
 """Token-ID output: texts become ids, written as patched frame-of-reference pages in ascending doc_id order.
 
+The ``tokenizers`` library encodes every text. Where the file's normaliser and pre-tokenizer are the ones that
+PLAIN_RULES names, texts of common Latin characters are first split into the pieces that they make, and the library's
+model encodes each distinct piece once; all other texts, and all texts under other rules, go to the library whole.
+
 The written form is a folder with two Parquet tables, so Spark's commit protocol covers lost and repeated tasks and
 any Hadoop file system can hold it:
 
@@ -14,6 +18,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,15 +32,28 @@ from . import pfor
 from .common import keep, prepare, scratch
 
 PAGE_IDS, PAGE_DOCS = 1 << 16, 4096
-#: Distinct pieces that a worker remembers; the memory is emptied beyond that, which changes speed only.
-MEMO = 750_000
+#: Bytes of distinct pieces, with what Python adds, that a worker remembers; the memory is emptied beyond that, which
+#: changes speed only.
+MEMO_BYTES = 40 << 20
+PIECE_BYTES = 170
 #: Characters of text that are split into words at a time.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 PAGES = "shard int, page int, start long, n_ids long, doc_ids array<long>, doc_lens array<int>, body binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, page int"
 
-# In texts of these characters alone, the tokenizer changes nothing but letter case, and splits into these pieces.
+# The normaliser and pre-tokenizer for which the splitting below is right.
+PLAIN_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# Under these rules, texts of these characters alone change in nothing but letter case, and split into these pieces.
 _PLAIN = re.compile(r"[\t-\r !-~À-ÖØ-öø-ÿŒœ]*")
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[^\t-\r 0-9a-zß-öø-ÿœ]+")
 _BYTES = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
@@ -44,11 +62,10 @@ _BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not
 
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32 bytes, from a ``tokenizers`` file of byte-level word pieces.
+    """Ids of texts as little-endian uint32 bytes, from a ``tokenizers`` file.
 
-    Plain texts are split into the pieces that the pre-tokenizer makes; the library's model encodes each distinct
-    piece once, which is remembered. Other texts, and those that may hold a special token's marker, go to the library
-    as they are.
+    Under PLAIN_RULES, plain texts are split into pieces, and the library's model encodes each distinct piece once,
+    which is remembered. Other texts, and those that may hold a special token, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -58,13 +75,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = None
-        self.model.pre_tokenizer = None
-        size = self.tk.get_vocab_size()
-        self.last = np.zeros(size, bool)  # tokens that end a piece
-        self.last[[k for w, k in self.tk.get_vocab().items() if w.endswith("</w>")]] = True
+        vocab = self.tk.get_vocab()
+        rules = {k: json.loads(getattr(self.tk, k).__getstate__()) if getattr(self.tk, k) else None for k in PLAIN_RULES}
+        self.special = [x.content for x in self.tk.get_added_tokens_decoder().values()]
+        ends = [k for w, k in vocab.items() if w.endswith("</w>")]
+        self.split = rules == PLAIN_RULES and getattr(self.tk.model, "end_of_word_suffix", None) == "</w>"
+        if self.split:
+            self.model = Tokenizer(self.tk.model)  # the same model, without normaliser, pre-tokenizer and special tokens
+            self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a piece
+            self.last[ends] = True
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def _library(self, strings: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tk.encode_batch_fast(strings, add_special_tokens=False)]
@@ -73,25 +94,30 @@ class WordEncoder:
         spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in new]
         ids = np.asarray(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-        if len(ends) != len(new):
-            raise ValueError("the vocabulary doesn't mark the ends of pieces")
+        if len(ends) != len(new):  # the vocabulary doesn't mark the ends of all pieces
+            self.pieces.update(zip(new, self._library(new), strict=True))
+            return
         raw = ids.tobytes()
         self.pieces.update(zip(new, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in x or not _PLAIN.fullmatch(x) else _PIECE.findall(x.lower()) for x in texts]
+        if not self.split:
+            return self._library(texts)
+        low = [x.lower() for x in texts]
+        split = [None if not _PLAIN.fullmatch(x) or any(s in x or s in y for s in self.special) else _PIECE.findall(y) for x, y in zip(texts, low, strict=True)]
         get = self.pieces.get
         found = [None if pieces is None else list(map(get, pieces)) for pieces in split]
         open_ = [[k for k, v in enumerate(ids) if v is None] if ids and None in ids else () for ids in found]
         new = {pieces[k] for pieces, at in zip(split, open_, strict=True) for k in at}
         if new:
-            if len(self.pieces) + len(new) > MEMO:
-                self.pieces.clear()
             self._learn(list(new))
             known = self.pieces
             for pieces, ids, at in zip(split, found, open_, strict=True):
                 for k in at:
                     ids[k] = known[pieces[k]]
+            self.held += PIECE_BYTES * len(new) + sum(map(len, new))
+            if self.held > MEMO_BYTES:
+                self.pieces, self.held = {}, 0
         whole = iter(self._library([x for x, pieces in zip(texts, split, strict=True) if pieces is None]))
         return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
