@@ -99,8 +99,8 @@ _add("counting_sort_slots", _joined(stats.slots, "LAZY"), _sql + "SELECT side, w
 _add("latest_results_ring", _joined(stats.latest_results, "LAZY"), _sql + "SELECT row_number() OVER (ORDER BY win DESC, lseq DESC, rseq DESC) - 1 AS slot, win, lseq, rseq, lval, rval FROM j ORDER BY slot LIMIT 1024")
 # The time from a window's first tuple to its last stands for what it took.
 _add(
-    "median_window_span", lambda s, d: windows.assign_windows(_tuples(s, d), _spec("LAZY")).groupBy("win").agg((F.max(F.unix_millis(F.col("ts").cast("timestamp"))) - F.min(F.unix_millis(F.col("ts").cast("timestamp")))).alias("ms")).agg(F.floor(F.percentile("ms", 0.5)).alias("median_ms")),
-    _sql + "SELECT CAST(floor(quantile_cont(ms, 0.5)) AS BIGINT) AS median_ms FROM (SELECT win, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS ms FROM w GROUP BY win)",
+    "median_window_span", lambda s, d: windows.assign_windows(_tuples(s, d), _spec("LAZY")).groupBy("win").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("us")).agg(F.floor(F.percentile("us", 0.5)).alias("median_us")),
+    _sql + "SELECT CAST(floor(quantile_cont(us, 0.5)) AS BIGINT) AS median_us FROM (SELECT win, max(epoch_us(ts)) - min(epoch_us(ts)) AS us FROM w GROUP BY win)",
 )
 _add("window_w_not_multiple_of_b", lambda s, d: join.by_window(batched(event_tuples(s, d), 48), JoinSpec(48, 200)), _ctes("LAZY", 48, 200) + "SELECT win, coalesce(m, 0) AS matches, l * r AS possible_matches, 100.0::DOUBLE * coalesce(m, 0) / nullif(l * r, 0) AS selectivity FROM z LEFT JOIN (SELECT win, count(*) AS m FROM j GROUP BY win) USING (win)")
 
