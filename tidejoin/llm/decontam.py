@@ -3,7 +3,7 @@
 Words are lower-cased runs of letters, digits and underscores, and stand as 64-bit hashes. Every trigram of a test item
 is a seed, common or rare, so an edited copy is found by whatever trigram its edits left whole. One join of all
 documents' trigrams with all items' seeds gives hits; hits of a text and an item on about one diagonal are one candidate
-passage. A second join cuts the passages from the texts that have any. A passage that holds too few of the item's
+passage. A second join, of candidates and stretches of the texts, cuts the passages. A passage that holds too few of the item's
 words to reach the threshold even if all of them matched is passed over, which loses nothing; local alignment of passage
 and item (match 2, mismatch and gap -1) scores the others as a share of the item's perfect score. A document is
 contaminated at THRESHOLD or more. Out of reach: copies without three words in a row of the item, and what lies beyond a
@@ -35,6 +35,8 @@ NGRAM = 3
 THRESHOLD = 0.4
 #: Seeds up to this many rows (24 bytes each, less than 100 MB as a hash table) are broadcast.
 BROADCAST_SEEDS = 1 << 20
+#: Words, at least, of the stretches in which texts are shuffled to their candidates.
+CHUNK = 1024
 MATCH, MISS, GAP = 2, -1, -1
 _CELLS = 1 << 22
 _WORD = r"[\p{L}\p{N}_]+"
@@ -51,7 +53,16 @@ def _with_grams(df: DataFrame, *columns: str) -> DataFrame:
     """df (ids, ...) to columns, at, seed: the place and hash of every trigram."""
     ids = F.col("ids")
     grams = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(ids, i + k) for k in range(1, NGRAM))))
-    return df.select(*columns, grams.alias("grams")).select(*columns, F.posexplode("grams").alias("at", "seed"))
+    # The outer form, since the filter that an inner one implies would be pushed to where ids are made, once for each gram.
+    return df.select(*columns, F.posexplode_outer(grams).alias("at", "seed"))
+
+
+def _with_chunks(texts: DataFrame, over: int) -> tuple[DataFrame, int]:
+    """texts (key, ids) to (key, chunk, ids): stretches of ``step`` words, each with the ``over`` words that follow."""
+    step = max(CHUNK, over)
+    ids = F.col("ids")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(ids) - 1, F.lit(0)) / step).cast("int")), lambda c: F.struct(c.alias("chunk"), F.slice(ids, c * step + 1, F.lit(step + over)).alias("ids")))
+    return texts.select("key", F.explode_outer(chunks).alias("c")).select("key", "c.chunk", "c.ids"), step
 
 
 def text_key(text: Column) -> Column:
@@ -144,11 +155,14 @@ def find_text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     candidates, candidates_path = cut(spans, "candidates")
     drop(docs.sparkSession, seeds_path)
     # Candidates grow with the documents, so the plan that shuffles both sides is taken at every size.
-    cutting = texts.join(candidates.hint("merge"), "key").select("key", "item", "start", F.slice("ids", F.col("start") + 1, F.col("stop") - F.col("start")).alias("passage"))
+    longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
+    chunks, step = _with_chunks(texts, longest + 3 * max(6, longest // 4))
+    begins = candidates.withColumn("chunk", F.floor(F.col("start") / step).cast("int"))
+    cutting = chunks.join(begins.hint("merge"), ["key", "chunk"]).select("key", "item", "start", F.slice("ids", F.col("start") - F.col("chunk") * step + 1, F.col("stop") - F.col("start")).alias("passage"))
     by_item = items.select("item", "words")
     by_item = F.broadcast(by_item) if small else by_item.hint("merge")  # its words are no more than its seeds and two an item
-    shared = F.size(F.filter("words", lambda w: F.array_contains("passage", w)))
-    possible = cutting.join(by_item, "item").where(shared >= F.lit(threshold) * F.size("words") - 1e-9)
+    most = F.size("words") - F.size(F.array_except("words", "passage"))  # words of the item that the passage may hold
+    possible = cutting.join(by_item, "item").where(most >= F.lit(threshold) * F.size("words") - 1e-9)
     once = possible.groupBy("key", "item", "start").agg(F.first("passage").alias("passage"), F.first("words").alias("words"))
     found, _ = cut(once.mapInArrow(_search(threshold), MATCHES), "matches")
     drop(docs.sparkSession, candidates_path)

@@ -3,15 +3,20 @@
 Targets: sources in code point order (null last) weigh WEIGHTS, repeating, and share EPOCHS times all words; a target
 stops at MAX_REPEAT times its source's words and the excess is reshared by weight until none is above.
 
-Draw: each source's documents lie on an axis of words in a seeded permutation; the source's draw is the axis from 0 to
-its rounded target, wrapped around for repeats. The draw is cut into blocks. A tree halves the set of output shards
-again and again; at each node every source's block quota splits by a multivariate hypergeometric draw (each source a
-hypergeometric draw from what is left, by inversion of its distribution), so each shard's quotas are exact block
-counts. Shards then take disjoint stretches of each source's permuted blocks, and a hash orders documents in a shard.
-
-The last document of a draw may be taken in part (its first words), so a source's words equal its rounded target.
-Defined results: null texts have size 0; documents without words are never taken; a source without words has target 0;
-equal rows are separate documents; other columns are ignored; an empty table gives an empty result. Reruns agree.
+Draw: each source's documents lie on an axis of words in a seeded permutation, and are cut into blocks of documents.
+A source's draw is every block as often as the target holds its words whole, and for the rest, blocks in a permuted order
+until the rounded target is reached. A tree halves the set of output shards again and again; at each node every source's
+quota of drawn blocks splits by a multivariate hypergeometric draw, so each shard's quotas are exact block counts. Shards
+then take disjoint stretches of each source's drawn blocks in another permuted order, and a hash orders the documents of
+a shard. What a document gives to the mix is what its drawn blocks hold of it.
+
+The multivariate draw is itself a tree: sources, by number, are halved again and again, and each half's share of its
+range's draws is a hypergeometric draw by inversion. So quotas stay a row a source and node, in joins.
+
+The last block of a draw may be taken in part, and its last document (its first words), so a source's words equal its
+rounded target. Defined results: null texts have size 0; documents without words are never taken; a source without words
+has target 0; equal rows are separate documents; a text of any length lies in one block; other columns are ignored; an
+empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations
@@ -19,13 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, drop, word_count
 from .prefix import bucket_of, running
 
 WEIGHTS = (3, 1, 2)
 EPOCHS, MAX_REPEAT = 1.5, 2
 SHARDS = 8
-#: A block has so many words at least; larger corpora get larger blocks, MAX_BLOCKS at most besides one a source.
+#: A block begins at each so many words of an axis; larger corpora get larger blocks, about MAX_BLOCKS besides one a
+#: source, which are what windows over blocks hold.
 BLOCK_WORDS, MAX_BLOCKS = 4096, 1 << 20
 SEED = 42
 
@@ -67,35 +73,51 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
     return F.aggregate(steps, first, walk, lambda s: s["x"])
 
 
-def _split(node: DataFrame) -> DataFrame:
-    """Nodes (lo, hi, quota array<struct<source_no, n>>) to their two halves; nodes of one shard stay."""
-    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    total = F.aggregate("quota", F.lit(0).cast("double"), lambda a, q: a + q["n"])
-    drawn = node.withColumn("mid", mid).withColumn("total", total).withColumn("draws", F.floor(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("double"))
-    u = lambda q: F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("lo"), F.col("hi"), q["source_no"]), 11) / F.lit(float(1 << 53))
-    taken = F.expr("cast(array() as array<double>)")
-    start = F.struct(F.col("total").alias("total"), F.col("draws").alias("draws"), taken.alias("out"))
+def _multivariate(nodes: DataFrame, quotas: DataFrame, levels: int) -> DataFrame:
+    """nodes (lo, hi, draws), quotas (lo, hi, source_no, n) to (lo, hi, source_no, x): how the draws fall on the sources.
 
-    def step(s: Column, q: Column) -> Column:
-        x = F.least(hypergeometric(s["total"], q["n"], s["draws"], u(q)), q["n"])
-        # One lambda binds the drawn number, so that its expression stands once.
-        one = F.transform(F.array(x), lambda v: F.struct((s["total"] - q["n"]).alias("total"), (s["draws"] - v).alias("draws"), F.concat(s["out"], F.array(v)).alias("out")))
-        return one[0]
-
-    left = drawn.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, F.aggregate("quota", start, step, lambda s: s["out"])))
-    part = lambda f: F.transform("quota", lambda q, i: F.struct(q["source_no"].alias("source_no"), f(q["n"], F.col("left")[i]).alias("n")))
-    low = F.struct(F.col("lo"), F.col("mid").alias("hi"), part(lambda n, x: x).alias("quota"))
-    high = F.struct(F.col("mid").alias("lo"), F.col("hi"), part(lambda n, x: n - x).alias("quota"))
-    same = F.struct("lo", "hi", "quota")
-    return left.select(F.explode(F.when(F.col("left").isNull(), F.array(same)).otherwise(F.array(low, high))).alias("n")).select("n.*")
+    One multivariate hypergeometric draw for each node; 2 ** levels exceeds the largest source_no.
+    """
+    total = quotas.groupBy("lo", "hi").agg(F.sum("n").alias("total"))
+    ranges = nodes.join(total, ["lo", "hi"]).select("lo", "hi", F.lit(0).cast("long").alias("range"), "total", "draws")
+    for level in reversed(range(levels)):
+        half = F.floor(F.col("source_no") / (1 << level)).cast("long")
+        lower = quotas.groupBy("lo", "hi", half.alias("half")).agg(F.sum("n").alias("good")).where("half % 2 = 0").select("lo", "hi", (F.col("half") / 2).cast("long").alias("range"), "good")
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "lo", "hi", F.lit(level), "range"), 11) / F.lit(float(1 << 53))
+        joined = ranges.join(lower, ["lo", "hi", "range"], "left").withColumn("good", F.coalesce("good", F.lit(0.0)))
+        drawn = joined.withColumn("x", F.least(hypergeometric(F.col("total"), F.col("good"), F.col("draws"), u), F.col("good")))
+        first = F.struct((2 * F.col("range")).alias("range"), F.col("good").alias("total"), F.col("x").alias("draws"))
+        second = F.struct((2 * F.col("range") + 1).alias("range"), (F.col("total") - F.col("good")).alias("total"), (F.col("draws") - F.col("x")).alias("draws"))
+        ranges = drawn.select("lo", "hi", F.explode(F.array(first, second)).alias("r")).select("lo", "hi", "r.*").where("total > 0")
+    return ranges.select("lo", "hi", F.col("range").alias("source_no"), F.col("draws").alias("x"))
 
 
 def splitting_tree(quotas: DataFrame, shards: int) -> DataFrame:
     """quotas (source_no, n), n a double, to (source_no, shard, n): a row for each source and shard."""
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("source_no", "n"))).alias("quota")).select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quota")
+    now, path = cut(quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.col("source_no").cast("long"), F.col("n").cast("double")), "quotas")
+    levels = int(now.agg(F.coalesce(F.max("source_no"), F.lit(0))).first()[0]).bit_length()
     for _ in range((shards - 1).bit_length()):
-        node = _split(node)
-    return node.select(F.col("lo").alias("shard"), F.explode("quota").alias("q")).select("q.source_no", "shard", "q.n")
+        open_, whole = now.where("hi - lo > 1"), now.where("hi - lo = 1")
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        nodes = open_.groupBy("lo", "hi").agg(F.sum("n").alias("total")).select("lo", "hi", F.floor(F.col("total") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("double").alias("draws"))
+        split = open_.join(_multivariate(nodes, open_, levels), ["lo", "hi", "source_no"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+        low = F.struct("lo", mid.alias("hi"), F.col("x").alias("n"))
+        high = F.struct(mid.alias("lo"), "hi", (F.col("n") - F.col("x")).alias("n"))
+        halves = split.select("source_no", F.explode(F.array(low, high)).alias("h")).select("h.lo", "h.hi", "source_no", "h.n")
+        after, new = cut(halves.unionByName(whole), "quotas")
+        drop(now.sparkSession, path)
+        now, path = after, new
+    return now.select("source_no", F.col("lo").alias("shard"), "n")
+
+
+def _drawn_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks (source_no, block, words, source_size, draw) to (source_no, block, pass, take): what is drawn, and how often."""
+    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(SEED), "source_no", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.floor(F.col("draw") / F.col("source_size"))
+    rest = F.col("draw") - whole * F.col("source_size") - F.coalesce(F.sum("words").over(order), F.lit(0))
+    ready = blocks.withColumn("whole", whole.cast("int")).withColumn("rest", F.greatest(F.lit(0), F.least("words", rest)))
+    passes = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda p: F.struct(p.alias("pass"), F.when(p < F.col("whole"), F.col("words")).otherwise(F.col("rest")).alias("take")))
+    return ready.select("source_no", "block", F.explode(passes).alias("p")).select("source_no", "block", "p.*").where("take > 0")
 
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -104,28 +126,30 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     documents: doc_id, size, source_no, source_size, target, start (on the source's axis), a row for each of docs.
     draws: source_no, start, doc_id, size, pass, words, block, shard, key (order in the shard).
     """
-    sized, _ = cut(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "sizes")
+    spark = docs.sparkSession
+    sized, sized_path = cut(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "sizes")
     per_source, _ = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     named = sized.join(per_source, sized["source"].eqNullSafe(per_source["source"])).select("doc_id", "size", "source_no", "source_size", "target")
     hashed = named.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "size")).withColumn("bucket", bucket_of(F.col("hash")))
     placed, _ = cut(running(hashed, ["source_no"], ["hash", "doc_id", "size"], "size", "start").drop("bucket", "hash"), "axis")
+    drop(spark, sized_path)
 
     draw = F.round("target").cast("long")
-    total = per_source.agg(F.coalesce(F.sum(draw), F.lit(0))).first()[0]
-    block = max(BLOCK_WORDS, -(-total // MAX_BLOCKS))
-    quotas = per_source.where(draw > 0).select("source_no", F.ceil(draw / block).cast("double").alias("n"))
-    tree, _ = cut(splitting_tree(quotas, shards), "quotas")
-    ends = tree.withColumn("end", F.sum("n").over(Window.partitionBy("source_no").orderBy("shard")))
-    ends = ends.groupBy("source_no").agg(F.sort_array(F.collect_list("end")).alias("ends"), F.max("end").alias("n"))
-    blocks = ends.select("source_no", "ends", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("block"))
-    at = F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(SEED), "source_no", "block"), "block")) - 1
-    dealt = blocks.withColumn("at", at).select("source_no", "block", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
-
-    words = lambda p: F.least("size", draw - p * F.col("source_size") - F.col("start"))
-    passes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MAX_REPEAT)), lambda p: F.struct(p.alias("pass"), words(p).alias("words"))), lambda x: x["words"] > 0)
-    drawn = placed.where("size > 0").withColumn("p", F.explode(passes)).select("source_no", "start", "doc_id", "size", "p.pass", "p.words", F.floor((F.col("pass") * F.col("source_size") + F.col("start")) / block).alias("block"))
-    draws = drawn.join(dealt, ["source_no", "block"]).withColumn("key", F.xxhash64(F.lit(SEED + 1), "shard", "doc_id", "pass"))
-    return placed, draws
+    total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    step = max(BLOCK_WORDS, -(-total // MAX_BLOCKS))
+    documents = placed.where("size > 0").withColumn("block", F.floor(F.col("start") / step))
+    blocks = documents.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.min("start").alias("first"))
+    blocks, _ = cut(blocks.join(per_source.select("source_no", "source_size", draw.alias("draw")), "source_no"), "blocks")
+    drawn, _ = cut(_drawn_blocks(blocks), "drawn")
+    tree = splitting_tree(drawn.groupBy("source_no").agg(F.count("*").cast("double").alias("n")), shards)
+    ends = tree.withColumn("end", F.sum("n").over(Window.partitionBy("source_no").orderBy("shard"))).groupBy("source_no").agg(F.sort_array(F.collect_list("end")).alias("ends"))  # an end a shard
+    at = F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(SEED + 2), "source_no", "pass", "block"), "block", "pass")) - 1
+    dealt = drawn.withColumn("at", at).join(ends, "source_no").select("source_no", "block", "pass", "take", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
+    dealt = dealt.join(blocks.select("source_no", "block", "first"), ["source_no", "block"])
+    words = F.least(F.col("size"), F.col("take") - (F.col("start") - F.col("first")))
+    draws = documents.select("source_no", "block", "start", "doc_id", "size").join(dealt, ["source_no", "block"]).withColumn("words", words).where("words > 0")
+    draws = draws.select("source_no", "start", "doc_id", "size", "pass", "words", "block", "shard")
+    return placed, draws.withColumn("key", F.xxhash64(F.lit(SEED + 1), "shard", "doc_id", "pass"))
 
 
 def taken_words(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -1,18 +1,27 @@
 """Sharding by balanced label propagation, in DataFrame operations only. The law is ``bytes``: shards near equal in size.
 
-Documents start with a label by hash. Linked documents (those of groups of two or more; here, of equal texts) then
-move: in each round a join gives every group the weight of its members under each label, the group proposes the
-heaviest label that has room, and proposals are accepted from the largest group down while the label's quota, an equal
-share of all bytes, holds. Labels of members and weights stay as they were, and only equal texts are links, so a group
-takes one majority vote a round. Accepted groups are whole in one shard. Rounds end when none is pending, or when nothing
-more fits: such groups outgrow every shard's room, and their members fill shards in a row, so they touch the fewest.
-Unlinked documents are ballast: they fill the remaining room in three rounds, from large to small, so shards differ by
-about one small document.
+Links are groups: every two members of a group are neighbours (here, groups of equal texts; ``propagate_labels`` takes
+any, and a document may be in several). Pairs are never made: a group's counts by label say how many neighbours of a
+member lie where.
+
+1. Linked documents start with a label by hash. In each round, joins give every document the number of its neighbours
+   under each label, by the labels as they are now; it proposes the most frequent one (ties by a hash of group and label,
+   the same for all members). Proposals are accepted from the largest gain down while the label's quota, an equal share
+   of all bytes, holds. Accepted documents move, neighbours are counted anew, and rounds end when the number of cut edges
+   falls no more.
+2. Groups take a shard as a whole: each proposes the label that most of its bytes bear and that has room; from the
+   largest group down, proposals are accepted within the quota; groups left over propose again. Rounds end when none is
+   pending, or when nothing more fits: such groups outgrow every shard's room, and their members fill shards in a row,
+   so they touch the fewest.
+3. Unlinked documents are ballast: they fill the remaining room in three rounds, from large to small, so shards differ
+   by about one small document.
 
 Running sums are taken over hashed buckets (prefix.py). Only sums for each shard, as many as shards, reach the driver.
+Joins by group have one row a group on one side, so adaptive execution can split a hot group's members.
 
 Defined results: a null text has size 1, checksum 0, and is grouped with empty texts; equal rows are separate members
-of their group; slots number a shard's rows from 0; a null doc_id is placed like any other; other columns are ignored.
+of their group; texts of any length are one document; slots number a shard's rows from 0; a null doc_id is placed like
+any other; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, drop, text_bytes
 from .prefix import bucket_of, running
 
 SHARDS, SEED = 8, 42
@@ -70,6 +79,52 @@ def _accept(proposals: DataFrame, free: list[int]) -> DataFrame:
     return summed.where(F.col("at") + F.col("gsize") <= room).select("grp", "shard")
 
 
+def cut_edges(labelled: DataFrame) -> int:
+    """Pairs of one group (grp, shard) that bear different labels, each document in one row a group."""
+    counts = labelled.groupBy("grp", "shard").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    groups = counts.groupBy("grp").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return int(groups.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0))).first()[0])
+
+
+def _moves(nodes: DataFrame, links: DataFrame, shards: int) -> DataFrame:
+    """nodes (rid, size, shard), links (rid, grp) to (rid, size, shard, to, gain) of the documents with a better label."""
+    seen = [f"n{k}" for k in range(shards)]
+    placed = links.join(nodes.select("rid", "shard"), "rid")
+    counts = placed.groupBy("grp").agg(*(F.count(F.when(F.col("shard") == k, 1)).alias(n) for k, n in enumerate(seen)))
+    around = links.join(counts, "grp").groupBy("rid").agg(F.min("grp").alias("grp"), *(F.sum(n).alias(n) for n in seen))
+    tie = lambda k: F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(1 << 20))
+    best = F.array_max(F.array(*(F.struct(F.col(n).alias("n"), tie(k).alias("tie"), F.lit(k).alias("k")) for k, n in enumerate(seen))))
+    there = nodes.join(around.select("rid", best.alias("best"), F.array(*seen).alias("seen")), "rid")
+    return there.where(F.col("best.k") != F.col("shard")).select("rid", "size", "shard", F.col("best.k").alias("to"), (F.col("best.n") - F.get("seen", F.col("shard"))).alias("gain"))
+
+
+def propagate_labels(nodes: DataFrame, links: DataFrame, capacity: list[int]) -> tuple[DataFrame, list[int]]:
+    """nodes (rid, size, shard) with their last labels, and the cut edges before and after each round.
+
+    links: (rid, grp). A round that doesn't lower the cut is undone, and the last.
+    """
+    shards, spark = len(capacity), nodes.sparkSession
+    links, links_path = cut(links.select("rid", "grp"), "links")
+    now, path = cut(nodes.select("rid", "size", "shard"), "labels")
+    cuts = [cut_edges(links.join(now, "rid"))]
+    while cuts[-1]:
+        room = [max(0, c - u) for c, u in zip(capacity, _per_shard(now, shards), strict=True)]
+        gain_class = 63 - F.floor(F.log2(F.col("gain") + 1.0)).cast("int")  # larger gains first, then by hash
+        spread = _moves(now, links, shards).withColumn("hash", F.xxhash64("rid")).withColumn("bucket", gain_class * 16 + F.pmod(F.col("hash"), F.lit(16)).cast("int"))
+        summed = running(spread, ["to"], ["hash", "rid"], "size", "at")
+        accepted = summed.where(F.col("at") + F.col("size") <= F.element_at(F.array(*(F.lit(r).cast("long") for r in room)), F.col("to") + 1)).select("rid", "to")
+        after, new = cut(now.join(accepted, "rid", "left").select("rid", "size", F.coalesce("to", "shard").alias("shard")), "labels")
+        left = cut_edges(links.join(after, "rid"))
+        if left >= cuts[-1]:
+            drop(spark, new)
+            break
+        cuts.append(left)
+        drop(spark, path)
+        now, path = after, new
+    drop(spark, links_path)
+    return now, cuts
+
+
 def propagate(linked: DataFrame, capacity: list[int]) -> tuple[DataFrame, DataFrame]:
     """linked (rid, grp, size, shard) to (grp, shard) of the groups placed whole, and the (grp) left over."""
     shards = len(capacity)
@@ -108,8 +163,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     columns = ["rid", "doc_id", "size", "text_crc32", "group_rows", "hash", "bucket", "shard"]
 
     linked, single = rows.where("group_rows > 1"), rows.where("group_rows = 1")
-    start = linked.withColumn("shard", F.pmod("hash", F.lit(shards)).cast("int"))
-    done, left = propagate(start.select("rid", "grp", "size", "shard"), capacity)
+    start = linked.select("rid", "size", F.pmod("hash", F.lit(shards)).cast("int").alias("shard"))
+    labels, _ = propagate_labels(start, linked, capacity)
+    done, left = propagate(linked.select("rid", "grp").join(labels, "rid"), capacity)
     parts = [cut(linked.join(done, "grp").select(*columns), "placed")[0]]
     used = _per_shard(parts[0], shards)
     room = lambda: [max(0, c - u) for c, u in zip(capacity, used, strict=True)]
