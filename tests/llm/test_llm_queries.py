@@ -1,12 +1,17 @@
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from oracle import SF, compare
 
 import __spark_entry__ as entry
-from tidejoin.llm import simhash
-from tidejoin.llm.queries import ORACLE_SQL, QUERIES
+from data import prose
+from test_operators import slow_targets
+from tidejoin.llm import decontam, simhash, tokens
+from tidejoin.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -81,3 +86,79 @@ def test_near_duplicates_are_verified(spark, monkeypatch, block):
     kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()}
     assert kept == {d for d in range(len(sets)) if parent[d] == d}
     assert all(any(like(sets[d], s) for k, s in enumerate(sets) if k != d) for d in range(len(sets)) if d not in kept)
+
+
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, _size long, size long, row string, rid long, key string, copies int, words int"
+
+
+def write_corpus(spark, path, rows, items):
+    table = spark.createDataFrame([(*r, 1, 7, 7, 7, "r", 7, "k", 7, 7) for r in rows], PIPELINE_SCHEMA)
+    table.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def brute_force(rows, items):
+    """The rows that language ID, near-duplicates and decontamination leave, one pair at a time."""
+    rows = [r for r in rows if r[1] and any(c.isalpha() for c in r[1]) and "日" not in r[1]]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for _, t, *_ in rows for w in [t.lower().split()]]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[find(k)].append(rows[k])
+    kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    number = {}
+    ids = lambda t: np.asarray([[number.setdefault(w, len(number)) for w in t.lower().split()]])
+    score = lambda t, i: decontam.align(ids(t), ids(i))[0][0] / (2 * len(i.split()))
+    return [r for r in kept if not any(i and score(r[1], i) >= decontam.THRESHOLD for _, i in items)]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    """Nulls, repeats, shared ids and columns of any name through run(), held against plain Python."""
+    items = [(k, prose(3000 + k, 30)) for k in range(4)] + [(None, prose(3010, 30)), (9, None)]
+    rows = [(k, prose(2000 + k, 60 + k % 40), "en", f"s{k % 3}") for k in range(90)]
+    near = rows[3][1].split()
+    rows += [(200, " ".join([*near[:-2], "zz", "yy"]), "en", "s0"), (2, rows[5][1], "en", "s1"), (None, rows[7][1], "en", "s2"), rows[8], rows[8]]  # near copy, copies
+    rows += [(None, prose(2500, 70), "en", None), (None, prose(2501, 70) + " " + items[0][1], "en", None), (None, prose(2502, 70), None, "s0")]  # one null id of three is contaminated
+    rows += [(300, prose(2503, 70), "en", "s1"), (300, prose(2504, 30) + " " + items[4][1], "en", "s1"), (301, items[2][1].upper(), "en", "s2")]
+    rows += [(400, None, "en", "s0"), (401, "", "en", "s0"), (402, "12 %%", None, None), (403, "日本語" * 30, None, "s1"), (404, prose(2600, 4000), "en", "s1")]
+    sf_dir = write_corpus(spark, tmp_path, rows, items)
+    want = brute_force(rows, items)
+    assert len(want) < len(rows) - 10
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    for (name, stage), k in zip(corpus_pipeline.STAGES[:3], range(3), strict=True):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns, k
+    pair = lambda r: (r[0], r[1])
+    assert Counter(map(tuple, docs.select("doc_id", "text").collect())) == Counter(map(pair, want))
+    library = tokens._encoder(tokenizer_path("word_bpe_49k.json")).tk
+    encoded = lambda t: np.asarray([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+    expect = {(d, len(x), zlib.crc32(x.tobytes())): (t, source) for d, t, _, source in want for x in [encoded(t)]}
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf_dir).collect())
+    assert set(got) <= set(expect) and max(got.values()) <= 2
+    sizes, taken = Counter(), Counter()
+    for key, (t, source) in expect.items():
+        sizes[source] += len(t.split())
+        taken[source] += got[key] * len(t.split())
+    target = slow_targets(sizes)
+    largest = max(len(t.split()) for t, s in expect.values() if s != "s1")
+    assert all(abs(taken[s] - target[s]) <= largest for s in sizes if s != "s1")
+    assert all(got[key] for key, (_, source) in expect.items() if target[source] >= sizes[source])
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    sf_dir = write_corpus(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0

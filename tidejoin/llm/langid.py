@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keep, prepare, release
@@ -37,6 +37,9 @@ CALIBRATE_DOCS = 300
 HELD_WORDS, HELD_BYTES = 200_000, 1 << 24
 ORDER, BOUNDARY = 4, 1
 REJECT = 12.0
+#: Bytes, about, of a model that may be broadcast: a row a distinct gram, a float a language. Beyond, train() raises; no
+#: gram is left out for it.
+MODEL_BYTES = 1 << 30
 #: Bytes of scored words, with what Python adds, that a worker remembers; emptied beyond that, which changes speed only.
 MEMO_BYTES = 24 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -276,17 +279,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def _lowest_counts(grams: DataFrame, most: int) -> dict[str, int]:
-    """For each language the lowest count that at most ``most`` of its grams reach, from the counts of counts.
-
-    To look at a table of grams; train() leaves none out.
-    """
-    seen = grams.groupBy("lang", "n").agg(F.count("*").alias("grams"))
-    above = seen.withColumn("reach", F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
-    lowest = above.groupBy("lang").agg(F.min(F.when(F.col("reach") <= most, F.col("n"))).alias("low"), F.max("n").alias("top"))
-    return {r["lang"]: r["top"] if r["low"] is None else r["low"] for r in lowest.collect()}
-
-
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
@@ -317,7 +309,10 @@ def _gram_counts(texts: DataFrame) -> list[pa.Table]:
     """(lang, text) to tables (gram, n) named by language in their metadata, every gram once."""
     words = texts.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     grams, _ = cut(words.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    names = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    names = sorted(sizes)
+    if (needed := sum(sizes.values()) * (16 + 8 * len(names))) > MODEL_BYTES:
+        raise ValueError(f"the model of {len(names)} languages may take {needed >> 20} MB, more than MODEL_BYTES; learn fewer languages at a time")
     return [grams.where(F.col("lang") == name).select("gram", "n").toArrow().replace_schema_metadata({"lang": name}) for name in names]
 
 
@@ -356,6 +351,7 @@ def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(s), pa.list_(pa.float64()))], names=["lang", "sums"])
 
     _calibrate(model, sample.mapInArrow(sums, "lang string, sums array<double>").collect())
+    shared.destroy()
     whole = Model(*_by_language([*others, *_gram_counts(sample)]))
     whole.calibrated_by(model)
     return whole

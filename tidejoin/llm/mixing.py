@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, word_count
-from .prefix import bucket_of, running
+from .prefix import bucket_bits, bucket_of, running
 
 WEIGHTS = (3, 1, 2)
 EPOCHS, MAX_REPEAT = 1.5, 2
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     sized, sized_path = cut(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")), "sizes")
     per_source, _ = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     named = sized.join(per_source, sized["source"].eqNullSafe(per_source["source"])).select("doc_id", "size", "source_no", "source_size", "target")
-    hashed = named.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "size")).withColumn("bucket", bucket_of(F.col("hash")))
+    hashed = named.withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "size")).withColumn("bucket", bucket_of(F.col("hash"), bucket_bits(sized.count())))
     placed, _ = cut(running(hashed, ["source_no"], ["hash", "doc_id", "size"], "size", "start").drop("bucket", "hash"), "axis")
     drop(spark, sized_path)
 

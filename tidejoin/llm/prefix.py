@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a group; a group of any size is spread over so many windows.
-BUCKETS = 1024
+#: Rows, about, of a bucket; bits of the fewest and the most buckets. Each bucket is a window of its own.
+BUCKET_ROWS, FEWEST, MOST = 1 << 16, 10, 22
 
 
-def bucket_of(hash_: Column) -> Column:
-    """Upper ten bits of a 64-bit hash, so order by bucket and hash is one order."""
-    return F.shiftrightunsigned(hash_, 54).cast("int")
+def bucket_bits(rows: int) -> int:
+    """Bits of the buckets that a table of so many rows is spread over."""
+    return min(MOST, max(FEWEST, (rows // BUCKET_ROWS).bit_length()))
+
+
+def bucket_of(hash_: Column, bits: int) -> Column:
+    """Upper bits of a 64-bit hash, so order by bucket and hash is one order."""
+    return F.shiftrightunsigned(hash_, 64 - bits).cast("int")
 
 
 def running(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group before this one.
 
-    Order is by ``bucket`` (0 to BUCKETS - 1, a column of df), then by ``order``; equal rows follow in any order.
+    Order is by ``bucket`` (a whole number, a column of df), then by ``order``; equal rows follow in any order.
     ``group`` columns must not be null.
     """
     sums = df.groupBy(*group, "bucket").agg(F.sum(value).alias("_sum"))

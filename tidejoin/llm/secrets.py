@@ -10,7 +10,8 @@ marks, and neighbouring words. ``pyspark.ml`` trains the forest from labelled fi
 label); ``labelled_findings`` makes them by rule, since no table here labels secrets. The bound of the training table
 is its parameter n.
 
-A result names a secret by digest, not by value. Defined results: a null or empty text has no findings; repeated rows
+A result names a secret by digest, not by value, and shows only plain words and labels of what stands before it.
+Defined results: an empty table has no findings; a null or empty text has no findings; repeated rows
 and repeated candidates are findings of their own, told apart by place (the word's number; runs parted only by characters
 beyond ASCII share it); very long texts are
 scanned whole; other columns are ignored. Out of reach: secrets with marks that no password's label precedes, a
@@ -122,6 +123,11 @@ def labelled_findings(spark: SparkSession, n: int = TRAIN_ROWS) -> DataFrame:
     return rows.select("id", made.alias("m")).select("id", "m.*", plain(38).alias("after"))
 
 
+def masked(words: str) -> Column:
+    """Neighbouring words fit to be shown: plain words and secrets' labels; any other, which may itself be a secret, is a star."""
+    return F.array_join(F.transform(F.split(F.col(words), " "), lambda w: F.when(w.rlike(rf"^([a-zA-Z]?[a-z]{{0,15}}|{WARM}s?)$"), w).otherwise(F.lit("*"))), " ")
+
+
 def train(labelled: DataFrame) -> PipelineModel:
     """labelled (candidate, before, after, label 0.0 or 1.0) to a fitted forest over with_features' columns."""
     from pyspark.ml import Pipeline
@@ -137,4 +143,4 @@ def scan(docs: DataFrame, model: PipelineModel | None = None) -> DataFrame:
     model = model or train(labelled_findings(docs.sparkSession))
     table, _ = with_features(candidates(docs))
     scored = model.transform(table).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", F.col("place").cast("long"), F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("secret_sha256"), "before", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    return scored.select("doc_id", F.col("place").cast("long"), F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("secret_sha256"), masked("before").alias("before"), "score", (F.col("score") >= 0.5).alias("is_secret"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, text_bytes
-from .prefix import bucket_of, running
+from .prefix import bucket_bits, bucket_of, running
 
 SHARDS, SEED = 8, 42
 #: Parts of a shard's share that part unlinked documents into large, middle and small.
@@ -70,10 +70,17 @@ def _propose(weights: DataFrame, free: list[int]) -> DataFrame:
     return held.select("grp", "gsize", F.array_max(ranked)["shard"].alias("shard"))
 
 
+def _from_largest(amount: Column, key: str, bits: int) -> tuple[Column, Column]:
+    """hash and bucket of an order from the largest powers of two of ``amount`` down, then by hash."""
+    size_class = 63 - F.floor(F.log2(amount.cast("double"))).cast("int")
+    hashed = F.xxhash64(key)
+    return hashed, size_class * (1 << bits) + bucket_of(hashed, bits)
+
+
 def _accept(proposals: DataFrame, free: list[int]) -> DataFrame:
     """Those that fit: for each shard, from the largest group down. Order is by size class, then by hash."""
-    size_class = 63 - F.floor(F.log2(F.col("gsize").cast("double"))).cast("int")
-    spread = proposals.withColumn("hash", F.xxhash64("grp")).withColumn("bucket", size_class * 16 + F.pmod(F.col("hash"), F.lit(16)).cast("int"))
+    hashed, bucket = _from_largest(F.col("gsize"), "grp", bucket_bits(proposals.count()) - 6)
+    spread = proposals.withColumn("hash", hashed).withColumn("bucket", bucket)
     summed = running(spread, ["shard"], ["hash", "grp"], "gsize", "at")
     room = F.element_at(F.array(*(F.lit(f).cast("long") for f in free)), F.col("shard") + 1)
     return summed.where(F.col("at") + F.col("gsize") <= room).select("grp", "shard")
@@ -104,13 +111,14 @@ def propagate_labels(nodes: DataFrame, links: DataFrame, capacity: list[int]) ->
     links: (rid, grp). A round that doesn't lower the cut is undone, and the last.
     """
     shards, spark = len(capacity), nodes.sparkSession
+    bits = bucket_bits(nodes.count()) - 6
     links, links_path = cut(links.select("rid", "grp"), "links")
     now, path = cut(nodes.select("rid", "size", "shard"), "labels")
     cuts = [cut_edges(links.join(now, "rid"))]
     while cuts[-1]:
         room = [max(0, c - u) for c, u in zip(capacity, _per_shard(now, shards), strict=True)]
-        gain_class = 63 - F.floor(F.log2(F.col("gain") + 1.0)).cast("int")  # larger gains first, then by hash
-        spread = _moves(now, links, shards).withColumn("hash", F.xxhash64("rid")).withColumn("bucket", gain_class * 16 + F.pmod(F.col("hash"), F.lit(16)).cast("int"))
+        hashed, bucket = _from_largest(F.col("gain") + 1, "rid", bits)
+        spread = _moves(now, links, shards).withColumn("hash", hashed).withColumn("bucket", bucket)
         summed = running(spread, ["to"], ["hash", "rid"], "size", "at")
         accepted = summed.where(F.col("at") + F.col("size") <= F.element_at(F.array(*(F.lit(r).cast("long") for r in room)), F.col("to") + 1)).select("rid", "to")
         after, new = cut(now.join(accepted, "rid", "left").select("rid", "size", F.coalesce("to", "shard").alias("shard")), "labels")
@@ -157,7 +165,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     base, _ = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), (text_bytes(F.col("text")) + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp")), "rows")
     counts = base.groupBy("grp").agg(F.count("*").alias("group_rows"))
     hashed = base.join(counts, "grp").withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "grp"))
-    rows, _ = cut(hashed.withColumn("bucket", bucket_of(F.col("hash"))), "grouped")
+    bits = bucket_bits(base.count())
+    rows, _ = cut(hashed.withColumn("bucket", bucket_of(F.col("hash"), bits)), "grouped")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = [total * (k + 1) // shards - total * k // shards for k in range(shards)]
     columns = ["rid", "doc_id", "size", "text_crc32", "group_rows", "hash", "bucket", "shard"]
@@ -180,17 +189,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # Members of a group that no shard can hold stand side by side.
     if not left.isEmpty():
         by_group = F.xxhash64("grp")
-        add(linked.join(left, "grp", "left_semi").withColumn("bucket", bucket_of(by_group)).withColumn("hash", by_group))
+        add(linked.join(left, "grp", "left_semi").withColumn("bucket", bucket_of(by_group, bits)).withColumn("hash", by_group))
     for low, high in ((share // LARGE, None), (share // MIDDLE, share // LARGE), (0, share // MIDDLE)):
         add(single.where((F.col("size") > low) & (F.lit(True) if high is None else F.col("size") <= high)))
 
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return _slots(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows")
+    return _slots(out, bits).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_rows")
 
 
-def _slots(rows: DataFrame) -> DataFrame:
+def _slots(rows: DataFrame, bits: int) -> DataFrame:
     at = F.xxhash64("doc_id", "rid")
-    spread = rows.withColumn("hash", at).withColumn("bucket", bucket_of(F.col("hash"))).withColumn("_n", F.lit(1).cast("long"))
+    spread = rows.withColumn("hash", at).withColumn("bucket", bucket_of(F.col("hash"), bits)).withColumn("_n", F.lit(1).cast("long"))
     return running(spread, ["shard"], ["hash", "rid"], "_n", "slot")

@@ -21,12 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .components import components
-from .prefix import BUCKETS
 
 CHAIN = 2
 THRESHOLD = 0.8
+#: Rows, about, of a range of doc_ids whose successors one window finds, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 4096, 65_536
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -72,16 +73,17 @@ def likeness(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the text of the next row in descending doc_id order; after the last comes the first.
+def with_next(docs: DataFrame, prepared=lambda rows: rows, *more: str) -> DataFrame:
+    """docs (doc_id, text) with the next row's text in descending doc_id order (``next``); after the last comes the first.
 
-    Rows are dealt by ranges of doc_id into BUCKETS windows; the first row of each range (and of all, for the last)
-    also stands at the end of the range before it, so every window holds its rows' successors. The range bounds are
-    BUCKETS numbers, whatever the input's size. Texts are shuffled once.
+    ``prepared`` adds the columns ``more`` to each row after the shuffle, once, and these are carried to ``next_`` too.
+    Rows are dealt by ranges of doc_id of about RANGE_ROWS rows; the first row of each range (and of all, for the last)
+    also stands at the end of the range before it, so every window holds its rows' successors. A range's bound is one
+    number, and MOST_RANGES at most reach the driver. Texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    quantiles = [k / BUCKETS for k in range(1, BUCKETS)]
-    bounds = rows.agg(F.percentile_approx("doc_id", quantiles, 10 * BUCKETS)).first()[0]
+    ranges = min(MOST_RANGES, max(16, docs.count() // RANGE_ROWS))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
     bounds = sorted(set(bounds or []))
     if bounds:  # position in the sorted bounds; a null doc_id, the last in descending order, goes to the lowest range
         sorted_bounds = F.expr("array(" + ",".join(f"{b}L" for b in bounds) + ")")
@@ -94,28 +96,32 @@ def with_next(docs: DataFrame) -> DataFrame:
     placed = rows.withColumn("bucket", bucket)
     order = [F.desc_nulls_last("doc_id"), F.md5("text")]
     # A range's head is its largest doc_id; it also goes to the range of the next larger ids, the largest to the lowest.
-    up = Window.orderBy("bucket")
+    up = Window.orderBy("bucket")  # a row a range
     goes = F.coalesce(F.lead("bucket").over(up), F.min("bucket").over(Window.partitionBy(F.lit(0))))
     heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).withColumn("goes", goes)
-    copies = placed.join(F.broadcast(heads), "bucket").where(F.col("doc_id").eqNullSafe(F.col("head")))  # BUCKETS heads at most
+    copies = placed.join(F.broadcast(heads), "bucket").where(F.col("doc_id").eqNullSafe(F.col("head")))  # MOST_RANGES heads at most
     first = copies.groupBy("bucket").agg(F.min_by("text", F.md5("text")).alias("text"), F.first("doc_id").alias("doc_id"), F.first("goes").alias("bucket2"))
     extra = first.select("doc_id", "text", F.col("bucket2").alias("bucket"), F.lit(1).alias("extra"))
-    every = placed.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(extra)
+    every = prepared(placed.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(extra).repartition("bucket"))
     after = Window.partitionBy("bucket").orderBy(F.col("extra"), *order)
-    return every.withColumn("next", F.lead("text").over(after)).where("extra = 0").select("doc_id", "text", "next")
+    led = every.withColumn("next", F.lead("text").over(after)).withColumns({f"next_{c}": F.lead(c).over(after) for c in more})
+    return led.where("extra = 0").select("doc_id", "text", "next", *more, *(f"next_{c}" for c in more))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of texts, of their edited forms, and likeness to these and to the next document's."""
-    pairs = with_next(docs)
+    """Fingerprints of texts, of their edited forms, and likeness to these and to the next document's.
+
+    Each text is signed once, where it stands with its successor, and each edited text once.
+    """
+    pairs = with_next(docs, lambda rows: with_signatures(rows, "text", "own"), "own")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 2) as int))"))
-    texts = pairs.select("doc_id", "text", "next", n.cast("long").alias("n_chars"), F.when(half > 0, edited).otherwise(F.col("text")).alias("edited"))
-    signed = with_signatures(with_signatures(with_signatures(texts, "text", "own"), "next", "following"), "edited", "changed")
+    texts = pairs.select("doc_id", "own", "next_own", n.cast("long").alias("n_chars"), F.when(half > 0, edited).otherwise(F.col("text")).alias("edited"))
+    signed = with_signatures(texts, "edited", "changed")
     return signed.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spell("own").alias("fingerprint"), spell("changed").alias("edited_fingerprint"),
-        likeness("own", "changed").alias("near_edited"), likeness("own", "following").alias("near_next"), F.size("own").alias("n_signatures"),
+        likeness("own", "changed").alias("near_edited"), likeness("own", "next_own").alias("near_next"), F.size("own").alias("n_signatures"),
     )
 
 
