@@ -97,6 +97,49 @@ def test_plans_push_columns_and_pick_joins(spark):
         assert node in plan and "props" not in plan and "CartesianProduct" not in plan
 
 
+def test_hybrid_shuffles_once(spark):
+    """The salted deal satisfies the join: no exchange besides the two that INTER has too."""
+    tuples = batched(event_tuples(spark, "/root/testdata/sf0.001"), 16)
+    count = {}
+    for par in ("INTER", "HYBRID"):
+        plan = join.window_join(tuples, JoinSpec(16, 64, parallel=par))._jdf.queryExecution().executedPlan().toString()
+        count[par] = (plan.count("REPARTITION_BY_COL"), plan.count("ENSURE_REQUIREMENTS"))
+    assert count["HYBRID"] == count["INTER"] and count["INTER"][0] == 2
+
+
+@pytest.mark.parametrize("mode", ["LAZY", "EAGER"])
+def test_progress_has_every_row(spark, mode):
+    """A row for each batch or executed window, also without a match, against the simulation's counts."""
+    left, right = [k % 3 for k in range(400)], [9] * 120 + [k % 3 for k in range(280)]
+    spec = JoinSpec(10, 40, progress=mode)
+    rows = sorted(progress(batched(table(spark, left, right), 10), spec).collect())
+    want = simulate(left, right, spec)
+    by_window, total = Counter(), 0
+    for r in rows:
+        by_window[r["win"]] += r["matches"]
+        total += r["matches"]
+        assert r["current_matches"] == total
+    assert +by_window == want and any(r["matches"] == 0 for r in rows)
+    if mode == "LAZY":
+        assert [r["arr"] for r in rows] == [8 * k + 7 for k in range(10)] and all(r["is_window_closed"] for r in rows)
+    else:
+        assert [r["arr"] for r in rows] == list(range(80))
+        assert all(r["is_window_closed"] == (k > 0 and rows[k - 1]["win"] < r["win"]) for k, r in enumerate(rows))
+        assert join.selectivity(batched(table(spark, left, right), 10), spec).first()["windows"] == rows[-1]["win"]
+
+
+def test_running_over_blocks(spark, monkeypatch):
+    from tidejoin.functions import running
+
+    monkeypatch.setattr(running, "SPAN", 4)
+    rng = random.Random(3)
+    values = [rng.randrange(50) for _ in range(23)]
+    df = spark.createDataFrame(list(enumerate(values)), "arr long, v long")
+    sums = {r["arr"]: (r["s"], r["b"]) for r in running.running_sum(running.running_sum(df, "arr", "v", "s"), "arr", "v", "b", before=True).collect()}
+    assert sums == {k: (sum(values[: k + 1]), sum(values[:k])) for k in range(23)}
+    assert {r["arr"]: r["m"] for r in running.running_max(df, "arr", "v", "m").collect()} == {k: max(values[: k + 1]) for k in range(23)}
+
+
 def test_invalid_specs():
     for bad in ({"batch": 8, "window": 4}, {"batch": 0, "window": 4}, {"batch": 1, "window": 4, "algorithm": "H"}, {"batch": 1, "window": 4, "progress": ""}, {"batch": 1, "window": 4, "parallel": "I"}):
         with pytest.raises(ValueError):
@@ -167,6 +210,33 @@ def test_count_windows_on_a_stream(spark, tmp_path):
         query.stop()
 
 
+def test_a_stream_numbers_its_tuples(spark, tmp_path):
+    from tidejoin.streaming import joins
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for k in range(3):  # files in event order
+        events.where(F.floor(F.col("event_id") / 334) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restart goes on, and numbers nothing twice
+        query = joins.number_stream(joins.read_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "numbers"))
+        query.processAllAvailable()
+        query.stop()
+    numbered = spark.read.parquet(str(tmp_path / "out" / "tuples"))
+    want = sequence(event_tuples(spark, "/root/testdata/sf0.001"))
+    pairs = lambda df: {(r["side"], r["seq"], r["val"]) for r in df.collect()}
+    assert numbered.count() == want.count() and pairs(numbered) == pairs(want)
+    tuples = joins.read_numbered(spark, str(tmp_path / "out"))
+    query = joins.start(joins.count_stream_join(tuples, 16, 64, "30 DAYS", "60 days"), "numbered", str(tmp_path / "state"))
+    try:
+        query.processAllAvailable()
+        want = join.count_by_window(batched(event_tuples(spark, "/root/testdata/sf0.001"), 16), JoinSpec(16, 64, progress="EAGER"))
+        got = {r["win"]: r["count"] for r in spark.table("numbered").groupBy("win").count().collect()}
+        want = {r["win"]: r["matches"] for r in want.collect()}
+        closed = [k for k in want if k < max(want)]  # a stream has no end, so its open batches join as well
+        assert closed and {k: got.get(k) for k in closed} == {k: want[k] for k in closed}
+    finally:
+        query.stop()
+
+
 def test_generators(spark):
     rows = datagen.generate(spark, 3000, distinct=50, upper=100).collect()
     assert [r["ts"] for r in sorted(rows)] == [k // 30 for k in range(3000)]
@@ -180,6 +250,10 @@ def test_generators(spark):
     assert abs(skewed[0] / 20000 - 1 / total) < 0.02 and set(skewed) <= set(range(100)) and skewed[0] > skewed[5] > skewed[60]
     burst = [r["ts"] for r in datagen.generate(spark, 2000, mode="BURST", distinct=9, upper=500).collect()]
     assert all(0 <= t < 500 for t in burst) and len(set(burst)) > 100
+    rows = sorted(datagen.generate(spark, 2000, mode="BURST", distinct=9, upper=500).collect())
+    assert [r["ts"] for r in rows] == sorted(burst) and {r["key"] for r in rows} == set(range(9))
+    keys = datagen.sorted_by(datagen.generate(spark, 2000, theta=0.5, distinct=50), "key").orderBy("id").collect()
+    assert [r["key"] for r in keys] == sorted(r["key"] for r in datagen.generate(spark, 2000, theta=0.5, distinct=50).collect())
 
 
 def test_experiments(spark, tmp_path):
@@ -190,6 +264,14 @@ def test_experiments(spark, tmp_path):
     one = experiment.Experiment(JoinSpec(16, 64), 10, 0.0, 2000)
     report = experiment.run_once(spark, one)
     assert report["matches"] > 0 and abs(report["selectivity"] - 10) < 1
+    assert report["windows"] > 0 and abs(report["window_ms"] - report["time"] / report["windows"]) < 1e-6
+    for output in ("COUNT_KERNEL", "ESTIMATED_SELECTIVITY", "BITMAP", "ATOMIC"):
+        other = experiment.run_once(spark, experiment.Experiment(JoinSpec(16, 64, output=output), 10, 0.0, 2000))
+        assert other["matches"] == report["matches"] and (other["overflown"] is not None) == (output == "ESTIMATED_SELECTIVITY")
+    assert experiment.run_once(spark, experiment.Experiment(JoinSpec(16, 64, algorithm="EMPTY"), 10, 0.0, 2000))["matches"] == 0
+    assert experiment.standalone(spark, 300_000)["windows"] == 2
+    experiment.write_input(str(tmp_path / "in"), table(spark, [1, 2], [3]))
+    assert spark.read.csv(str(tmp_path / "in")).count() == 3
     experiment.write_throughput(str(tmp_path / "t.csv"), [report])
     experiment.write_throughput(str(tmp_path / "t.csv"), [report])
     assert (tmp_path / "t.csv").read_text().count("algorithm_name") == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.join import RESULT
-from ..sources.sequence import LEFT_EVENTS
+from ..sources.sequence import LEFT_EVENTS, sequence
 
 DELAY = "1 hour"
 
@@ -34,8 +34,33 @@ def tumbling_stream_join(stream: DataFrame, width: str, delay: str = DELAY) -> D
     return left.join(right, (F.col("lw") == F.col("rw")) & (F.col("lkey") == F.col("rkey"))).select(F.col("lw.start").alias("start"), *RESULT)
 
 
+def number_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """A query that numbers each side's tuples in ``seq``, by (ts, val) inside a micro-batch, and writes them to ``out``.
+
+    Micro-batches are folders of their own, ``tuples/batch_no=k`` and ``counts/batch_no=k``, written anew if one is
+    repeated, so numbers are the same after a restart. ``read_numbered`` reads the tuples as a stream.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark, tuples = batch.sparkSession, sequence(batch)
+        counts = "side string, n long, batch_no long"
+        batch.groupBy("side").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/counts/batch_no={number}")
+        before = spark.read.schema(counts).option("basePath", f"{out}/counts").parquet(f"{out}/counts").where(F.col("batch_no") < number)
+        offsets = before.groupBy("side").agg(F.sum("n").alias("offset"))  # a row a side
+        placed = tuples.join(F.broadcast(offsets), "side", "left").withColumn("seq", F.col("seq") + F.coalesce("offset", F.lit(0)))
+        placed.select(*batch.columns, F.col("seq").cast("long")).write.mode("overwrite").parquet(f"{out}/tuples/batch_no={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+
+
+def read_numbered(spark: SparkSession, out: str, files_per_trigger: int = 1) -> DataFrame:
+    """The tuples that number_stream() has written, as a stream."""
+    schema = "key long, val long, ts timestamp, side string, seq long, batch_no long"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{out}/tuples").drop("batch_no")
+
+
 def count_stream_join(stream: DataFrame, batch: int, window: int, span: str, delay: str = DELAY) -> DataFrame:
-    """Eager count windows on a stream whose source numbers each side's tuples in ``seq``.
+    """Eager count windows on a stream whose tuples are numbered by side in ``seq``, as read_numbered() gives them.
 
     Count windows have no time bound, so ``span`` must cover the longest window; it lets state be dropped.
     """
