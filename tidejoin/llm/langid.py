@@ -16,7 +16,8 @@ its language's mean by REJECT deviations, widened for short texts.
 
 Defined results: null text, or none with a letter: ``und``, score 0, rejected. A table to learn from without a usable
 row: all ``und``. A null doc_id counts as not held out. Rows are predicted one by one, so repeated rows agree; very
-long texts are scored whole. Other columns are ignored.
+long texts are scored whole. Other columns are ignored; keep_accepted carries them, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, prepare, release
+from .common import cut, drop, keep, prepare, release
 
 CALIBRATE_DOCS = 300
 #: Distinct words, and their bytes, that a counting task holds before it passes them on.
@@ -308,12 +309,14 @@ def _calibrate(model: Model, rows: list) -> None:
 def _gram_counts(texts: DataFrame) -> list[pa.Table]:
     """(lang, text) to tables (gram, n) named by language in their metadata, every gram once."""
     words = texts.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams, _ = cut(words.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    grams, path = cut(words.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     names = sorted(sizes)
     if (needed := sum(sizes.values()) * (16 + 8 * len(names))) > MODEL_BYTES:
         raise ValueError(f"the model of {len(names)} languages may take {needed >> 20} MB, more than MODEL_BYTES; learn fewer languages at a time")
-    return [grams.where(F.col("lang") == name).select("gram", "n").toArrow().replace_schema_metadata({"lang": name}) for name in names]
+    found = [grams.where(F.col("lang") == name).select("gram", "n").toArrow().replace_schema_metadata({"lang": name}) for name in names]
+    drop(texts.sparkSession, path)
+    return found
 
 
 def _by_language(tables: list[pa.Table]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
@@ -339,7 +342,7 @@ def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
     shares = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(0.1, calibrate_docs / r["n"]))))) if sizes else F.expr("map('', 0D)")
     at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     calibrates = at < F.element_at(shares, F.col("lang"))
-    sample, _ = cut(usable.where(calibrates).select("lang", "text"), "sample")
+    sample, path = cut(usable.where(calibrates).select("lang", "text"), "sample")
     others = _gram_counts(usable.where(~calibrates))
     model = Model(*_by_language(others))
     shared = spark.sparkContext.broadcast(model)
@@ -353,6 +356,7 @@ def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
     _calibrate(model, sample.mapInArrow(sums, "lang string, sums array<double>").collect())
     shared.destroy()
     whole = Model(*_by_language([*others, *_gram_counts(sample)]))
+    drop(spark, path)
     whole.calibrated_by(model)
     return whole
 

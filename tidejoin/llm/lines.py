@@ -7,7 +7,8 @@ counts, so only lines that are clearly above or below rest on a sketch.
 
 A line is compared without leading and trailing spaces; blank lines are always kept. Defined results: a null text is
 the empty one (one blank line); a null source is no site; equal rows count as rows, but their site once; rows with one
-doc_id are cleaned alike; other columns are ignored; no line is cut, however long.
+doc_id are cleaned alike; other columns are ignored; no line is cut, however long; an empty table gives an empty result.
+Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

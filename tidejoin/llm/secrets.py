@@ -13,8 +13,8 @@ is its parameter n.
 A result names a secret by digest, not by value, and shows only plain words and labels of what stands before it.
 Defined results: an empty table has no findings; a null or empty text has no findings; repeated rows
 and repeated candidates are findings of their own, told apart by place (the word's number; runs parted only by characters
-beyond ASCII share it); very long texts are
-scanned whole; other columns are ignored. Out of reach: secrets with marks that no password's label precedes, a
+beyond ASCII share it); equal candidates with equal neighbours have equal scores, and a score of 0.5 is a secret; very
+long texts are scanned whole; other columns are ignored. Out of reach: secrets with marks that no password's label precedes, a
 padding = at a secret's end, passwords with white space or under SHORT_CHARS, and lower-case letters alone.
 """
 

@@ -139,18 +139,22 @@ def propagate(linked: DataFrame, capacity: list[int]) -> tuple[DataFrame, DataFr
     members = linked.select("grp", "size", F.col("shard").alias("label"))
     groups = members.groupBy("grp").agg(F.sum("size").alias("gsize"))
     weights = members.groupBy("grp", "label").agg(F.sum("size").alias("w")).join(groups, "grp")
-    pending, _ = cut(weights, "pending")
+    spark = linked.sparkSession
+    pending, path = cut(weights, "pending")
     placed: list[DataFrame] = []
     free = list(capacity)
     while True:  # a round with a proposal accepts the largest group of a shard at least
-        proposals, _ = cut(_propose(pending, free).where("shard is not null"), "proposals")
+        proposals, proposals_path = cut(_propose(pending, free).where("shard is not null"), "proposals")
         accepted, _ = cut(_accept(proposals, free).join(proposals, ["grp", "shard"]).select("grp", "shard", "gsize"), "accepted")
+        drop(spark, proposals_path)
         used = _per_shard(accepted.withColumnRenamed("gsize", "size"), shards)
         if not sum(used):
             break
         placed.append(accepted.select("grp", "shard"))
         free = [f - u for f, u in zip(free, used, strict=True)]
-        pending, _ = cut(pending.join(accepted, "grp", "left_anti"), "pending")
+        after, new = cut(pending.join(accepted, "grp", "left_anti"), "pending")
+        drop(spark, path)
+        pending, path = after, new
         if pending.isEmpty():
             break
     done = members.select("grp", F.col("label").alias("shard")).where(F.lit(False))
@@ -162,11 +166,12 @@ def propagate(linked: DataFrame, capacity: list[int]) -> tuple[DataFrame, DataFr
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs (doc_id, text) to doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows."""
     text = F.coalesce("text", F.lit(""))
-    base, _ = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), (text_bytes(F.col("text")) + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp")), "rows")
+    base, base_path = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), (text_bytes(F.col("text")) + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("grp")), "rows")
     counts = base.groupBy("grp").agg(F.count("*").alias("group_rows"))
     hashed = base.join(counts, "grp").withColumn("hash", F.xxhash64(F.lit(SEED), "doc_id", "grp"))
     bits = bucket_bits(base.count())
     rows, _ = cut(hashed.withColumn("bucket", bucket_of(F.col("hash"), bits)), "grouped")
+    drop(docs.sparkSession, base_path)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = [total * (k + 1) // shards - total * k // shards for k in range(shards)]
     columns = ["rid", "doc_id", "size", "text_crc32", "group_rows", "hash", "bucket", "shard"]

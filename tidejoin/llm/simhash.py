@@ -11,8 +11,8 @@ thousands of copies costs no more rows than its members; the forests' components
 that aren't joined yet are compared exactly, in blocks of a bounded number of shingles, each pair of blocks once.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; equal fingerprints are one
-component; rows with equal doc_id are told apart only by what they hold; a null doc_id has a null component; other
-columns are ignored.
+component; rows with equal doc_id are told apart only by what they hold; a null doc_id has a null component; texts of
+any length are read whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -235,8 +235,9 @@ def _compare(words: int, radius: int, screen: int):
     return run
 
 
-def links(distinct: DataFrame, words: int, radius: int, screen: int | None = None) -> DataFrame:
-    """distinct (doc_id, fp), each fp once, to spanning links (u, v) of all pairs within ``radius`` differing bits."""
+def links(distinct: DataFrame, words: int, radius: int, screen: int | None = None) -> tuple[DataFrame, str]:
+    """distinct (doc_id, fp), each fp once, to spanning links (u, v) of all pairs within ``radius`` differing bits, and
+    the path of the tiles that they are read from."""
     spark = distinct.sparkSession
     screen = radius if screen is None else screen
     size = min(MAX_TILE, max(MIN_TILE, -(-distinct.count() // TILES)))
@@ -244,7 +245,7 @@ def links(distinct: DataFrame, words: int, radius: int, screen: int | None = Non
     quarter = [F.bit_count(F.shiftrightunsigned(first, 16 * k).bitwiseAND(F.lit(0xFFFF))).alias(f"q{k}") for k in range(4)]
     order = ["q0", "q1", "q2", "q3", "doc_id"]
     ordered = distinct.select("doc_id", "fp", *quarter).repartitionByRange(*order).coalesce(max(1, -(-distinct.count() // size))).sortWithinPartitions(*order)
-    tiles, _ = cut(ordered.select("doc_id", "fp").mapInArrow(_tile_rows(size), "tile long, ids binary, fps binary, lo array<int>, hi array<int>"), "tiles")
+    tiles, path = cut(ordered.select("doc_id", "fp").mapInArrow(_tile_rows(size), "tile long, ids binary, fps binary, lo array<int>, hi array<int>"), "tiles")
     # Tile numbers and ranges only: a tile meets the strips of count that its first quarter's range, widened by the
     # radius, touches.
     heads = tiles.select("tile", "lo", "hi")
@@ -257,7 +258,7 @@ def links(distinct: DataFrame, words: int, radius: int, screen: int | None = Non
     ends = pairs.select("tile", "other", F.col("tile").alias("of")).union(pairs.where("tile != other").select("tile", "other", F.col("other").alias("of")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = ends.join(of, "of").repartition(4 * n, "tile", "other").sortWithinPartitions("tile", "other", "of")
-    return dealt.select("tile", "other", "ids", "fps").mapInArrow(_compare(words, radius, screen), "u long, v long")
+    return dealt.select("tile", "other", "ids", "fps").mapInArrow(_compare(words, radius, screen), "u long, v long"), path
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: int = 4, screen: int | None = None, distinct: bool = False) -> DataFrame:
@@ -268,9 +269,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: i
     again = rep.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
     shared = fps.join(again.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "fp").distinct()
     unique = rep.select(F.col("rep").alias("doc_id"), "fp")
-    found = links(unique, words, radius, screen)
+    found, tiles = links(unique, words, radius, screen)
     same_doc = shared.join(rep, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     root = components(found.union(same_doc))
+    drop(docs.sparkSession, tiles)
     placed, _ = cut(rep.join(root, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "placed")
     return fps.join(placed, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -355,8 +357,8 @@ def verified_roots(texts: DataFrame, shingle: int, threshold: float) -> DataFram
     """
     spark = texts.sparkSession
     prepare(spark)
-    sets, _ = cut(texts.select("doc_id", "component_id", "text").mapInArrow(_sets(shingle), "doc_id long, component_id long, digest binary, n long, hashes binary"), "sets")
-    reps, _ = cut(sets.groupBy("component_id", "digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct")
+    sets, sets_path = cut(texts.select("doc_id", "component_id", "text").mapInArrow(_sets(shingle), "doc_id long, component_id long, digest binary, n long, hashes binary"), "sets")
+    reps, reps_path = cut(sets.groupBy("component_id", "digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct")
     same = sets.select("doc_id", "component_id", "digest").join(reps, ["component_id", "digest"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     blocks = reps.groupBy("component_id").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("m > 1")
     block = F.pmod(F.xxhash64("rep", "digest"), F.greatest("blocks", F.lit(1))).cast("int")
@@ -365,4 +367,7 @@ def verified_roots(texts: DataFrame, shingle: int, threshold: float) -> DataFram
     rows = ends.join(sets.select("doc_id", "digest", "component_id", "hashes"), ["doc_id", "digest", "component_id"])
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.select("component_id", "lo", "hi", "block", "doc_id", "hashes").repartition(4 * n, "component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi")
-    return components(dealt.mapInArrow(_verify(threshold), "u long, v long").union(same))
+    root = components(dealt.mapInArrow(_verify(threshold), "u long, v long").union(same))  # a table of its own
+    drop(spark, sets_path)
+    drop(spark, reps_path)
+    return root

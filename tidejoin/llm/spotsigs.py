@@ -11,7 +11,8 @@ prefixes meet (two alike sets share an element of their prefixes), pairs whose l
 threshold out are pruned, and the rest is compared exactly. Classes are the components of the links.
 
 Defined results: a null text is the empty one; equal texts have equal fingerprints and likeness 1; texts of any length
-are read whole; rows with equal doc_id are successive documents; other columns are ignored.
+are read whole; rows with equal doc_id are successive documents, in the order of their texts' digests, and repeated rows
+succeed each other; a null doc_id comes last; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
