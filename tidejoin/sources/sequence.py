@@ -52,7 +52,14 @@ def sequence(tuples: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def batched(tuples: DataFrame, batch: int, ranges: int | None = None) -> DataFrame:
-    """Adds seq, batch, and nb, the number of whole batches that both sides have. Later tuples are dropped."""
-    numbered = sequence(tuples, ranges).withColumn("batch", F.floor(F.col("seq") / batch).cast("long"))
-    sizes = tuples.agg(*(F.floor(F.count(F.when(F.col("side") == s, 1)) / batch).alias(s) for s in ("L", "R")))
-    return numbered.withColumn("nb", sizes.select(F.least("L", "R").cast("long")).scalar()).where("batch < nb")
+    """Adds seq, batch, and nb, the number of whole batches that both sides have. Later tuples are dropped.
+
+    A small table is counted in one window, under which a filter on the side isn't pushed, so that both sides of a join
+    share one scan and one exchange; a large one is counted apart.
+    """
+    whole = lambda f: F.least(*(F.floor(f(F.count(F.when(F.col("side") == s, 1))) / batch) for s in ("L", "R"))).cast("long")
+    if ranges is None and _estimated_bytes(tuples) <= SMALL_BYTES:
+        placed = sequence(tuples.withColumn("nb", whole(lambda c: c.over(Window.partitionBy()))))
+    else:
+        placed = sequence(tuples, ranges).withColumn("nb", tuples.select(whole(lambda c: c)).scalar())
+    return placed.withColumn("batch", F.floor(F.col("seq") / batch).cast("long")).where("batch < nb")
