@@ -28,7 +28,7 @@ from .components import components
 CHAIN = 2
 THRESHOLD = 0.8
 #: Rows, about, of a range of doc_ids whose successors one window finds, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 1024, 65_536
+RANGE_ROWS, MOST_RANGES = 1024, 16_384
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
