@@ -5,8 +5,8 @@ The watermark is the largest last timestamp of any batch so far; a window closes
 Lazy windows that never close don't join.
 
 Each batch points to the one that would close next if a window closed at it. The chain of closes from the first batch is
-found by pointer doubling: each round doubles the pointers' reach, so n windows take about log2(n) rounds, each a join
-written to the shared folder.
+found by pointer doubling: each round doubles the pointers' reach, so n windows take about log2(n) rounds of joins, two
+rounds a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -38,18 +38,21 @@ def _pointers(batches: DataFrame, width_ms: int) -> DataFrame:
     return inside.join(cells.select("cell", F.min("first").over(later).alias("next")), "cell").select("arr", F.coalesce("found", "next").alias("nxt"))
 
 
-def _closes(pointers: DataFrame) -> DataFrame:
-    """pointers (arr, nxt) to (arr) of the batches that the chain from batch 0 meets."""
+def _closes(pointers: DataFrame, most: int) -> DataFrame:
+    """pointers (arr, nxt) to (arr) of the batches, ``most`` at most, that the chain from batch 0 meets."""
     spark = pointers.sparkSession
     now, path = cut(pointers.select("arr", "nxt", (F.col("arr") == 0).alias("met")), "chain")
-    while now.where("arr = 0 and nxt is not null").count():
+    rounds = most.bit_length()  # after k rounds, 2 ** k - 1 steps are met
+    for k in range(1, rounds + 1):
         # What a met batch points to is met; then every pointer takes two steps at once.
         ahead = now.where("met and nxt is not null").select(F.col("nxt").alias("arr"), F.lit(True).alias("hit"))
         twice = now.select(F.col("arr").alias("nxt"), F.col("nxt").alias("nxt2"))
-        after = now.join(ahead, "arr", "left").join(twice, "nxt", "left")
-        now, new = cut(after.select("arr", F.col("nxt2").alias("nxt"), (F.col("met") | F.coalesce("hit", F.lit(False))).alias("met")), "chain")
-        drop(spark, path)
-        path = new
+        joined = now.join(ahead, "arr", "left").join(twice, "nxt", "left")
+        now = joined.select("arr", F.col("nxt2").alias("nxt"), (F.col("met") | F.coalesce("hit", F.lit(False))).alias("met"))
+        if k % 2 == 0 or k == rounds:  # two rounds a table
+            now, new = cut(now, "chain")
+            drop(spark, path)
+            path = new
     return now.where("met and arr > 0").select("arr")
 
 
@@ -58,7 +61,9 @@ def batch_windows(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> D
     one_of("progress", progress, ("LAZY", "EAGER"))
     last = tuples.groupBy(arrival().alias("arr")).agg(F.max_by(F.unix_millis(F.col("ts").cast("timestamp")), "seq").alias("last"))
     batches, _ = cut(running_max(last, "arr", "last", "wm").select("arr", "wm"), "batches")
-    closes = _closes(_pointers(batches, width_ms)).select("arr", F.lit(1).alias("closes"))
+    low, high = batches.agg(F.min("wm"), F.max("wm")).first()
+    most = 0 if low is None else (high - low) // width_ms  # each close takes the watermark a width further
+    closes = _closes(_pointers(batches, width_ms), most).select("arr", F.lit(1).alias("closes"))
     flagged = batches.select("arr").join(closes, "arr", "left").withColumn("closes", F.coalesce("closes", F.lit(0)))
     win = running_sum(flagged, "arr", "closes", "win", before=progress == "LAZY").select("arr", "win")
     if progress == "EAGER":
