@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lines, mixing, secrets, sharding, simhash, spotsigs, tokens
+from . import chat, decontam, fim, langid, lines, mixing, secrets, sharding, simhash, spotsigs, tokens
 from .common import prepare, table
 
 
@@ -63,9 +63,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id)
+    for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id, op12_fill_in_middle)
 }
 
 _ESCAPED = "(length({x}) + length({x}) - length(replace({x}, '\\', ''))" + "".join(f" + (length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)}" for c in ("<turn>", "<text>", "</turn>", "<|endoftext|>")) + ")"
@@ -91,6 +97,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
   length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_chars,
   md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_md5
 FROM m GROUP BY doc_id""",
+    "op12_fill_in_middle": f"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT *, {", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))} FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fim.TRANSFORMED} THEN 'plain' WHEN h4 % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM x),
+t AS (SELECT *, substr(text, 1, p) AS prefix, substr(text, p + 1, q - p) AS middle, substr(text, q + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM t""",
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "prepare", "tokenizer_path"]
