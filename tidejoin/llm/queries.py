@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, langid, lines, mixing, secrets, sharding, simhash, spotsigs, tokens
+from . import chat, decontam, fim, langid, lines, mixing, secrets, sharding, simhash, spotsigs, tokens, variants
 from .common import prepare, table
 
 
@@ -63,6 +63,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(table(spark, sf_dir, "documents"))
     digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -71,7 +75,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id, op12_fill_in_middle)
+    for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id, op11_spelling_variants, op12_fill_in_middle)
 }
 
 _ESCAPED = "(length({x}) + length({x}) - length(replace({x}, '\\', ''))" + "".join(f" + (length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)}" for c in ("<turn>", "<text>", "</turn>", "<|endoftext|>")) + ")"
