@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{k}" for k in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, langid, lines, mixing, secrets, sharding, simhash, spotsigs, tokens, variants
+from . import chat, decontam, fim, langid, lines, mixing, packing, secrets, sharding, simhash, spotsigs, tokens, variants
 from .common import prepare, table
 
 
@@ -73,9 +73,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id, op11_spelling_variants, op12_fill_in_middle)
+    for f in (op1_token_output, op2_chat_format, op3_decontamination, op4_balanced_shards, op5_simhash, op6_secret_scan, op7_spotsigs, op8_line_dedup, op9_source_mix, op10_language_id, op11_spelling_variants, op12_fill_in_middle, op13_retrieval_packing)
 }
 
 _ESCAPED = "(length({x}) + length({x}) - length(replace({x}, '\\', ''))" + "".join(f" + (length({{x}}) - length(replace({{x}}, '{c}', ''))) // {len(c)}" for c in ("<turn>", "<text>", "</turn>", "<|endoftext|>")) + ")"
