@@ -18,6 +18,7 @@ succeed each other; a null doc_id comes last; other columns are ignored; an empt
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,25 +128,32 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, class_id, n_links): the smallest doc_id of its class, links to other sets."""
+    """docs (doc_id, text) to (doc_id, class_id, n_links): the smallest doc_id of its class, links to other sets.
+
+    The threshold is taken as the decimal it is written as, up / down, and compared in whole numbers: c common of n and m
+    signatures reach it if c * (up + down) >= up * (n + m).
+    """
+    up, down = Fraction(str(threshold)).as_integer_ratio()
     signed = with_signatures(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "text", "s")
     rows, _ = cut(signed.select("doc_id", "s", F.md5(spell("s")).alias("key")), "signatures")
     reps, _ = cut(rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s")).withColumn("n", F.size("s")), "sets")
     items = reps.select("rep", "n", F.explode("s").alias("h"))
     seen = items.groupBy("h").agg(F.count("*").alias("df"))
     ranked = items.join(seen, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    length = F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int")
-    prefix = (F.col("n") - F.ceil(threshold * F.col("n")) + 1).cast("int")
+    # Partitions are a little wider than the threshold's ratio, so sets at exactly that ratio never lie two apart.
+    length = F.floor(F.log(F.col("n")) / (math.log(down / up) * (1 + 1e-9))).cast("int")
+    prefix = F.expr(f"cast(n - ({up} * n + {down - 1}) div {down} + 1 as int)")
     heads = ranked.select("rep", "n", length.alias("part"), F.posexplode(F.slice("o", 1, prefix)).alias("pos", "e")).select("rep", "n", "part", "pos", F.col("e.h").alias("h"))
     left = heads.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "h", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
     right = heads.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "h", "part")
     shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = (F.col("na") >= threshold * F.col("nb")) & (rest + F.least("pa", "pb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")))
+    fits = (down * F.col("na") >= up * F.col("nb")) & ((up + down) * (rest + F.least("pa", "pb")) >= up * (F.col("na") + F.col("nb")))
     pairs = left.join(right, ["h", "part"]).where(shorter & fits).select("a", "b").distinct()
     sets = reps.select("rep", "s")
     compared = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    links, _ = cut(compared.where(likeness("sa", "sb") >= threshold).select("a", "b"), "links")
+    enough = (up + down) * F.size(F.array_intersect("sa", "sb")) >= up * (F.size("sa") + F.size("sb"))
+    links, _ = cut(compared.where(enough).select("a", "b"), "links")
     root = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = reps.select("key", "rep").join(root, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
