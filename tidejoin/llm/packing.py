@@ -36,8 +36,10 @@ WINDOW = 4096
 #: Tokens of a shard, about: what one inverted index holds.
 SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
+#: Of so many documents, those that a term stands in make it a dense row of the index.
+DENSE = 8
 
-TOKENS = "doc_id long, n long, ids binary"
+TOKENS = "doc_id long, n long, ids binary, n_terms long, terms binary, tf binary"
 DEALT = "shard long, " + TOKENS
 SEQUENCES = "sequence_id long, length long, pad_to long, width int, ids binary, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,17 +64,30 @@ def _encode(path: str, end_id: int, kind: str):
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _slices(texts):
-                ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype(kind) for x in encoder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.array([len(x) for x in ids], pa.int64()), pa.array([_squeeze(x) for x in ids], pa.binary())], names=_names(TOKENS))
+                end = int(end_id).to_bytes(4, "little")
+                ids = [np.frombuffer(x + end, "<u4").astype(kind) for x in encoder.encode(texts[a:b])]
+                terms, tf, counts = terms_of(ids)
+                ends = np.cumsum(counts).tolist()
+                cuts = list(zip([0, *ends], ends, strict=False))
+                terms, tf = terms.astype(kind), tf.astype("<u4")
+                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([_squeeze(x) for x in ids], pa.binary()), pa.array(counts), *(pa.array([x[p:q].tobytes() for p, q in cuts], pa.binary()) for x in (terms, tf))]
+                yield pa.RecordBatch.from_arrays([doc_ids[a:b], *columns], names=_names(TOKENS))
 
     return run
 
 
-def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids of a document without its end id, ascending, and how often each occurs."""
-    ordered = np.sort(ids[:-1], kind="stable")
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
-    return ordered[first].astype(np.int64), np.diff(np.append(first, len(ordered)))
+def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of documents without their end ids, ascending, how often each occurs, and their number by document.
+
+    All documents are sorted at once, by their number and the id.
+    """
+    sizes = np.array([len(x) - 1 for x in docs], np.int64)
+    wide = np.repeat(np.arange(len(docs), dtype=np.uint64) << np.uint64(32), sizes) | np.concatenate([x[:-1] for x in docs]).astype(np.uint64)
+    wide.sort()
+    first = np.flatnonzero(np.append(True, wide[1:] != wide[:-1])) if len(wide) else np.empty(0, np.int64)
+    tf = np.diff(np.append(first, len(wide)))
+    held = wide[first]
+    return (held & np.uint64(0xFFFFFFFF)).astype(np.int64), tf, np.bincount((held >> np.uint64(32)).astype(np.int64), minlength=len(docs))
 
 
 class Weights:
@@ -82,30 +97,38 @@ class Weights:
         self.idf = np.log1p((documents - df + 0.5) / (df + 0.5))
         self.mean = max(1.0, tokens / max(1, documents))
 
-    def __call__(self, terms: np.ndarray, tf: np.ndarray, length: int) -> np.ndarray:
+    def __call__(self, terms: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Weights of terms that occur ``tf`` times in documents of ``length``."""
         return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
-    def key(self, ids: np.ndarray) -> int:
-        """The term of largest weight, the smallest of equals; the end id for a document without terms."""
-        terms, tf = terms_of(ids)
-        return int(terms[np.argmax(self(terms, tf, len(ids)))]) if len(terms) else int(ids[-1])
+    def keys(self, terms: np.ndarray, tf: np.ndarray, counts: np.ndarray, lengths: np.ndarray, end_id: int) -> np.ndarray:
+        """The term of largest weight of each document, the smallest of equals; the end id for one without terms."""
+        out = np.full(len(counts), end_id, np.int64)
+        has = np.flatnonzero(counts)
+        if len(has):
+            weights = self(terms, tf, np.repeat(lengths, counts))
+            starts = (np.cumsum(counts) - counts)[has]
+            best = np.repeat(np.maximum.reduceat(weights, starts), counts[has])
+            at = np.where(weights == best, np.arange(len(weights)), len(weights))
+            out[has] = terms[np.minimum.reduceat(at, starts)]
+        return out
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int | None, np.ndarray]]:
-    for batch in batches:
-        for doc_id, n, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            yield doc_id, _restore(body, n, kind)
+def _flat(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """terms, tf, terms by document and length of a batch's documents, end to end."""
+    joined = lambda c, k: np.frombuffer(b"".join(batch.column(c).to_pylist()), k).astype(np.int64)
+    return joined("terms", kind), joined("tf", "<u4"), batch.column("n_terms").to_numpy(), batch.column("n").to_numpy()
 
 
 def _sums(of, vocabulary: int, kind: str):
-    """Per task, sums over its documents by term, as (term, n) without zeros; ``of`` gives (terms, amounts) of a document."""
+    """Per task, sums over its documents by term, as (term, n) without zeros; ``of`` gives terms and amounts of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         total = np.zeros(vocabulary, np.int64)
-        for _, ids in _tokens(batches, kind):
-            terms, amount = of(ids)
-            total[terms] += amount
+        for batch in batches:
+            terms, amounts = of(*_flat(batch, kind))
+            total += np.bincount(terms, amounts, vocabulary).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
@@ -114,7 +137,8 @@ def _sums(of, vocabulary: int, kind: str):
 
 def _by_term(tokens: DataFrame, of, vocabulary: int, kind: str) -> np.ndarray:
     """Sums over all documents by term: a number for each id of the vocabulary, which bounds what the driver gets."""
-    got = tokens.mapInArrow(_sums(of, vocabulary, kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("n", "n_terms", "terms", "tf")
+    got = rows.mapInArrow(_sums(of, vocabulary, kind), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(vocabulary, np.int64)
     out[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -136,46 +160,56 @@ def deal(tokens_by_key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def _place(weights: Weights, first: np.ndarray, parts: np.ndarray, kind: str):
+def _place(weights: Weights, first: np.ndarray, parts: np.ndarray, kind: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         release()
         row = TaskContext.get().partitionId() << 32
         for batch in batches:
+            keys = weights.keys(*_flat(batch, kind), end_id)
             shards = []
-            for doc_id, ids in _tokens(iter([batch]), kind):
+            for doc_id, key in zip(batch.column("doc_id").to_pylist(), keys.tolist(), strict=True):
                 row += 1
-                key = weights.key(ids)
                 mark = b"%d" % doc_id if doc_id is not None else b"row %d" % row  # rows without a doc_id spread too
                 shards.append(int(first[key]) + zlib.crc32(mark) % int(parts[key]))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), *batch.columns[:3]], names=_names(DEALT))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), *batch.columns], names=_names(DEALT))
 
     return run
 
 
 class Index:
-    """An inverted index of a shard's documents: for each term, documents and their weights."""
-
-    def __init__(self, docs: list[np.ndarray], weights: Weights):
-        self.terms, rows, values = [], [], []
-        for k, ids in enumerate(docs):
-            terms, tf = terms_of(ids)
-            self.terms.append(terms)
-            rows.append(np.full(len(terms), k, np.int64))
-            values.append(weights(terms, tf, len(ids)))
-        terms = np.concatenate(self.terms)
+    """An inverted index of a shard's documents. A term's postings are documents and weights; those of terms in one
+    document of DENSE or more are kept as a row of weights over all documents, which add up faster."""
+
+    def __init__(self, terms: np.ndarray, tf: np.ndarray, counts: np.ndarray, lengths: np.ndarray, weights: Weights):
+        self.size = len(counts)
+        values = weights(terms, tf, np.repeat(lengths, counts)).astype(np.float32)
         order = np.argsort(terms, kind="stable")
-        self.rows, self.values = np.concatenate(rows)[order], np.concatenate(values)[order]
-        self.size = len(docs)
-        self.starts = np.searchsorted(terms[order], np.arange(len(weights.idf) + 1))
+        rows, values = np.repeat(np.arange(self.size), counts)[order], values[order]
+        held, place, n = np.unique(terms, return_inverse=True, return_counts=True)
+        ends = np.cumsum(n)
+        dense = np.flatnonzero(n * DENSE >= self.size)
+        self.table = np.zeros((len(dense), self.size), np.float32)
+        for k, t in enumerate(dense.tolist()):
+            span = slice(ends[t] - n[t], ends[t])
+            self.table[k, rows[span]] = values[span]
+        line = np.full(len(held), -1, np.int64)
+        line[dense] = np.arange(len(dense))
+        self.rows, self.values, self.starts, self.ends, self.line = rows, values, ends - n, ends, line
+        self.terms = np.split(place, np.cumsum(counts)[:-1])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents for the seed's terms."""
-        spans = [slice(a, b) for a, b in zip(self.starts[self.terms[seed]].tolist(), self.starts[self.terms[seed] + 1].tolist(), strict=True)]
-        if not spans:
-            return np.zeros(self.size)
-        return np.bincount(np.concatenate([self.rows[s] for s in spans]), np.concatenate([self.values[s] for s in spans]), self.size)
+        terms = self.terms[seed]
+        lines = self.line[terms]
+        found = self.table[lines[lines >= 0]].sum(axis=0)
+        rare = terms[lines < 0]
+        if len(rare):
+            starts, n = self.starts[rare], self.ends[rare] - self.starts[rare]
+            at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+            found += np.bincount(self.rows[at], self.values[at], self.size).astype(np.float32)
+        return found
 
 
 def neighbours(scores: np.ndarray, free: np.ndarray) -> Iterator[int]:
@@ -193,18 +227,16 @@ def neighbours(scores: np.ndarray, free: np.ndarray) -> Iterator[int]:
         k *= 4
 
 
-def windows(docs: list[np.ndarray], weights: Weights, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of a shard as lists of (document, start, length)."""
-    index = Index(docs, weights)
-    free = np.ones(len(docs), bool)
-    sizes = [len(x) for x in docs]
+def windows(index: Index, sizes: list[int], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences of a shard, whose documents have ``sizes`` ids, as lists of (document, start, length)."""
+    free = np.ones(len(sizes), bool)
     held: list[tuple[int, int, int]] = []
     room, seed, start, first = window, -1, 0, 0
     while True:
         if seed < 0:  # the first unused document
-            while first < len(docs) and not free[first]:
+            while first < len(sizes) and not free[first]:
                 first += 1
-            if first == len(docs):
+            if first == len(sizes):
                 break
             seed, start, free[first] = first, 0, False
         while sizes[seed] - start >= room:
@@ -246,12 +278,19 @@ def _pack(weights: Weights, window: int, size: int, kind: str):
         release()
         doc_ids: list[int | None] = []
         docs: list[np.ndarray] = []
+        terms: list[bytes] = []
+        tf: list[bytes] = []
         shard, held, number = -1, 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal doc_ids, docs, held, number
+            nonlocal doc_ids, docs, terms, tf, held, number
+            if not docs:
+                return
             rows: list[tuple] = []
-            for pieces in windows(docs, weights, window) if docs else ():
+            sizes = [len(x) for x in docs]
+            counts = np.array([len(x) for x in terms], np.int64) // np.dtype(kind).itemsize
+            index = Index(np.frombuffer(b"".join(terms), kind).astype(np.int64), np.frombuffer(b"".join(tf), "<u4"), counts, np.array(sizes), weights)
+            for pieces in windows(index, sizes, window):
                 length = sum(n for _, _, n in pieces)
                 ids = np.concatenate([docs[d][s : s + n] for d, s, n in pieces])
                 pad = length if length & (length - 1) == 0 else window
@@ -262,16 +301,18 @@ def _pack(weights: Weights, window: int, size: int, kind: str):
                     rows = []
             if rows:
                 yield _sequences(rows)
-            doc_ids, docs, held = [], [], 0
+            doc_ids, docs, terms, tf, held = [], [], [], [], 0
 
         for batch in batches:
-            for at, doc_id, n, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for at, doc_id, n, body, own, often in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)), strict=True):
                 if at != shard or held > 2 * size:
                     yield from close()
                 if at != shard:
                     shard, number = at, 0
                 doc_ids.append(doc_id)
                 docs.append(_restore(body, n, kind))
+                terms.append(own)
+                tf.append(often)
                 held += n
         yield from close()
 
@@ -296,10 +337,11 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     tokens, tokens_path = cut(rows.mapInArrow(_encode(tokenizer, end_id, kind), TOKENS), "encoded")
     documents, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = _by_term(tokens, lambda ids: (terms_of(ids)[0], 1), vocabulary, kind)
+    df = _by_term(tokens, lambda terms, tf, counts, lengths: (terms, None), vocabulary, kind)
     weights = Weights(df, documents, total)
-    first, parts = deal(_by_term(tokens, lambda ids: (weights.key(ids), len(ids)), vocabulary, kind), shard_tokens)
-    placed = tokens.mapInArrow(_place(weights, first, parts, kind), DEALT).repartition("shard").sortWithinPartitions("shard", "doc_id", "n", "ids")
+    keyed = lambda terms, tf, counts, lengths: (weights.keys(terms, tf, counts, lengths, end_id), lengths)
+    first, parts = deal(_by_term(tokens, keyed, vocabulary, kind), shard_tokens)
+    placed = tokens.mapInArrow(_place(weights, first, parts, kind, end_id), DEALT).repartition("shard").sortWithinPartitions("shard", "doc_id", "n", "ids")
     placed.mapInArrow(_pack(weights, window, shard_tokens, kind), SEQUENCES).write.option("compression", "zstd").parquet(path)
     drop(spark, tokens_path)
 
