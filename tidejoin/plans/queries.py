@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -12,7 +12,7 @@ from ..model import JoinSpec
 from ..operators import join, timewin, windows
 from ..sources import datagen
 from ..sources.sequence import batched, event_tuples, sequence
-from . import experiment
+from . import experiment, streams
 
 BATCH, WINDOW = 64, 512
 WIDTH_MS = 36 * 3600 * 1000
@@ -122,6 +122,26 @@ _add("time_lazy_join", lambda s, d: timewin.time_join(_tuples(s, d), WIDTH_MS, "
 _add("time_eager_join", lambda s, d: timewin.time_join(_tuples(s, d), WIDTH_MS, "EAGER"), _time_sql("EAGER"))
 _add("tumbling_time_join", lambda s, d: timewin.tumbling_join(event_tuples(s, d), "1 day"), _sql + "SELECT date_trunc('day', l.ts)::TIMESTAMP AS start, l.key AS lkey, r.key AS rkey, l.val AS lval, r.val AS rval, l.ts AS lts, r.ts AS rts FROM t l JOIN t r ON l.side = 'L' AND r.side = 'R' AND date_trunc('day', l.ts) = date_trunc('day', r.ts) AND l.key = r.key")
 
+# The same over a replayed stream: windows are kept in state, and results are written and read back.
+_add("stream_seq_batches", lambda s, d: streams.batches(s, d, BATCH), ORACLE_SQL["seq_batches"])
+for _mode in ("LAZY", "EAGER"):
+    _low = _mode.lower()
+    _add(f"stream_{_low}_count", lambda s, d, m=_mode: streams.counts(s, d, BATCH, WINDOW, m), ORACLE_SQL[f"{_low}_hj_count"])
+    _add(f"stream_{_low}_progress", lambda s, d, m=_mode: streams.curve(s, d, BATCH, WINDOW, m), ORACLE_SQL[f"{_low}_progress"])
+    _add(f"stream_{_low}_materialized", lambda s, d, m=_mode: streams.rows(s, d, BATCH, window=WINDOW, progress=m), ORACLE_SQL[f"{_low}_hj_materialized"])
+    _add(f"stream_time_{_low}_join", lambda s, d, m=_mode: streams.rows(s, d, BATCH, width_ms=WIDTH_MS, progress=m), ORACLE_SQL[f"time_{_low}_join"])
+
+
+def _clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("us").over(Window.orderBy("trigger"))  # a row a trigger
+    return streams.timed(spark, sf_dir, BATCH, WINDOW, "EAGER").withColumn("clock_ascends", F.col("us") > F.coalesce(before, F.lit(0))).drop("us")
+
+
+_add(
+    "stream_progress_clock", _clock,
+    ORACLE_SQL["eager_progress"].split(", e AS (")[0] + f", e AS ({ORACLE_SQL['eager_progress'].split(', e AS (')[1].split(') SELECT arr, win')[0]}), g AS (SELECT arr // {2 * streams.ADMITTED} AS trigger, sum(matches) AS m, count(*) FILTER (closed) AS c FROM e GROUP BY 1) SELECT trigger, CAST(m AS BIGINT) AS matches, CAST(sum(m) OVER (ORDER BY trigger) AS BIGINT) AS current_matches, c AS closed_windows, TRUE AS clock_ascends FROM g",
+)
+
 _N, _D, _UB = 20_000, 1000, 1000
 _P = datagen.PRIME
 _UNIFORM = f"u1 AS (SELECT i, (i * 48271 + 123 * 16807 + 11) % {_P} AS x FROM range({_N}) r(i)), u2 AS (SELECT i, (x * x + i + 123) % {_P} AS x FROM u1), u AS (SELECT i, ((x * x + 7 * i + 369) % {_P}) / {float(_P)}::DOUBLE AS u FROM u2)"
