@@ -36,6 +36,8 @@ WINDOW = 4096
 #: Tokens of a shard, about: what one inverted index holds.
 SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
+#: Bytes of encoded pieces that a worker remembers: tasks that encode hold nothing else.
+MEMO_BYTES = 160 << 20
 #: Of so many documents, those that a term stands in make it a dense row of the index.
 DENSE = 8
 
@@ -60,7 +62,7 @@ def _restore(body: bytes, n: int, kind: str) -> np.ndarray:
 
 def _encode(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, MEMO_BYTES)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _slices(texts):

@@ -68,7 +68,7 @@ class WordEncoder:
     which is remembered. Other texts, and those that may hold a special token, go to the library as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,7 +85,7 @@ class WordEncoder:
             self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a piece
             self.last[ends] = True
         self.pieces: dict[str, bytes] = {}
-        self.held = 0
+        self.held, self.most = 0, memo_bytes
 
     def _library(self, strings: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tk.encode_batch_fast(strings, add_special_tokens=False)]
@@ -116,14 +116,15 @@ class WordEncoder:
                 for k in at:
                     ids[k] = known[pieces[k]]
             self.held += PIECE_BYTES * len(new) + sum(map(len, new))
-            if self.held > MEMO_BYTES:
+            if self.held > (self.most or MEMO_BYTES):
                 self.pieces, self.held = {}, 0
         whole = iter(self._library([x for x, pieces in zip(texts, split, strict=True) if pieces is None]))
         return [next(whole) if ids is None else b"".join(ids) for ids in found]
 
 
-def _encoder(path: str) -> WordEncoder:
-    return keep(("tokens", path), lambda: WordEncoder(path))
+def _encoder(path: str, memo_bytes: int | None = None) -> WordEncoder:
+    """The worker's encoder; ``memo_bytes`` in place of MEMO_BYTES where tasks hold little else."""
+    return keep(("tokens", path, memo_bytes), lambda: WordEncoder(path, memo_bytes))
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
