@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import JoinSpec
-from ..operators.join import histogram, window_join
+from ..operators.join import count_by_window, histogram, window_join
 from ..operators.windows import assign_windows
 from .running import running_sum
 
@@ -24,16 +24,21 @@ def progress(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
     window, which finds an empty state and so has none. Lazy: a row for every executed window, at the batch that
     completes it, always closed. Rows without a match are kept.
     """
-    counts, placed = window_join(tuples, spec), assign_windows(tuples, spec)
+    placed = assign_windows(tuples, spec)
+    sides = placed.groupBy("win", "key", "arr").agg(F.count("*").alias("n"))  # left batches have even arr
+    left = F.when(F.col("arr") % 2 == 0, F.col("n"))
+    right = F.when(F.col("arr") % 2 == 1, F.col("n"))
     if spec.progress == "LAZY":
-        every, key = placed.select("win").distinct(), "win"
-        found = counts.groupBy("win").agg(F.count("*").alias("matches"))
-        arr, closed = 2 * (F.col("win") + 1) * spec.whole - 1, F.lit(True)
+        by_key = sides.groupBy("win", "key").agg((F.coalesce(F.sum(left), F.lit(0)) * F.coalesce(F.sum(right), F.lit(0))).alias("matches"))
+        key, arr, closed = "win", 2 * (F.col("win") * spec.whole + spec.touched) - 1, F.lit(True)
     else:
-        every, key = placed.select("arr", "win").distinct(), "arr"
-        found = counts.groupBy(F.greatest("larr", "rarr").alias("arr")).agg(F.count("*").alias("matches"))
-        arr, closed = F.col("arr"), (F.col("arr") > 0) & (F.col("arr") % spec.length == 0)
-    rows = every.join(found, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+        # An arriving batch matches what the other side holds of each key so far; a key has a row a batch of its window.
+        before = Window.partitionBy("win", "key").orderBy("arr").rowsBetween(Window.unboundedPreceding, -1)
+        other = F.when(F.col("arr") % 2 == 0, F.sum(right).over(before)).otherwise(F.sum(left).over(before))
+        by_key = sides.withColumn("matches", F.col("n") * F.coalesce(other, F.lit(0)))
+        key, arr, closed = "arr", F.col("arr"), (F.col("arr") > 0) & (F.col("arr") % spec.length == 0)
+    matches = F.when(F.col("key").isNotNull(), F.col("matches")) if spec.algorithm != "EMPTY" else F.lit(None).cast("long")
+    rows = by_key.groupBy(*dict.fromkeys((key, "win"))).agg(F.coalesce(F.sum(matches), F.lit(0)).alias("matches"))
     summed = running_sum(rows, key, "matches", "current_matches")
     return summed.select(arr.alias("arr"), "win", "matches", "current_matches", closed.alias("is_window_closed"))
 
@@ -60,10 +65,11 @@ def estimated_capacity(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def latest_results(tuples: DataFrame, spec: JoinSpec, size: int = RING) -> DataFrame:
-    """The last ``size`` matches by window and positions, in their ring slots."""
+    """The last ``size`` matches by window and positions, in their ring slots: a match's number modulo ``size``."""
     last = window_join(tuples, spec).orderBy(F.desc("win"), F.desc("lseq"), F.desc("rseq")).limit(size)
     back = F.row_number().over(Window.orderBy(F.desc("win"), F.desc("lseq"), F.desc("rseq")))  # of at most size rows
-    return last.select((back.cast("long") - 1).alias("slot"), "win", "lseq", "rseq", "lval", "rval")
+    total = count_by_window(tuples, spec).agg(F.coalesce(F.sum("matches"), F.lit(0))).scalar()
+    return last.select(((total - back) % size).alias("slot"), "win", "lseq", "rseq", "lval", "rval")
 
 
 def median(values: list[float]) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ALGORITHMS, JoinSpec
+from .skew import hot_keys, with_cells
 from .windows import assign_windows, sides
 
 RESULT = ("lkey", "rkey", "lval", "rval", "lts", "rts")
@@ -13,26 +14,23 @@ WORD = 32  # right tuples in a bitmap word
 HYBRID_SALTS = 8
 
 
-def _salted(df: DataFrame, spec: JoinSpec, win: str, key: str) -> DataFrame:
-    """Dealt by window (INTER), or by window and salt (HYBRID), whose salt is also a join key so that the deal holds."""
+def _dealt(left: DataFrame, right: DataFrame, tuples: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt by window (INTER), or by window and salt (HYBRID), whose salt is also a join key so that the deal
+    holds. A hot key has several salts, so that its tuples are spread."""
     if spec.parallel == "INTER":
-        return df.repartition(win)
+        return left.repartition("win"), right.repartition("rwin")
     if spec.parallel == "HYBRID":
-        salt = f"{key}_salt"
-        return df.withColumn(salt, F.pmod(F.hash(key), F.lit(HYBRID_SALTS))).repartition(win, salt)
-    return df
+        hot = hot_keys(tuples)
+        salt = lambda key: F.pmod(F.hash(key), F.lit(HYBRID_SALTS))
+        left = with_cells(left, hot, "win", "lkey", "lseq", True, "lkey_salt", salt("lkey"))
+        right = with_cells(right, hot, "rwin", "rkey", "rseq", False, "rkey_salt", salt("rkey"))
+        return left.repartition("win", "lkey_salt"), right.repartition("rwin", "rkey_salt")
+    return left, right
 
 
-def window_join(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Matches of batched tuples: win, lkey, lval, lts, lseq, larr, rkey, ...
-
-    The algorithm is a hint; null keys never match. The nested-loop form keeps keys out of the join's hash: windows
-    meet by hash, and all pairs of a window are compared, never pairs of different windows.
-    """
-    left, right = sides(assign_windows(tuples, spec))
-    left, right = _salted(left.where("lkey is not null"), spec, "win", "lkey"), _salted(right.where("rkey is not null"), spec, "rwin", "rkey")
+def _joined(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
     same = F.col("win") == F.col("rwin")
-    if spec.parallel == "HYBRID":
+    if "lkey_salt" in left.columns:
         same = same & (F.col("lkey_salt") == F.col("rkey_salt"))
     if spec.algorithm == "EMPTY":
         same = F.lit(False)
@@ -40,12 +38,49 @@ def window_join(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
     return left.join(right.hint(ALGORITHMS[spec.algorithm]), same & match).drop("rwin", "lkey_salt", "rkey_salt")
 
 
+def window_join(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Matches of batched tuples: win, lkey, lval, lts, lseq, larr, rkey, ...
+
+    The algorithm is a hint; null keys never match. The nested-loop form keeps keys out of the join's hash: windows
+    meet by hash, and all pairs of a window are compared, never pairs of different windows.
+    """
+    placed = assign_windows(tuples, spec)
+    left, right = sides(placed)
+    return _joined(*_dealt(left.where("lkey is not null"), right.where("rkey is not null"), placed, spec), spec)
+
+
+def skew_join(tuples: DataFrame, spec: JoinSpec, tasks: int | None = None) -> DataFrame:
+    """window_join() with hot keys split over tasks (see skew.py), for rows; counts need no pairs (count_by_window)."""
+    placed = assign_windows(tuples, spec)
+    hot = hot_keys(placed, tasks)
+    left, right = sides(placed)
+    left = with_cells(left.where("lkey is not null"), hot, "win", "lkey", "lseq", True, "lkey_salt")
+    right = with_cells(right.where("rkey is not null"), hot, "rwin", "rkey", "rseq", False, "rkey_salt")
+    return _joined(left, right, spec)
+
+
 def materialize(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
     return window_join(tuples, spec).select("win", *RESULT)
 
 
 def count_by_window(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
-    return window_join(tuples, spec).groupBy("win").agg(F.count("*").alias("matches"))
+    """Matches of each window that has any.
+
+    Hash and merge joins meet on each side's counts of a key, which multiply, so a hot key costs a row a window and no
+    pair is made. A nested loop compares all pairs; that is what it is for.
+    """
+    if spec.algorithm in ("NLJ", "EMPTY"):
+        return window_join(tuples, spec).groupBy("win").agg(F.count("*").alias("matches"))
+    left, right = sides(assign_windows(tuples, spec))
+    left, right = left.where("lkey is not null").select("win", "lkey"), right.where("rkey is not null").select("rwin", "rkey")
+    if spec.parallel == "INTER":
+        left, right = left.repartition("win"), right.repartition("rwin")
+    if spec.parallel == "HYBRID":
+        salt = lambda key: F.pmod(F.hash(key), F.lit(HYBRID_SALTS))
+        left, right = left.withColumn("lkey_salt", salt("lkey")), right.withColumn("rkey_salt", salt("rkey"))
+        left, right = left.repartition("win", "lkey_salt"), right.repartition("rwin", "rkey_salt")
+    count = lambda df, n: df.groupBy(*df.columns).agg(F.count("*").alias(n))
+    return _joined(count(left, "l"), count(right, "r"), spec).groupBy("win").agg(F.sum(F.col("l") * F.col("r")).alias("matches"))
 
 
 def histogram(tuples: DataFrame, spec: JoinSpec) -> DataFrame:

@@ -96,7 +96,7 @@ _add("lazy_empty", _joined(join.by_window, "LAZY", "EMPTY"), _sql + "SELECT win,
 _add("key_histogram", _joined(join.histogram, "LAZY"), _sql + "SELECT side, win, key, count(*) AS n FROM w GROUP BY 1, 2, 3")
 _add("key_prefix_sum", _joined(stats.prefix_sums, "LAZY"), _sql + ", h AS (SELECT side, win, key, count(*) AS n FROM w GROUP BY 1, 2, 3) SELECT side, win, key, n, CAST(coalesce(sum(n) OVER (PARTITION BY side, win ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM h")
 _add("counting_sort_slots", _joined(stats.slots, "LAZY"), _sql + "SELECT side, win, key, val, row_number() OVER (PARTITION BY side, win ORDER BY key, seq) - 1 AS slot FROM w")
-_add("latest_results_ring", _joined(stats.latest_results, "LAZY"), _sql + "SELECT row_number() OVER (ORDER BY win DESC, lseq DESC, rseq DESC) - 1 AS slot, win, lseq, rseq, lval, rval FROM j ORDER BY slot LIMIT 1024")
+_add("latest_results_ring", _joined(stats.latest_results, "LAZY"), _sql + ", n AS (SELECT row_number() OVER (ORDER BY win, lseq, rseq) - 1 AS pos, count(*) OVER () AS total, win, lseq, rseq, lval, rval FROM j) SELECT pos % 1024 AS slot, win, lseq, rseq, lval, rval FROM n WHERE pos >= total - 1024")
 # The time from a window's first tuple to its last stands for what it took.
 _add(
     "median_window_span", lambda s, d: windows.assign_windows(_tuples(s, d), _spec("LAZY")).groupBy("win").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("us")).agg(F.floor(F.percentile("us", 0.5)).alias("median_us")),
