@@ -4,9 +4,10 @@ The watermark is the largest last timestamp of any batch so far; a window closes
 ``width`` beyond the close before. The crossing batch still belongs to a lazy window, and opens the next eager one.
 Lazy windows that never close don't join.
 
-Each batch points to the one that would close next if a window closed at it. The chain of closes from the first batch is
-found by pointer doubling: each round doubles the pointers' reach, so n windows take about log2(n) rounds of joins, two
-rounds a table in the shared folder.
+Up to CHAIN batches, a row each, one task follows the closes in order. Beyond, each batch points to the one that would
+close next if a window closed at it, and the chain of closes from the first batch is found by pointer doubling: each
+round doubles the pointers' reach, so n windows take about log2(n) rounds of joins, two rounds a table in the shared
+folder. Both give the same windows. Tuples are numbered once, in a written table.
 """
 
 from __future__ import annotations
@@ -21,11 +22,36 @@ from .join import RESULT
 from .windows import arrival
 
 
+#: Batches, a row of two numbers each, that one task takes in order.
+CHAIN = 1 << 16
+
+
+def _in_order(width_ms: int, lazy: bool):
+    """Rows (arr, last) of all batches to (arr, win), without the batches of a lazy window that never closes."""
+
+    def run(parts):
+        import pandas as pd
+
+        rows = pd.concat(list(parts), ignore_index=True).sort_values("arr")
+        wm = rows["last"].cummax().tolist()
+        origin, win, wins = (wm[0] if wm else 0), 0, []
+        for w in wm:
+            crosses = w - origin >= width_ms
+            win += crosses and not lazy
+            wins.append(win)
+            if crosses:
+                origin, win = w, win + lazy
+        out = pd.DataFrame({"arr": rows["arr"].to_numpy("int64"), "win": pd.array(wins, "int64")})
+        yield out[out["win"] < win] if lazy else out
+
+    return run
+
+
 def _pointers(batches: DataFrame, width_ms: int) -> DataFrame:
-    """batches (arr, wm), wm ascending, to arr, nxt: the first batch whose watermark is ``width_ms`` further.
+    """batches (arr, wm), arr gapless and wm ascending, to arr, nxt: the first batch whose watermark is ``width_ms`` further.
 
-    Watermarks fall into cells of that width, and the wanted batch lies in the cell after this one's or is the first
-    of the next cell that has any. So batches of one cell meet in a window, and cells, a row each, in another.
+    Watermarks fall into cells of that width, and the wanted batch lies in the cell after this one's, or follows the
+    last batch of that cell, or of this one if that has none. Batches of one cell meet in a window.
     """
     cell = F.floor(F.col("wm") / width_ms)
     own = batches.select(cell.alias("cell"), F.col("wm").alias("x"), F.lit(0).alias("asks"), "arr")
@@ -33,9 +59,11 @@ def _pointers(batches: DataFrame, width_ms: int) -> DataFrame:
     down = Window.partitionBy("cell").orderBy(F.desc("x"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     first = F.min(F.when(F.col("asks") == 0, F.col("arr")))
     inside = own.union(asks).withColumn("found", first.over(down)).where("asks = 1")
-    cells = own.union(asks).groupBy("cell").agg(first.alias("first"))
-    later = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each window's width of time
-    return inside.join(cells.select("cell", F.min("first").over(later).alias("next")), "cell").select("arr", F.coalesce("found", "next").alias("nxt"))
+    after = own.groupBy("cell").agg((F.max("arr") + 1).alias("after"))
+    here = after.select((F.col("cell") + 1).alias("cell"), F.col("after").alias("after_own"))
+    joined = inside.join(after, "cell", "left").join(here, "cell").select("arr", F.coalesce("found", "after", "after_own").alias("nxt"))
+    known = batches.select(F.col("arr").alias("nxt"))
+    return joined.join(known.withColumn("is", F.lit(True)), "nxt", "left").select("arr", F.when(F.col("is"), F.col("nxt")).alias("nxt"))
 
 
 def _closes(pointers: DataFrame, most: int) -> DataFrame:
@@ -60,10 +88,13 @@ def batch_windows(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> D
     """arr, win of every batch, from batched tuples. One row a batch: all that follows the first aggregate is small."""
     one_of("progress", progress, ("LAZY", "EAGER"))
     last = tuples.groupBy(arrival().alias("arr")).agg(F.max_by(F.unix_millis(F.col("ts").cast("timestamp")), "seq").alias("last"))
-    batches, _ = cut(running_max(last, "arr", "last", "wm").select("arr", "wm"), "batches")
-    low, high = batches.agg(F.min("wm"), F.max("wm")).first()
-    most = 0 if low is None else (high - low) // width_ms  # each close takes the watermark a width further
-    closes = _closes(_pointers(batches, width_ms), most).select("arr", F.lit(1).alias("closes"))
+    lasts, path = cut(last, "lasts")
+    n, low, high = lasts.agg(F.count("*"), F.min("last"), F.max("last")).first()
+    if n <= CHAIN:
+        return lasts.coalesce(1).mapInPandas(_in_order(width_ms, progress == "LAZY"), "arr long, win long")
+    batches, _ = cut(running_max(lasts, "arr", "last", "wm").select("arr", "wm"), "batches")
+    drop(tuples.sparkSession, path)
+    closes = _closes(_pointers(batches, width_ms), (high - low) // width_ms).select("arr", F.lit(1).alias("closes"))  # each takes the watermark a width further
     flagged = batches.select("arr").join(closes, "arr", "left").withColumn("closes", F.coalesce("closes", F.lit(0)))
     win = running_sum(flagged, "arr", "closes", "win", before=progress == "LAZY").select("arr", "win")
     if progress == "EAGER":
@@ -73,7 +104,8 @@ def batch_windows(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> D
 
 def time_join(tuples: DataFrame, width_ms: int, progress: str = "LAZY") -> DataFrame:
     """Matches inside data-driven time windows: win and the result columns."""
-    placed = tuples.withColumn("arr", arrival()).join(batch_windows(tuples, width_ms, progress), "arr")
+    numbered, _ = cut(tuples.select("side", "key", "val", "ts", "seq", "batch"), "numbered")
+    placed = numbered.withColumn("arr", arrival()).join(batch_windows(numbered, width_ms, progress), "arr")
     part = lambda s, p: placed.where(F.col("side") == s).select(F.col("win").alias(f"{p}win"), *(F.col(c).alias(f"{p}{c}") for c in ("key", "val", "ts")))
     joined = part("L", "l").join(part("R", "r"), (F.col("lwin") == F.col("rwin")) & (F.col("lkey") == F.col("rkey")))
     return joined.select(F.col("lwin").alias("win"), *RESULT)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..model import JoinSpec
-from ..operators import join, timewin, windows
+from ..operators import join, runs, sketch, timewin, windows
 from ..sources import datagen
-from ..sources.sequence import batched, event_tuples, sequence
+from ..sources.sequence import batched, event_tuples, line_tuples, sequence
 from . import experiment, streams
 
 BATCH, WINDOW = 64, 512
@@ -42,14 +42,18 @@ def _joined(f, progress: str, algorithm: str = "HJ", **more) -> Query:
     return lambda spark, d: f(_tuples(spark, d), _spec(progress, algorithm, **more))
 
 
-def _ctes(progress: str, batch: int = BATCH, window: int = WINDOW) -> str:
+_EVENTS = "SELECT user_id AS key, event_id AS val, ts, CASE WHEN event_type IN ('click', 'view') THEN 'L' ELSE 'R' END AS side FROM events"
+_LINES = "SELECT l_suppkey AS key, 8 * l_orderkey + l_linenumber AS val, l_shipdate AS ts, CASE WHEN l_linenumber % 2 = 1 THEN 'L' ELSE 'R' END AS side FROM lineitem"
+
+
+def _ctes(progress: str, batch: int = BATCH, window: int = WINDOW, source: str = _EVENTS) -> str:
     spec = JoinSpec(batch, window, progress=progress)
     if progress == "LAZY":
         win, keep = f"batch // {spec.whole}", f"win < greatest(0, (nb - {spec.touched - spec.whole}) // {spec.whole})"
     else:
         win, keep = f"arr // {2 * spec.touched - 1}", "TRUE"
     return f"""
-WITH t AS (SELECT user_id AS key, event_id AS val, ts, CASE WHEN event_type IN ('click', 'view') THEN 'L' ELSE 'R' END AS side FROM events),
+WITH t AS ({source}),
 s AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY ts, val) - 1 AS seq FROM t),
 nb AS (SELECT least(count(*) FILTER (side = 'L') // {batch}, count(*) FILTER (side = 'R') // {batch}) AS nb FROM t),
 b AS (SELECT s.*, seq // {batch} AS batch, 2 * (seq // {batch}) + CASE WHEN side = 'R' THEN 1 ELSE 0 END AS arr, nb FROM s, nb WHERE seq // {batch} < nb),
@@ -105,6 +109,14 @@ _add(
 _add("window_w_not_multiple_of_b", lambda s, d: join.by_window(batched(event_tuples(s, d), 48), JoinSpec(48, 200)), _ctes("LAZY", 48, 200) + "SELECT win, coalesce(m, 0) AS matches, l * r AS possible_matches, 100.0::DOUBLE * coalesce(m, 0) / nullif(l * r, 0) AS selectivity FROM z LEFT JOIN (SELECT win, count(*) AS m FROM j GROUP BY win) USING (win)")
 
 
+_add("lazy_hj_skew", lambda s, d: join.skew_join(batched(line_tuples(s, d), BATCH), JoinSpec(BATCH, 256)).select("win", *join.RESULT), _ctes("LAZY", BATCH, 256, _LINES) + f"SELECT {_RESULT} FROM j")
+
+for _mode in ("LAZY", "EAGER"):
+    _low = _mode.lower()
+    _add(f"{_low}_join_size_sketch", lambda s, d, m=_mode: sketch.sized_windows(_tuples(s, d), _spec(m)).select("win", "matches", "within"), _ctes(_mode) + "SELECT win, count(*) AS matches, TRUE AS within FROM j GROUP BY win")
+    _add(f"{_low}_smj_bucketed", lambda s, d, m=_mode: runs.join_runs(s, runs.write_runs(_tuples(s, d), _spec(m, "SMJ"))).select("win", *join.RESULT), ORACLE_SQL[f"{_low}_smj_materialized"])
+
+
 def _time_sql(progress: str) -> str:
     count = "ROWS UNBOUNDED PRECEDING" if progress == "EAGER" else "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     keep = "TRUE" if progress == "EAGER" else "win < (SELECT count(*) FROM closes)"

@@ -19,6 +19,13 @@ def event_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("val"), "ts", side.alias("side"))
 
 
+def line_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as input tuples: key (the supplier), val, ts (the shipping date), side (L: odd line numbers)."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = F.when(F.col("l_linenumber") % 2 == 1, "L").otherwise("R")
+    return lines.select(F.col("l_suppkey").alias("key"), (8 * F.col("l_orderkey") + F.col("l_linenumber")).alias("val"), F.col("l_shipdate").alias("ts"), side.alias("side"))
+
+
 def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
