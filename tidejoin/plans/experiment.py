@@ -10,12 +10,16 @@ from dataclasses import dataclass, replace
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.stats import ROOM, estimated_capacity, median, progress
 from ..model import ALGORITHMS, DEVICES, OUTPUTS, PARALLEL, PROGRESS, JoinSpec, one_of
 from ..operators.join import bitmap, count_by_histogram, count_by_window, materialize, selectivity
 from ..sources.datagen import stream_pair
-from ..sources.sequence import batched
+from ..sources.scratch import drop, scratch
+from ..sources.sequence import batched, sequence
+from ..streaming import clock, replay, windows
+from . import phases
 
 LOG = logging.getLogger("tidejoin")
 
@@ -76,16 +80,18 @@ def outputs(tuples: DataFrame, spec: JoinSpec) -> list[DataFrame]:
 def run_once(spark: SparkSession, x: Experiment, size: int | None = None, ts_range: int = 1000) -> dict:
     """Generate both sides, run the join into a noop sink, and report. ``time`` covers the join, not the generation.
 
-    Besides the file's columns: matches, windows, generate_ms, window_ms (time by executed window, null without one),
-    and overflown, the windows whose matches exceed the room that ESTIMATED_SELECTIVITY sets aside.
+    Besides the file's columns: matches, windows, generate_ms, window_ms, build_ms, probe_ms and sort_ms (time by executed
+    window, null without one; those of phases are summed over tasks), and overflown, the windows whose matches exceed the room that ESTIMATED_SELECTIVITY sets aside.
     """
     size = size or x.size
     began = time.perf_counter()
     tuples = batched(stream_pair(spark, size, theta=x.theta, distinct=x.distinct, upper=ts_range), x.spec.batch).persist()
     tuples.count()
     made = time.perf_counter()
+    times = dict.fromkeys(phases.PHASES, 0)
     for df in outputs(tuples, x.spec):
-        df.write.format("noop").mode("overwrite").save()
+        for k, v in phases.run(df)[1].items():
+            times[k] += v
     elapsed = (time.perf_counter() - made) * 1000
     counted = replace(x.spec, algorithm="HJ") if x.spec.algorithm == "EMPTY" else x.spec
     share = selectivity(tuples, counted).first()
@@ -99,7 +105,7 @@ def run_once(spark: SparkSession, x: Experiment, size: int | None = None, ts_ran
     report = {
         "algorithm_name": x.spec.name, "write_result": x.spec.output, "ingestion_rate": size, "batch_size": x.spec.batch, "zipf_theta": x.theta, "distinct_key": x.distinct,
         "window_size": x.spec.window, "probe_threads": probe, "joiner_threads": join, "selectivity": share["selectivity"] if matches else 0.0, "time": elapsed, "matches": matches,
-        "windows": share["windows"], "generate_ms": (made - began) * 1000, "window_ms": elapsed / share["windows"] if share["windows"] else None, "overflown": overflown,
+        "windows": share["windows"], "generate_ms": (made - began) * 1000, "window_ms": elapsed / share["windows"] if share["windows"] else None, "overflown": overflown, **phases.averages(times, share["windows"]),
     }
     LOG.info("%s: %s matches, selectivity %s %%, %.0f ms, %s windows", x.spec.name, matches, report["selectivity"], elapsed, share["windows"])
     return report
@@ -155,8 +161,6 @@ def write_throughput(path: str, rows: list[dict]) -> None:
 
 def write_progress(spark: SparkSession, path: str, x: Experiment) -> None:
     """The progress curve of one run, written by Spark as CSV. The clock is the arrival ordinal."""
-    from pyspark.sql import functions as F
-
     tuples = batched(stream_pair(spark, x.size, theta=x.theta, distinct=x.distinct), x.spec.batch)
     share = selectivity(tuples, x.spec).select("selectivity")
     curve = progress(tuples, x.spec).crossJoin(F.broadcast(share))  # one row
@@ -164,6 +168,23 @@ def write_progress(spark: SparkSession, path: str, x: Experiment) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
+def write_timed_progress(spark: SparkSession, path: str, x: Experiment, admitted: int = 16) -> None:
+    """The progress curve of one run by the clock, appended to a CSV file on the driver, a line a trigger.
+
+    The input is replayed as a stream that admits ``admitted`` batches a side at a time; ``timestamp`` is microseconds
+    since the start, and match_count what had been written by then.
+    """
+    log, out, checkpoint = (scratch(spark, name) for name in ("log", "streamed", "state"))
+    generated = stream_pair(spark, x.size, theta=x.theta, distinct=x.distinct).withColumn("ts", F.timestamp_millis("ts"))
+    replay.write_log(sequence(generated), log)
+    stream = replay.read_replay(spark, log, x.spec.batch, checkpoint, admitted * x.spec.batch)
+    found = clock.run(windows.window_stream(stream, x.spec.batch, x.spec.window, progress=x.spec.progress), out, checkpoint)
+    share = selectivity(batched(stream_pair(spark, x.size, theta=x.theta, distinct=x.distinct), x.spec.batch), x.spec).first()["selectivity"]
+    for p in (log, out, checkpoint):
+        drop(spark, p)
+    _append(path, PROGRESS_COLUMNS, [dict(zip(PROGRESS_COLUMNS, (x.spec.name, x.spec.batch, share, closed > 0, so_far, us), strict=True)) for _, _, so_far, closed, us in found])
+
+
 def main(config: str, out: str = "") -> None:
     """Command line: a YAML grid, and a folder for the CSV files; or ``standalone``."""
     import yaml
