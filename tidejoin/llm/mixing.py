@@ -30,9 +30,8 @@ from .prefix import bucket_bits, bucket_of, running
 WEIGHTS = (3, 1, 2)
 EPOCHS, MAX_REPEAT = 1.5, 2
 SHARDS = 8
-#: A block begins at each so many words of an axis; larger corpora get larger blocks, about MAX_BLOCKS besides one a
-#: source, which are what windows over blocks hold.
-BLOCK_WORDS, MAX_BLOCKS = 4096, 1 << 20
+#: A block begins at each so many words of an axis, at every size of the corpus.
+BLOCK_WORDS = 4096
 SEED = 42
 
 
@@ -110,12 +109,19 @@ def splitting_tree(quotas: DataFrame, shards: int) -> DataFrame:
     return now.select("source_no", F.col("lo").alias("shard"), "n")
 
 
+def _in_order(rows: DataFrame, seed: int, value: str, out: str, *by: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the source before this one, in the permuted order of a seed."""
+    hashed = rows.withColumn("hash", F.xxhash64(F.lit(seed), "source_no", *by))
+    placed = hashed.withColumn("bucket", bucket_of(F.col("hash"), bucket_bits(rows.count())))
+    return running(placed, ["source_no"], ["hash", *by], value, out).drop("hash", "bucket")
+
+
 def _drawn_blocks(blocks: DataFrame) -> DataFrame:
     """blocks (source_no, block, words, source_size, draw) to (source_no, block, pass, take): what is drawn, and how often."""
-    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(SEED), "source_no", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.floor(F.col("draw") / F.col("source_size"))
-    rest = F.col("draw") - whole * F.col("source_size") - F.coalesce(F.sum("words").over(order), F.lit(0))
-    ready = blocks.withColumn("whole", whole.cast("int")).withColumn("rest", F.greatest(F.lit(0), F.least("words", rest)))
+    ordered = _in_order(blocks, SEED, "words", "before", "block")
+    rest = F.col("draw") - whole * F.col("source_size") - F.col("before")
+    ready = ordered.withColumn("whole", whole.cast("int")).withColumn("rest", F.greatest(F.lit(0), F.least("words", rest)))
     passes = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda p: F.struct(p.alias("pass"), F.when(p < F.col("whole"), F.col("words")).otherwise(F.col("rest")).alias("take")))
     return ready.select("source_no", "block", F.explode(passes).alias("p")).select("source_no", "block", "p.*").where("take > 0")
 
@@ -135,16 +141,13 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     drop(spark, sized_path)
 
     draw = F.round("target").cast("long")
-    total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    step = max(BLOCK_WORDS, -(-total // MAX_BLOCKS))
-    documents = placed.where("size > 0").withColumn("block", F.floor(F.col("start") / step))
+    documents = placed.where("size > 0").withColumn("block", F.floor(F.col("start") / BLOCK_WORDS))
     blocks = documents.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.min("start").alias("first"))
     blocks, _ = cut(blocks.join(per_source.select("source_no", "source_size", draw.alias("draw")), "source_no"), "blocks")
     drawn, _ = cut(_drawn_blocks(blocks), "drawn")
     tree = splitting_tree(drawn.groupBy("source_no").agg(F.count("*").cast("double").alias("n")), shards)
     ends = tree.withColumn("end", F.sum("n").over(Window.partitionBy("source_no").orderBy("shard"))).groupBy("source_no").agg(F.sort_array(F.collect_list("end")).alias("ends"))  # an end a shard
-    at = F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(SEED + 2), "source_no", "pass", "block"), "block", "pass")) - 1
-    dealt = drawn.withColumn("at", at).join(ends, "source_no").select("source_no", "block", "pass", "take", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
+    dealt = _in_order(drawn.withColumn("one", F.lit(1)), SEED + 2, "one", "at", "pass", "block").join(ends, "source_no").select("source_no", "block", "pass", "take", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"))
     dealt = dealt.join(blocks.select("source_no", "block", "first"), ["source_no", "block"])
     words = F.least(F.col("size"), F.col("take") - (F.col("start") - F.col("first")))
     draws = documents.select("source_no", "block", "start", "doc_id", "size").join(dealt, ["source_no", "block"]).withColumn("words", words).where("words > 0")
