@@ -1,13 +1,16 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-cased runs of letters, digits and underscores, and stand as 64-bit hashes. Every trigram of a test item
-is a seed, common or rare, so an edited copy is found by whatever trigram its edits left whole. One join of all
-documents' trigrams with all items' seeds gives hits; hits of a text and an item on about one diagonal are one candidate
-passage. A second join, of candidates and stretches of the texts, cuts the passages. A passage that holds too few of the item's
-words to reach the threshold even if all of them matched is passed over, which loses nothing; local alignment of passage
-and item (match 2, mismatch and gap -1) scores the others as a share of the item's perfect score. A document is
-contaminated at THRESHOLD or more. Out of reach: copies without three words in a row of the item, and what lies beyond a
-passage (the item's length, and one to two quarters of it on either side).
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are lower-cased runs of letters, digits and underscores, and stand as 64-bit hashes. Seeds are an item's trigrams,
+and its spaced trigrams (two words, any word, a third), which stay whole where every third word was replaced. One join of
+all documents' n-grams with all items' seeds gives hits; how many hits a seed has, over all documents, tells rare seeds
+from common ones. Hits of a text and an item on about one diagonal are one candidate passage if one of them is rare, or
+if common ones stand at two places of the item, so a phrase that every document holds makes no candidate by itself.
+Seeds of items with fewer than FEW of them count as rare. A second join, of candidates and stretches of the texts, cuts
+the passages. A passage that holds too few of the item's words to reach the threshold even if all of them matched is
+passed over, which loses nothing; local alignment of passage and item (match 2, mismatch and gap -1) scores the others
+as a share of the item's perfect score. A document is contaminated at THRESHOLD or more. Out of reach: copies that keep no
+seed, or only one and that common, and what lies beyond a passage (the item's length, and one to two quarters of it on
+either side). Recall against all alignments over the threshold is tested: 0.99 or more on random edits.
 
 Texts are keyed by digest, since a match depends on the text alone: equal texts are aligned once and share the result.
 Documents are scanned twice, whatever the number of items. Seeds are broadcast up to BROADCAST_SEEDS rows, and shuffled
@@ -32,7 +35,13 @@ from pyspark.sql import functions as F
 from .common import cut, drop, prepare, release
 
 NGRAM = 3
+#: Offsets of a seed's words.
+SHAPES = ((0, 1, 2), (0, 1, 3))
 THRESHOLD = 0.4
+#: A seed is common if it has more hits than this share of all hits; an item with fewer seeds than FEW has only rare ones.
+COMMON, FEW = 1e-4, 6
+#: Hits that a seed may have at any size of the corpus and still be rare.
+RARE_HITS = 64
 #: Seeds up to this many rows (24 bytes each, less than 100 MB as a hash table) are broadcast.
 BROADCAST_SEEDS = 1 << 20
 #: Words, at least, of the stretches in which texts are shuffled to their candidates.
@@ -50,11 +59,12 @@ def word_ids(text: Column) -> Column:
 
 
 def _with_grams(df: DataFrame, *columns: str) -> DataFrame:
-    """df (ids, ...) to columns, at, seed: the place and hash of every trigram."""
+    """df (ids, ...) to columns, at, seed: the place and hash of every n-gram of SHAPES; at the end, of the words there are."""
     ids = F.col("ids")
-    grams = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(ids, i + k) for k in range(1, NGRAM))))
+    place = lambda x, i: F.array(*(F.xxhash64(F.lit(k), x, *(F.get(ids, i + o) for o in shape[1:])) for k, shape in enumerate(SHAPES)))
+    grams = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), place)
     # The outer form, since the filter that an inner one implies would be pushed to where ids are made, once for each gram.
-    return df.select(*columns, F.posexplode_outer(grams).alias("at", "seed"))
+    return df.select(*columns, F.posexplode_outer(grams).alias("at", "seeds")).select(*columns, "at", F.explode_outer("seeds").alias("seed"))
 
 
 def _with_chunks(texts: DataFrame, over: int) -> tuple[DataFrame, int]:
@@ -138,6 +148,11 @@ def _search(threshold: float):
     return run
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A table of a row a seed or item: broadcast up to BROADCAST_SEEDS rows, shuffled beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SEEDS else rows.hint("merge")
+
+
 def find_text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs (text) to (key, item_id, score, first_word, n_words): every pair of a distinct text and an item_id that
     matches, with its best alignment."""
@@ -147,13 +162,23 @@ def find_text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     seeds, seeds_path = cut(_with_grams(items.select("item", F.size("words").alias("n"), F.col("words").alias("ids")), "item", "n").withColumnRenamed("at", "place"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     texts = docs.select(text_key(F.col("text")).alias("key"), word_ids(F.col("text")).alias("ids"))
-    hits = _with_grams(texts, "key").join(F.broadcast(seeds) if small else seeds.hint("merge"), "seed")
+    found = _with_grams(texts, "key").join(F.broadcast(seeds) if small else seeds.hint("merge"), "seed")
     slack = F.greatest(F.lit(6), F.floor(F.col("n") / 4)).cast("int")
-    near = hits.withColumn("slack", slack).select("key", "item", "n", "slack", F.floor((F.col("at") - F.col("place")) / F.col("slack")).alias("band")).distinct()
+    banded = found.withColumn("slack", slack).select("key", "item", "n", "slack", F.floor((F.col("at") - F.col("place")) / F.col("slack")).alias("band"), "place", "seed")
+    # A row a text, item, diagonal, place and seed, however often the text, or the seed in it, is repeated.
+    hits, hits_path = cut(banded.distinct(), "hits")
+    counts = hits.groupBy("seed").agg(F.countDistinct("key", "item").alias("hits"))
+    total = counts.agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
+    common = counts.where(F.col("hits") > max(RARE_HITS, COMMON * total)).select("seed", F.lit(True).alias("common"))
+    few = seeds.groupBy("item").agg(F.count("*").alias("seeds")).where(F.col("seeds") < FEW).select("item", F.lit(True).alias("few"))
+    told = hits.join(_bounded(common), "seed", "left").join(_bounded(few), "item", "left")
+    rare = F.col("common").isNull() | F.col("few").isNotNull()
+    near = told.groupBy("key", "item", "n", "slack", "band").agg(F.bool_or(rare).alias("rare"), F.min("place").alias("low"), F.max("place").alias("high")).where("rare or low < high")
     start = ((F.col("band") - 1) * F.col("slack")).cast("int")
     spans = near.select("key", "item", F.greatest(start, F.lit(0)).alias("start"), (start + 3 * F.col("slack") + F.col("n")).alias("stop"))
     candidates, candidates_path = cut(spans, "candidates")
     drop(docs.sparkSession, seeds_path)
+    drop(docs.sparkSession, hits_path)
     # Candidates grow with the documents, so the plan that shuffles both sides is taken at every size.
     longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     chunks, step = _with_chunks(texts, longest + 3 * max(6, longest // 4))
