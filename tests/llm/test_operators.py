@@ -9,6 +9,7 @@ import xxhash
 from data import documents, empty, pairs, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidejoin.llm import chat, components, decontam, langid, lines, mixing, pfor, secrets, sharding, simhash, spotsigs, tokens
 from tidejoin.llm.queries import tokenizer_path
@@ -654,11 +655,21 @@ def test_counts_of_all_learnable_documents(spark):
     assert counted == plain
 
 
-def test_a_model_beyond_its_bound_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MODEL_BYTES", 100)
-    docs = spark.createDataFrame([(k, "some words of a text", "en") for k in range(9)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        langid.train(docs)
+@pytest.mark.parametrize("bound", [100, 200_000])
+def test_a_model_beyond_its_bound_is_scored_by_slices(spark, monkeypatch, bound):
+    """Slices of languages decide as the whole model does, down to one language a slice."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(documents(spark).select("doc_id", "text", "lang", "source", F.col("n_chars")), allowMissingColumns=True)
+    key = lambda r: tuple(map(str, r))
+    figures = lambda df: sorted(((r["doc_id"], r["held_out"], r["lang_pred"], r["rejected"], round(r["score"], 3), round(r["cross_entropy"], 4)) for r in df.collect()), key=key)
+    whole = langid.train(docs)
+    want, kept = figures(langid.predict(docs, whole)), sorted(langid.keep_accepted(docs, whole).collect(), key=key)
+    monkeypatch.setattr(langid, "MODEL_BYTES", bound)
+    sliced = langid.train(docs)
+    assert isinstance(sliced, langid.SlicedModel) and len(sliced.counts.slices) >= 2 and sliced.languages == whole.languages
+    assert bound > 100 or all(len(part) == 1 for part in sliced.counts.slices)
+    assert figures(langid.predict(docs, sliced)) == want
+    got = langid.keep_accepted(docs, sliced)
+    assert got.columns == docs.columns and sorted(got.collect(), key=key) == kept
 
 
 def test_large_language_keeps_every_gram(spark):

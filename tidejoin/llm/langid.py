@@ -11,7 +11,9 @@ Learning: all documents with text and lang whose id doesn't fall to the held-out
 language, then the words' grams. Every gram counts and stays: the model, which is broadcast, grows with the distinct
 grams of the languages. About CALIBRATE_DOCS documents of each language (a tenth of all, if fewer), chosen by a hash of
 doc_id, are first left out and calibrate a model of the others: the score's temperature, and each language's usual
-cross-entropy. Then they are counted too. A document is rejected if it has no letter, or if its cross-entropy exceeds
+cross-entropy. Then they are counted too. A language's probabilities rest on its own counts and the
+alphabet of all, so a model beyond MODEL_BYTES is scored by slices of its languages, each in a pass of its own over the
+texts, and the sums of all slices decide as they would together. A document is rejected if it has no letter, or if its cross-entropy exceeds
 its language's mean by REJECT deviations, widened for short texts.
 
 Defined results: null text, or none with a letter: ``und``, score 0, rejected. A table to learn from without a usable
@@ -28,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, drop, keep, prepare, release
 
@@ -38,8 +41,8 @@ CALIBRATE_DOCS = 300
 HELD_WORDS, HELD_BYTES = 200_000, 1 << 24
 ORDER, BOUNDARY = 4, 1
 REJECT = 12.0
-#: Bytes, about, of a model that may be broadcast: a row a distinct gram, a float a language. Beyond, train() raises; no
-#: gram is left out for it.
+#: Bytes, about, of a model that may be broadcast: a row a distinct gram, a float a language. Languages beyond it are
+#: scored a slice at a time; no gram is left out for it, and a slice has one language at least.
 MODEL_BYTES = 1 << 30
 #: Bytes of scored words, with what Python adds, that a worker remembers; emptied beyond that, which changes speed only.
 MEMO_BYTES = 24 << 20
@@ -47,6 +50,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = [np.uint64((1 << 16 * n) - 1) for n in range(5)]
 _NONE = np.uint64(0)
 
+COUNTS = "lang string, gram long, n long"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 _symbols: list[np.ndarray] = []
@@ -120,13 +124,33 @@ class Table:
         return out
 
 
-class Model:
-    """Tables of log probabilities and back-off weights for a list of languages."""
+class Figures:
+    """What decides on sums of log probabilities: languages, the score's temperature, and usual cross-entropies."""
 
-    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        """counts: for each language the keys of order 4 and their counts."""
+    def __init__(self, languages: list[str]):
         self.languages, n = languages, len(languages)
         self.temperature, self.mean, self.spread, self.noise = 1.0, np.zeros(n), np.ones(n), np.ones(n)
+
+    def calibrated_by(self, other: Figures) -> None:
+        """Takes the temperature, and the figures of languages that the other has; others get wide ones."""
+        self.temperature = other.temperature
+        self.spread[:] = 10.0
+        for k, lang in enumerate(self.languages):
+            if lang in other.languages:
+                j = other.languages.index(lang)
+                self.mean[k], self.spread[k], self.noise[k] = other.mean[j], other.spread[j], other.noise[j]
+
+    def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.mean[lang] + REJECT * (self.spread[lang] + self.noise[lang] / np.sqrt(np.maximum(n, 1)))
+
+
+class Model(Figures):
+    """Tables of log probabilities and back-off weights for a list of languages."""
+
+    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]], symbols: int | None = None):
+        """counts: for each language the keys of order 4 and their counts; symbols: of all languages, if these are some."""
+        super().__init__(languages)
+        n = len(languages)
         by_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
         for keys, c in counts:
             by_order[ORDER].append((keys, c.astype(np.float64)))
@@ -134,7 +158,7 @@ class Model:
                 keys, c = np.unique(by_order[order + 1][-1][0] & _LOW[order], return_counts=True)
                 by_order[order].append((keys, c.astype(np.float64)))
         alphabet = np.unique(np.concatenate([k for k, _ in by_order[1]])) if n else np.zeros(0, np.uint64)
-        self.floor = -np.log(len(alphabet) + 1.0)
+        self.floor = -np.log((symbols or len(alphabet)) + 1.0)
         self.grams: list[Table | None] = [None]
         self.weights: list[Table | None] = [None]
         for order in range(1, ORDER + 1):
@@ -175,18 +199,6 @@ class Model:
             out[miss] = back + self._lower(k, order)
         return out
 
-    def calibrated_by(self, other: Model) -> None:
-        """Takes the temperature, and the figures of languages that the other model has; others get wide ones."""
-        self.temperature = other.temperature
-        self.spread[:] = 10.0
-        for k, lang in enumerate(self.languages):
-            if lang in other.languages:
-                j = other.languages.index(lang)
-                self.mean[k], self.spread[k], self.noise[k] = other.mean[j], other.spread[j], other.noise[j]
-
-    def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return self.mean[lang] + REJECT * (self.spread[lang] + self.noise[lang] / np.sqrt(np.maximum(n, 1)))
-
 
 class Scorer:
     """Sums of log probabilities by language, and symbols, of whole texts."""
@@ -224,7 +236,7 @@ class Scorer:
         return out
 
 
-def decide(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decide(model: Figures, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Index of the language (-1: none), score, cross-entropy, whether rejected."""
     n = sums[:, -1]
     if not model.languages:
@@ -284,7 +296,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def _calibrate(model: Model, rows: list) -> None:
+def _calibrate(model: Figures, rows: list) -> None:
     """rows: (lang, sums) of documents that weren't counted."""
     rows = [(model.languages.index(r["lang"]), np.asarray(r["sums"])) for r in rows if r["lang"] in model.languages]
     rows = [(k, s) for k, s in rows if s[-1] > 0]
@@ -306,17 +318,39 @@ def _calibrate(model: Model, rows: list) -> None:
         model.noise[k] = 1.0
 
 
-def _gram_counts(texts: DataFrame) -> list[pa.Table]:
-    """(lang, text) to tables (gram, n) named by language in their metadata, every gram once."""
+def _gram_counts(texts: DataFrame) -> str:
+    """Counts the grams of (lang, text) into a table (lang, gram, n), every gram once; its path."""
     words = texts.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams, path = cut(words.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    names = sorted(sizes)
-    if (needed := sum(sizes.values()) * (16 + 8 * len(names))) > MODEL_BYTES:
-        raise ValueError(f"the model of {len(names)} languages may take {needed >> 20} MB, more than MODEL_BYTES; learn fewer languages at a time")
-    found = [grams.where(F.col("lang") == name).select("gram", "n").toArrow().replace_schema_metadata({"lang": name}) for name in names]
-    drop(texts.sparkSession, path)
-    return found
+    return cut(words.mapInArrow(_count_grams, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")[1]
+
+
+class Counts:
+    """Gram counts in tables of the shared folder, and slices of languages whose models may be broadcast."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.grams = spark.read.schema(COUNTS).parquet(*paths)
+        sizes = {r["lang"]: r["n"] for r in self.grams.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+        self.slices: list[list[str]] = [[]]
+        for lang in sorted(sizes):
+            wide = [*self.slices[-1], lang]
+            if self.slices[-1] and sum(sizes[x] for x in wide) * (16 + 8 * len(wide)) > MODEL_BYTES:
+                self.slices.append([lang])
+            else:
+                self.slices[-1] = wide
+        self.symbols = self.grams.agg(F.countDistinct(F.col("gram").bitwiseAND(F.lit(0xFFFF)))).first()[0] if len(self.slices) > 1 else None
+
+    def model(self, k: int) -> Model:
+        """The model of a slice, built on the driver, a language's counts at a time."""
+        found = [self.grams.where(F.col("lang") == name).select("gram", "n").toArrow().replace_schema_metadata({"lang": name}) for name in self.slices[k]]
+        return Model(*_by_language(found), symbols=self.symbols)
+
+
+class SlicedModel(Figures):
+    """A model whose slices are built from their counts when they are asked for."""
+
+    def __init__(self, counts: Counts):
+        super().__init__([x for part in counts.slices for x in part])
+        self.counts = counts
 
 
 def _by_language(tables: list[pa.Table]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
@@ -333,7 +367,39 @@ def _by_language(tables: list[pa.Table]) -> tuple[list[str], list[tuple[np.ndarr
     return names, counts
 
 
-def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
+def _made(counts: Counts) -> Model | SlicedModel:
+    return counts.model(0) if len(counts.slices) == 1 else SlicedModel(counts)
+
+
+def _with_sums(df: DataFrame, text: str, model: Model | SlicedModel) -> DataFrame:
+    """df with ``sums``: of log probabilities by language, and the number of symbols. A pass a slice, each but the last
+    written to the shared folder, so that no worker holds two slices."""
+    spark = df.sparkSession
+    slices = [model] if isinstance(model, Model) else model.counts.slices
+    now, path = df.withColumn("sums", F.expr("cast(array() as array<double>)")), None
+    at = df.columns.index(text)
+    for k in range(len(slices)):
+        shared = spark.sparkContext.broadcast(model if isinstance(model, Model) else model.counts.model(k))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(shared.value)
+            for b in batches:
+                new = scorer.score(b.column(at).to_pylist())
+                both = [np.append(x[:-1], s) for x, s in zip(b.column(b.num_columns - 1).to_pylist(), new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(both, b.schema.types[-1])], schema=b.schema)
+
+        scored = now.mapInArrow(run, now.schema)
+        if isinstance(model, Model):
+            return scored
+        now, new = cut(scored, "sums")
+        shared.destroy()
+        if path:
+            drop(spark, path)
+        path = new
+    return now
+
+
+def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model | SlicedModel:
     """A model from docs (doc_id, text, lang); held-out rows are left out here."""
     spark = docs.sparkSession
     prepare(spark)
@@ -344,20 +410,15 @@ def train(docs: DataFrame, calibrate_docs: int = CALIBRATE_DOCS) -> Model:
     calibrates = at < F.element_at(shares, F.col("lang"))
     sample, path = cut(usable.where(calibrates).select("lang", "text"), "sample")
     others = _gram_counts(usable.where(~calibrates))
-    model = Model(*_by_language(others))
-    shared = spark.sparkContext.broadcast(model)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for b in batches:
-            s = scorer.score(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(s), pa.list_(pa.float64()))], names=["lang", "sums"])
-
-    _calibrate(model, sample.mapInArrow(sums, "lang string, sums array<double>").collect())
-    shared.destroy()
-    whole = Model(*_by_language([*others, *_gram_counts(sample)]))
-    drop(spark, path)
+    model = _made(Counts(spark, [others]))
+    _calibrate(model, _with_sums(sample, "text", model).select("lang", "sums").collect())  # CALIBRATE_DOCS a language
+    more = _gram_counts(sample)
+    whole = _made(Counts(spark, [others, more]))
     whole.calibrated_by(model)
+    drop(spark, path)
+    if isinstance(whole, Model):
+        drop(spark, others)
+        drop(spark, more)
     return whole
 
 
@@ -365,10 +426,31 @@ def _scorer(key: str, shared) -> Scorer:
     return keep(("langid", key), lambda: Scorer(shared.value))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def _decided(rows: DataFrame, model: Figures) -> DataFrame:
+    """rows with sums to rows with lang_pred, score, cross_entropy, rejected."""
+    figures = Figures(model.languages)
+    figures.calibrated_by(model)
+    names = [*model.languages, "und"]
+    kept = rows.drop("sums")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = np.array(b.column(b.num_columns - 1).to_pylist(), np.float64).reshape(b.num_rows, len(figures.languages) + 1)
+            lang, score, ce, rejected = decide(figures, sums)
+            found = [pa.array([names[k] for k in lang], pa.string()), pa.array(score), pa.array(ce), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found], names=[*b.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"])
+
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("lang_pred string, score double, cross_entropy double, rejected boolean").fields])
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model | SlicedModel) -> DataFrame:
     """docs (doc_id, text) to PREDICTED. No shuffle."""
     spark = docs.sparkSession
     prepare(spark)
+    if isinstance(model, SlicedModel):
+        rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+        return _decided(_with_sums(rows, "text", model).drop("text"), model)
     shared = spark.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
@@ -382,9 +464,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out")).mapInArrow(run, PREDICTED)
 
 
-def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+def keep_accepted(docs: DataFrame, model: Model | SlicedModel) -> DataFrame:
     """The rows of docs, all columns, that the model doesn't reject. No shuffle."""
     prepare(docs.sparkSession)
+    if isinstance(model, SlicedModel):
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("t"))
+        return _decided(_with_sums(rows, "t", model).drop("t"), model).where(~F.col("rejected")).select("row.*")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key, column = uuid.uuid4().hex, docs.columns.index("text")
 

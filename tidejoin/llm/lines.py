@@ -2,8 +2,9 @@
 
 A line that stands on SITES or more distinct sites (the ``source`` column) is boilerplate and is removed everywhere.
 Rows of each line hash are counted first, which rules out lines with fewer rows than SITES; for the others HyperLogLog
-sketches of sites merge by aggregation. Estimates near the threshold, within BAND, are replaced by exact distinct
-counts, so only lines that are clearly above or below rest on a sketch.
+sketches of sites merge by aggregation: tasks sketch the rows they have, so a line is shuffled as often as it has tasks,
+not sites. Lines whose estimates are near the threshold, within BAND, are counted again, exactly, so only lines that are
+clearly above or below rest on a sketch.
 
 A line is compared without leading and trailing spaces; blank lines are always kept. Defined results: a null text is
 the empty one (one blank line); a null source is no site; equal rows count as rows, but their site once; rows with one
@@ -35,12 +36,12 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs (text, source) to (line, n_sites): hashes of the lines to remove; n_sites is exact near the threshold."""
     lines = docs.select("source", F.explode(split_lines(F.col("text"))).alias("t")).where(F.trim("t") != "").select("source", line_hash(F.col("t")).alias("line"))
     often, _ = cut(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("line"), "often")
-    seen, _ = cut(lines.where("source is not null").join(often, "line", "left_semi").groupBy("line", "source").agg(F.count("*").alias("n")), "seen")
-    spread = seen.groupBy("line").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("n_sites"))
-    spread, _ = cut(spread, "spread")
+    sited = lines.where("source is not null")
+    sketches = sited.join(often, "line", "left_semi").groupBy("line").agg(F.hll_sketch_agg("source", F.lit(LG_K)).alias("sketch"))
+    spread, _ = cut(sketches.select("line", F.hll_sketch_estimate("sketch").alias("n_sites")), "spread")
     width = max(2, sites * BAND)
     near = F.col("n_sites").between(sites - width, sites + width)
-    exact = seen.join(spread.where(near), "line", "left_semi").groupBy("line").agg(F.countDistinct("source").alias("n_sites"))
+    exact = sited.join(spread.where(near).select("line"), "line", "left_semi").groupBy("line").agg(F.countDistinct("source").alias("n_sites"))
     return spread.where(~near).unionByName(exact).where(F.col("n_sites") >= sites)
 
 
