@@ -36,3 +36,8 @@ def test_progress_file_by_the_clock(spark, tmp_path):
     assert stamps == sorted(set(stamps)) and counts == sorted(counts)
     tuples = batched(experiment.stream_pair(spark, 3000, theta=0.0, distinct=10), 64)
     assert counts[-1] == join.selectivity(tuples, x.spec).first()["matches"]
+
+
+def test_dump_of_bursts(spark):
+    rows = experiment.dump(spark, 2000, ("key", "val", "ts"), upper=500).collect()
+    assert len(rows) == 2000 and [r["ts"] for r in rows] == sorted(r["ts"] for r in rows) and rows[0]["key"] == rows[0]["val"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import ROOM, estimated_capacity, median, progress
 from ..model import ALGORITHMS, DEVICES, OUTPUTS, PARALLEL, PROGRESS, JoinSpec, one_of
 from ..operators.join import bitmap, count_by_histogram, count_by_window, materialize, selectivity
-from ..sources.datagen import stream_pair
+from ..sources.datagen import BURST, generate, stream_pair
 from ..sources.scratch import drop, scratch
 from ..sources.sequence import batched, sequence
 from ..streaming import clock, replay, windows
@@ -116,6 +116,11 @@ def standalone(spark: SparkSession, size: int = 128 * MIB) -> dict:
     return run_once(spark, Experiment(JoinSpec(128 * KIB, 2 * MIB, algorithm="SMJ", device="GPU"), 1000, 0.99, size))
 
 
+def dump(spark: SparkSession, count: int = 8096, columns: tuple[str, ...] = ("ts",), upper: int = 1000) -> DataFrame:
+    """Bursty generated tuples in order, for a look at them."""
+    return generate(spark, count, mode=BURST, upper=upper).orderBy("id").select(*columns)
+
+
 def write_input(path: str, tuples: DataFrame) -> None:
     """Append the tuples to a folder of CSV files: key, val, ts, without a header."""
     tuples.select("key", "val", "ts").write.mode("append").csv(path)
@@ -186,7 +191,7 @@ def write_timed_progress(spark: SparkSession, path: str, x: Experiment, admitted
 
 
 def main(config: str, out: str = "") -> None:
-    """Command line: a YAML grid, and a folder for the CSV files; or ``standalone``."""
+    """Command line: a YAML grid, and a folder for the CSV files; or ``standalone``; or ``dump``, and columns to show."""
     import yaml
 
     logging.basicConfig(level=logging.INFO)
@@ -194,6 +199,10 @@ def main(config: str, out: str = "") -> None:
     if config == "standalone":
         print(standalone(spark))
         return
+    if config == "dump":
+        shown = dump(spark, columns=tuple(out.split(",")) if out else ("ts",))
+        shown.show(shown.count(), truncate=False)
+        return
     with open(config) as f:
         wanted = yaml.safe_load(f)
     for x in grid(wanted):

@@ -37,17 +37,17 @@ def tumbling_stream_join(stream: DataFrame, width: str, delay: str = DELAY) -> D
 def number_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """A query that numbers each side's tuples in ``seq``, by (ts, val) inside a micro-batch, and writes them to ``out``.
 
-    Micro-batches are folders of their own, ``tuples/batch_no=k`` and ``counts/batch_no=k``, written anew if one is
-    repeated, so numbers are the same after a restart. ``read_numbered`` reads the tuples as a stream.
+    Micro-batches are folders of their own, ``tuples/batch_no=k`` and ``totals/batch_no=k``, written anew if one is
+    repeated, so numbers are the same after a restart. Totals carry on from the micro-batch before, a row a side, and
+    nothing older is read. ``read_numbered`` reads the tuples as a stream.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark, tuples = batch.sparkSession, sequence(batch)
-        counts = "side string, n long, batch_no long"
-        batch.groupBy("side").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/counts/batch_no={number}")
-        before = spark.read.schema(counts).option("basePath", f"{out}/counts").parquet(f"{out}/counts").where(F.col("batch_no") < number)
-        offsets = before.groupBy("side").agg(F.sum("n").alias("offset"))  # a row a side
-        placed = tuples.join(F.broadcast(offsets), "side", "left").withColumn("seq", F.col("seq") + F.coalesce("offset", F.lit(0)))
+        spark, totals = batch.sparkSession, "side string, upto long"
+        before = spark.read.schema(totals).parquet(f"{out}/totals/batch_no={number - 1}") if number else spark.createDataFrame([], totals)
+        counts = batch.groupBy("side").agg(F.count("*").alias("upto")).unionByName(before)
+        counts.groupBy("side").agg(F.sum("upto").alias("upto")).coalesce(1).write.mode("overwrite").parquet(f"{out}/totals/batch_no={number}")
+        placed = sequence(batch).join(F.broadcast(before), "side", "left").withColumn("seq", F.col("seq") + F.coalesce("upto", F.lit(0)))  # a row a side
         placed.select(*batch.columns, F.col("seq").cast("long")).write.mode("overwrite").parquet(f"{out}/tuples/batch_no={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
