@@ -62,9 +62,9 @@ def _with_grams(df: DataFrame, *columns: str) -> DataFrame:
     """df (ids, ...) to columns, at, seed: the place and hash of every n-gram of SHAPES; at the end, of the words there are."""
     ids = F.col("ids")
     place = lambda x, i: F.array(*(F.xxhash64(F.lit(k), x, *(F.get(ids, i + o) for o in shape[1:])) for k, shape in enumerate(SHAPES)))
-    grams = F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), place)
+    grams = F.flatten(F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), place))
     # The outer form, since the filter that an inner one implies would be pushed to where ids are made, once for each gram.
-    return df.select(*columns, F.posexplode_outer(grams).alias("at", "seeds")).select(*columns, "at", F.explode_outer("seeds").alias("seed"))
+    return df.select(*columns, F.posexplode_outer(grams).alias("pos", "seed")).select(*columns, F.expr(f"pos div {len(SHAPES)}").cast("int").alias("at"), "seed")
 
 
 def _with_chunks(texts: DataFrame, over: int) -> tuple[DataFrame, int]:

@@ -84,12 +84,15 @@ def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     All documents are sorted at once, by their number and the id.
     """
     sizes = np.array([len(x) - 1 for x in docs], np.int64)
-    wide = np.repeat(np.arange(len(docs), dtype=np.uint64) << np.uint64(32), sizes) | np.concatenate([x[:-1] for x in docs]).astype(np.uint64)
+    ids = np.concatenate([x[:-1] for x in docs])
+    half = 16 if ids.itemsize == 2 and len(docs) <= 1 << 16 else 32  # both fit into 32 bits, or into 64
+    kind = np.uint32 if half == 16 else np.uint64
+    wide = np.repeat(np.arange(len(docs), dtype=kind) << kind(half), sizes) | ids.astype(kind)
     wide.sort()
     first = np.flatnonzero(np.append(True, wide[1:] != wide[:-1])) if len(wide) else np.empty(0, np.int64)
     tf = np.diff(np.append(first, len(wide)))
     held = wide[first]
-    return (held & np.uint64(0xFFFFFFFF)).astype(np.int64), tf, np.bincount((held >> np.uint64(32)).astype(np.int64), minlength=len(docs))
+    return (held & kind((1 << half) - 1)).astype(np.int64), tf, np.bincount((held >> kind(half)).astype(np.int64), minlength=len(docs))
 
 
 class Weights:

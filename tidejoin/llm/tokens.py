@@ -22,6 +22,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -105,21 +106,16 @@ class WordEncoder:
             return self._library(texts)
         low = [x.lower() for x in texts]
         split = [None if not _PLAIN.fullmatch(x) or any(s in x or s in y for s in self.special) else _PIECE.findall(y) for x, y in zip(texts, low, strict=True)]
-        get = self.pieces.get
-        found = [None if pieces is None else list(map(get, pieces)) for pieces in split]
-        open_ = [[k for k, v in enumerate(ids) if v is None] if ids and None in ids else () for ids in found]
-        new = {pieces[k] for pieces, at in zip(split, open_, strict=True) for k in at}
+        new = set(chain.from_iterable(pieces for pieces in split if pieces is not None)).difference(self.pieces)
         if new:
             self._learn(list(new))
-            known = self.pieces
-            for pieces, ids, at in zip(split, found, open_, strict=True):
-                for k in at:
-                    ids[k] = known[pieces[k]]
             self.held += PIECE_BYTES * len(new) + sum(map(len, new))
-            if self.held > (self.most or MEMO_BYTES):
-                self.pieces, self.held = {}, 0
+        get = self.pieces.__getitem__
         whole = iter(self._library([x for x, pieces in zip(texts, split, strict=True) if pieces is None]))
-        return [next(whole) if ids is None else b"".join(ids) for ids in found]
+        out = [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in split]
+        if self.held > (self.most or MEMO_BYTES):
+            self.pieces, self.held = {}, 0
+        return out
 
 
 def _encoder(path: str, memo_bytes: int | None = None) -> WordEncoder:
