@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tables up to this estimated size are numbered by one window a side; larger ones by ranges of time, of about
-#: RANGE_BYTES each.
-SMALL_BYTES, RANGE_BYTES, MOST_RANGES = 64 << 20, 64 << 20, 8192
+from .scratch import cut
+
+#: Tables of up to SMALL_ROWS tuples are numbered by one window a side; larger ones by ranges of the arrival order, of
+#: about RANGE_ROWS each. Tables up to SMALL_BYTES by Catalyst's estimate (compressed) are small without being counted.
+SMALL_BYTES, SMALL_ROWS, RANGE_ROWS, MOST_RANGES = 4 << 20, 1 << 20, 1 << 18, 8192
 
 LEFT_EVENTS = ("click", "view")
 
@@ -30,43 +32,56 @@ def _estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def sequence(tuples: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Adds seq, the position from 0 in its side by (ts, val).
+def _ranges(tuples: DataFrame) -> int:
+    """Ranges that a table is numbered by; 0 for one window a side."""
+    if _estimated_bytes(tuples) <= SMALL_BYTES or (n := tuples.count()) <= SMALL_ROWS:
+        return 0
+    return min(MOST_RANGES, max(8, -(-n // RANGE_ROWS)))
+
+
+def _windowed(tuples: DataFrame) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("side").orderBy("ts", "val"))
+    return tuples.withColumn("seq", at.cast("long") - 1)
+
 
-    Large tables are dealt into ranges of time by quantiles: counts of the ranges, a bounded table, give offsets, and
-    windows inside a range give the rest, so no task orders a whole side.
+def number(tuples: DataFrame, ranges: int) -> tuple[DataFrame, dict[str, int], str]:
+    """tuples with seq, tuples of each side, and the written table's path.
+
+    A range is a task of one sort, whose tuples are numbered as they are written; the ranges' counts by side, two rows a
+    range at most, give what to add. So no task orders a whole side, tuples of one time may lie in several ranges, and
+    nothing is numbered again however often the result is read.
     """
-    size = _estimated_bytes(tuples) if ranges is None else 0
-    if ranges is None and size <= SMALL_BYTES:
-        at = F.row_number().over(Window.partitionBy("side").orderBy("ts", "val"))
-        return tuples.withColumn("seq", at.cast("long") - 1)
-    ranges = ranges or min(MOST_RANGES, max(8, size // RANGE_BYTES))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    bounds = tuples.agg(F.percentile_approx(us, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    bounds = sorted(set(bounds or []))
-    if bounds:
-        held = F.expr("array(" + ",".join(f"{b}L" for b in bounds) + ")")
-        jumps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-        step = lambda p, j: F.when((p + j <= len(bounds)) & (F.get(held, F.least(p + j, F.lit(len(bounds))) - 1) < us), p + j).otherwise(p)
-        part = F.coalesce(F.aggregate(jumps, F.lit(0), step), F.lit(0))
-    else:
-        part = F.lit(0)
-    placed = tuples.withColumn("part", part)
-    before = Window.partitionBy("side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("side", "part").agg(F.count("*").alias("n")).select("side", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    local = placed.withColumn("at", F.row_number().over(Window.partitionBy("side", "part").orderBy("ts", "val")))
-    return local.join(offsets, ["side", "part"]).select(*tuples.columns, (F.col("offset") + F.col("at") - 1).alias("seq"))
+    spark = tuples.sparkSession
+    inside = (F.monotonically_increasing_id() % (1 << 33)).alias("_at")
+    dealt = tuples.repartitionByRange(ranges, "side", "ts", "val").sortWithinPartitions("side", "ts", "val")
+    written, path = cut(dealt.select("*", F.spark_partition_id().alias("_part"), inside), "sequence")
+    found = written.groupBy("side", "_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).orderBy("_part").collect()
+    upto, shifts = {}, []
+    for r in found:
+        shifts.append((r["side"], r["_part"], upto.get(r["side"], 0) - r["first"]))
+        upto[r["side"]] = upto.get(r["side"], 0) + r["n"]
+    table = F.broadcast(spark.createDataFrame(shifts, "side string, _part int, _shift long"))  # two rows a range
+    placed = written.join(table, ["side", "_part"])
+    return placed.select(*tuples.columns, (F.col("_at") + F.col("_shift")).alias("seq")), upto, path
+
+
+def sequence(tuples: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Adds seq, the position from 0 in its side by (ts, val). Large tables are numbered once, in a written table."""
+    ranges = _ranges(tuples) if ranges is None else ranges
+    return number(tuples, ranges)[0] if ranges else _windowed(tuples)
 
 
 def batched(tuples: DataFrame, batch: int, ranges: int | None = None) -> DataFrame:
     """Adds seq, batch, and nb, the number of whole batches that both sides have. Later tuples are dropped.
 
     A small table is counted in one window, under which a filter on the side isn't pushed, so that both sides of a join
-    share one scan and one exchange; a large one is counted apart.
+    share one scan and one exchange; a large one is counted as it is numbered.
     """
-    whole = lambda f: F.least(*(F.floor(f(F.count(F.when(F.col("side") == s, 1))) / batch) for s in ("L", "R"))).cast("long")
-    if ranges is None and _estimated_bytes(tuples) <= SMALL_BYTES:
-        placed = sequence(tuples.withColumn("nb", whole(lambda c: c.over(Window.partitionBy()))))
+    ranges = _ranges(tuples) if ranges is None else ranges
+    if ranges:
+        placed, upto, _ = number(tuples, ranges)
+        placed = placed.withColumn("nb", F.lit(min(upto.get(s, 0) // batch for s in ("L", "R"))).cast("long"))
     else:
-        placed = sequence(tuples, ranges).withColumn("nb", tuples.select(whole(lambda c: c)).scalar())
+        whole = F.least(*(F.floor(F.count(F.when(F.col("side") == s, 1)).over(Window.partitionBy()) / batch) for s in ("L", "R"))).cast("long")
+        placed = _windowed(tuples.withColumn("nb", whole))
     return placed.withColumn("batch", F.floor(F.col("seq") / batch).cast("long")).where("batch < nb")
