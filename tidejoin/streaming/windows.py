@@ -11,12 +11,15 @@ of its open windows and where it stands; nothing else is kept, and no time bound
   it ``width`` beyond the close before. The crossing batch ends a lazy window, and opens the next eager one.
 
 Counts come without pairs: an arriving tuple matches as many as the other side holds of its key so far. Rows are sorted
-into windows a micro-batch at a time, which the source's bound keeps small. This module's class is pickled by value.
+into windows a micro-batch at a time, which the source's bound keeps small. With a clock, a micro-batch is taken in blocks
+of batches, in order, and every bucket stamps each block when its counts are found, so that a block's last stamp is when
+all its matches were known. This module's class is pickled by value.
 """
 
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,17 +32,33 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 BUCKETS = 8
+#: Tuples of a chunk of state (768 KB).
+CHUNK = 1 << 14
 COUNTS = "win long, arr long, matches long, closed boolean"
+STAMPED = COUNTS + ", us long"
 ROWS = "win long, lkey long, rkey long, lval long, rval long, lts long, rts long"
-HELD = "side string, key long, val long, ts long, arr long, win long"
+HELD = "tuples binary"  # a chunk of them, as _packed() makes it
+COLUMNS = ["side", "key", "val", "ts", "arr", "win"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(tuples: pd.DataFrame) -> list[tuple[bytes]]:
+    """Tuples as chunks of state, which cost a call each rather than a tuple: int64 by columns, the left side as 1."""
+    plain = np.vstack([(tuples["side"] == "L").to_numpy("int64"), *(tuples[c].to_numpy("int64") for c in COLUMNS[1:])])
+    return [(plain[:, k : k + CHUNK].tobytes(),) for k in range(0, plain.shape[1], CHUNK)]
+
+
+def _unpacked(chunks) -> pd.DataFrame:
+    parts = [np.frombuffer(c[0], "int64").reshape(len(COLUMNS), -1) for c in chunks]
+    plain = np.hstack(parts) if parts else np.empty((len(COLUMNS), 0), "int64")
+    return pd.DataFrame({"side": np.where(plain[0] == 1, "L", "R")} | {c: plain[k] for k, c in enumerate(COLUMNS[1:], 1)})
+
+
 class WindowJoin(StatefulProcessor):
-    """One bucket's windows. ``whole`` and ``touched`` are a window's batches a side; ``width`` (microseconds) asks for time windows."""
+    """One bucket's windows. ``whole`` and ``touched`` are a window's batches a side; ``width`` (microseconds) asks for time windows, ``block`` for stamps of that many batches a side."""
 
-    def __init__(self, lazy: bool, whole: int, touched: int, width: int | None, rows: bool):
-        self.lazy, self.whole, self.touched, self.width, self.rows = lazy, whole, touched, width, rows
+    def __init__(self, lazy: bool, whole: int, touched: int, width: int | None, rows: bool, block: int | None = None):
+        self.lazy, self.whole, self.touched, self.width, self.rows, self.block = lazy, whole, touched, width, rows, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getListState("held", HELD)
@@ -88,44 +107,64 @@ class WindowJoin(StatefulProcessor):
         pairs = pairs[pairs["lnew"] | pairs["rnew"]]
         return pd.DataFrame({"win": pairs["win"], "lkey": pairs["key"], "rkey": pairs["key"], "lval": pairs["lval"], "rval": pairs["rval"], "lts": pairs["lts"], "rts": pairs["rts"]})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows), ignore_index=True)
-        stand = tuple(self.stand.get()) if self.stand.exists() else (0, None, None, False)
+    def _blocks(self, came: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+        """A micro-batch's rows by blocks in order, numbered; one block without a clock."""
+        if self.block is None:
+            yield 0, came
+            return
+        number = came["arr"].to_numpy() // (2 * self.block)
+        order = np.argsort(number, kind="stable")
+        came, number = came.iloc[order], number[order]
+        cuts = np.flatnonzero(np.diff(number)) + 1
+        for first, last in zip([0, *cuts], [*cuts, len(number)], strict=True):
+            yield int(number[first]), came.iloc[first:last]
+
+    def _step(self, came: pd.DataFrame, held: pd.DataFrame, stand: tuple, flags: bool) -> tuple[pd.DataFrame, pd.DataFrame, tuple]:
+        """What the rows that came give beside those held, what is held from now on, and where that leaves us."""
         marks = came[came["side"] == "M"].sort_values("arr").reset_index(drop=True)
         placed, stand = self._place(marks, stand)
-        if self.width is not None:
-            self.stand.update(stand)
-        columns = HELD.replace(" string", "").replace(" long", "").split(", ")
-        new = came[came["side"] != "M"].merge(placed[["arr", "win"]], on="arr")[columns].astype(dict.fromkeys(columns[1:], "int64")).assign(new=True)
-        held = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=columns).astype(dict.fromkeys(columns[1:], "int64")).assign(new=False)
+        new = came[came["side"] != "M"].merge(placed[["arr", "win"]], on="arr")[COLUMNS].astype(dict.fromkeys(COLUMNS[1:], "int64")).assign(new=True, stored=False)
         # An eager window is open until the next one's first batch; a lazy one until the batch that completes it.
-        tuples = pd.concat([held, new], ignore_index=True) if len(held) else new
+        tuples = pd.concat([held.assign(new=False), new], ignore_index=True) if len(held) else new
         if self.lazy:
             done = placed.loc[placed["close"] >= 0, ["close", "arr"]]
             ready, keep = tuples[tuples["win"].isin(done["close"])].assign(new=True), tuples[~tuples["win"].isin(done["close"])]
         else:
             ready, keep = tuples, tuples[tuples["win"] >= placed["win"].max()]
-        if len(keep) - int(keep["new"].sum()) == len(held):
-            fresh = keep[keep["new"]]  # nothing was closed: only what is new is written
-            if len(fresh):
-                self.held.appendList(list(fresh[columns].itertuples(index=False, name=None)))
-        elif len(keep):
-            self.held.put(list(keep[columns].itertuples(index=False, name=None)))
-        else:
-            self.held.clear()
         if self.rows:
-            yield self._pairs(ready)
-            return
+            return self._pairs(ready), keep, stand
         counted = self._counts(ready)
         counted = counted[counted["new"] & (counted["matches"] > 0)]
         if self.lazy:
             at = dict(zip(done["close"], done["arr"], strict=True))
             counted = counted.assign(arr=counted["win"].map(at))
         found = counted.groupby(["win", "arr"], as_index=False)["matches"].sum().assign(closed=False)
-        if key[0] == 0:  # one bucket also gives a row for each batch or completed window, with its flag
+        if flags:  # one bucket also gives a row for each batch or completed window, with its flag
             rows_of = placed[placed["close"] >= 0].assign(win=lambda p: p["close"]) if self.lazy else placed
             found = pd.concat([found, rows_of[["win", "arr", "closed"]].assign(matches=0)], ignore_index=True)
-        yield found[["win", "arr", "matches", "closed"]].astype({"win": "int64", "arr": "int64", "matches": "int64", "closed": "bool"})
+        return found[["win", "arr", "matches", "closed"]].astype({"win": "int64", "arr": "int64", "matches": "int64", "closed": "bool"}), keep, stand
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows), ignore_index=True)
+        stand = tuple(self.stand.get()) if self.stand.exists() else (0, None, None, False)
+        held = _unpacked(self.held.get() if self.held.exists() else []).assign(stored=True)
+        stored = len(held)
+        for number, block in self._blocks(came):
+            found, held, stand = self._step(block, held, stand, key[0] == 0)
+            if self.block is not None:  # a row of no matches in each block, so that no bucket's stamp is missing
+                none = pd.DataFrame({"win": [-1], "arr": [2 * self.block * number], "matches": [0], "closed": [False]})
+                found = pd.concat([found, none], ignore_index=True).assign(us=time.time_ns() // 1000)
+            yield found
+        if self.width is not None:
+            self.stand.update(stand)
+        if int(held["stored"].sum()) == stored:
+            fresh = held[~held["stored"]]  # nothing was closed: only what is new is written
+            if len(fresh):
+                self.held.appendList(_packed(fresh))
+        elif len(held):
+            self.held.put(_packed(held))
+        else:
+            self.held.clear()
 
     def close(self) -> None:
         pass
@@ -142,20 +181,24 @@ def _dealt(stream: DataFrame, batch: int, buckets: int) -> DataFrame:
     return stream.select(F.explode(sent).alias("to"), "val", "ts", arr.alias("arr")).select("to.*", "val", "ts", "arr")
 
 
-def window_stream(stream: DataFrame, batch: int, window: int | None = None, width_ms: int | None = None, progress: str = "EAGER", rows: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def window_stream(stream: DataFrame, batch: int, window: int | None = None, width_ms: int | None = None, progress: str = "EAGER", rows: bool = False, buckets: int = BUCKETS, block: int | None = None) -> DataFrame:
     """Windows over a stream of key, val, ts (microseconds), side, seq, as read_replay() gives it: count windows of
     ``window`` tuples a side, or time windows of ``width_ms``.
 
     Counts: win, arr (the batch that emits), matches, closed, several rows a batch, to be summed; every batch (eager)
-    or completed window (lazy) has one. With ``rows``: win and the matching tuples, times in microseconds.
+    or completed window (lazy) has one. With ``rows``: win and the matching tuples, times in microseconds. With ``block``,
+    counts have us, the clock (microseconds since 1970) when a bucket had found them, and a row of each bucket in each
+    block of that many batches a side, without matches and of window -1.
     """
+    if block is not None and (rows or block < 1):
+        raise ValueError("blocks of at least one batch stamp counts only")
     if (window is None) == (width_ms is None):
         raise ValueError("either count windows or time windows")
     if window is not None and window < batch:
         raise ValueError("a window holds at least one batch")
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    join = WindowJoin(progress == "LAZY", (window or batch) // batch, -(-(window or batch) // batch), None if width_ms is None else 1000 * width_ms, rows)
-    return _dealt(stream, batch, buckets).groupBy("bucket").transformWithStateInPandas(join, ROWS if rows else COUNTS, "Append", "None")
+    join = WindowJoin(progress == "LAZY", (window or batch) // batch, -(-(window or batch) // batch), None if width_ms is None else 1000 * width_ms, rows, block)
+    return _dealt(stream, batch, buckets).groupBy("bucket").transformWithStateInPandas(join, ROWS if rows else COUNTS if block is None else STAMPED, "Append", "None")
 
 
 @contextmanager
