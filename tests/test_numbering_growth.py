@@ -4,7 +4,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidejoin.model import JoinSpec
+from tidejoin.operators import join
 from tidejoin.sources import sequence
+from tidejoin.sources.sequence import batched, line_tuples
 
 
 def test_numbering_splits_tuples_of_one_time(spark):
@@ -26,3 +29,10 @@ def test_ranges_follow_rows_not_compressed_bytes(spark, tmp_path, monkeypatch):
     spark.range(5000).select(F.lit(1).alias("key"), F.lit(1).alias("val"), F.lit(datetime(2024, 1, 1)).alias("ts"), F.lit("L").alias("side")).write.parquet(str(tmp_path / "t"))
     read = spark.read.parquet(str(tmp_path / "t"))
     assert sequence._ranges(read) == 50 and sequence._ranges(read.limit(900)) == 0
+
+
+def test_large_tables_are_numbered_once(spark):
+    """Both sides of a skewed join read the written numbers: nothing is ordered again."""
+    tuples = batched(line_tuples(spark, "/root/testdata/sf0.001"), 16, ranges=4)
+    plan = join.skew_join(tuples, JoinSpec(16, 64))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "RepartitionByExpression" not in plan
