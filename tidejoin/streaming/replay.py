@@ -22,6 +22,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SCHEMA = "key long, val long, ts long, side string, seq long"
 ROWS = 1 << 16
+#: Tuples that a task of a trigger reads at most, and bytes of a row group: a trigger reads the groups of its stretch only,
+#: so that reading a log costs the same a tuple however long its files are.
+PIECE, GROUP_BYTES = 1 << 17, 2 << 20
 
 
 class _Stretch(InputPartition):
@@ -100,7 +103,8 @@ class ReplayReader(DataSourceStreamReader):
                 self._look(side)  # a restarted query plans before it asks for offsets
             for path, (a, b) in sorted(self.files[side].items(), key=lambda x: x[1]):
                 if max(a, first) <= min(b, last):
-                    out.append(_Stretch(path, side, max(a, first), min(b, last)))
+                    low, high = max(a, first), min(b, last)
+                    out += [_Stretch(path, side, k, min(k + PIECE - 1, high)) for k in range(low, high + 1, PIECE)]
         return out
 
     def read(self, partition):
@@ -134,10 +138,10 @@ class ReplaySource(DataSource):
 
 
 def write_log(numbered: DataFrame, path: str) -> None:
-    """Append tuples (key, val, ts, side, seq) to a log; ``ts`` becomes microseconds. A file is a stretch of one side."""
+    """Append tuples (key, val, ts, side, seq) to a log; ``ts`` becomes microseconds. A file is a stretch of one side, in small row groups."""
     ts = F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")
     rows = numbered.select("key", "val", ts, "side", F.col("seq").cast("long"))
-    rows.repartitionByRange("side", "seq").sortWithinPartitions("side", "seq").write.mode("append").partitionBy("side").parquet(path)
+    rows.repartitionByRange("side", "seq").sortWithinPartitions("side", "seq").write.mode("append").option("parquet.block.size", GROUP_BYTES).partitionBy("side").parquet(path)
 
 
 def read_replay(spark: SparkSession, path: str, batch: int, checkpoint: str | None = None, tuples: int = 1 << 20) -> DataFrame:
