@@ -11,9 +11,10 @@ of its open windows and where it stands; nothing else is kept, and no time bound
   it ``width`` beyond the close before. The crossing batch ends a lazy window, and opens the next eager one.
 
 Counts come without pairs: an arriving tuple matches as many as the other side holds of its key so far. Rows are sorted
-into windows a micro-batch at a time, which the source's bound keeps small. With a clock, a micro-batch is taken in blocks
-of batches, in order, and every bucket stamps each block when its counts are found, so that a block's last stamp is when
-all its matches were known. This module's class is pickled by value.
+into windows a micro-batch at a time, which the source's bound keeps small, and pairs leave in pieces. With a clock, a
+micro-batch is taken in blocks of batches, in order, and every bucket stamps each block when its counts are found, so that
+a block's last stamp is when all its matches were known. Tuples are columns of int64, so that a block costs a fraction of a
+millisecond beside its sorting. This module's class is pickled by value.
 """
 
 from __future__ import annotations
@@ -39,21 +40,34 @@ STAMPED = COUNTS + ", us long"
 ROWS = "win long, lkey long, rkey long, lval long, rval long, lts long, rts long"
 HELD = "tuples binary"  # a chunk of them, as _packed() makes it
 COLUMNS = ["side", "key", "val", "ts", "arr", "win"]
+KEY, ARR, WIN = (COLUMNS.index(c) for c in ("key", "arr", "win"))
+#: Pairs that leave at once; a tuple's own matches aren't split.
+PAIRS = 1 << 18
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _packed(tuples: pd.DataFrame) -> list[tuple[bytes]]:
+def _packed(plain: np.ndarray) -> list[tuple[bytes]]:
     """Tuples as chunks of state, which cost a call each rather than a tuple: int64 by columns, the left side as 1."""
-    plain = np.vstack([(tuples["side"] == "L").to_numpy("int64"), *(tuples[c].to_numpy("int64") for c in COLUMNS[1:])])
     return [(plain[:, k : k + CHUNK].tobytes(),) for k in range(0, plain.shape[1], CHUNK)]
 
 
-def _unpacked(chunks) -> pd.DataFrame:
+def _plain(chunks) -> np.ndarray:
     parts = [np.frombuffer(c[0], "int64").reshape(len(COLUMNS), -1) for c in chunks]
-    plain = np.hstack(parts) if parts else np.empty((len(COLUMNS), 0), "int64")
+    return np.hstack(parts) if parts else np.empty((len(COLUMNS), 0), "int64")
+
+
+def _unpacked(chunks) -> pd.DataFrame:
+    plain = _plain(chunks)
     return pd.DataFrame({"side": np.where(plain[0] == 1, "L", "R")} | {c: plain[k] for k, c in enumerate(COLUMNS[1:], 1)})
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns is the first of its group."""
+    first = np.ones(len(columns[0]), bool)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return first
+
+
 class WindowJoin(StatefulProcessor):
     """One bucket's windows. ``whole`` and ``touched`` are a window's batches a side; ``width`` (microseconds) asks for time windows, ``block`` for stamps of that many batches a side."""
 
@@ -92,76 +106,109 @@ class WindowJoin(StatefulProcessor):
         return marks.assign(win=wins, close=closes, closed=closed), (win, watermark, origin, False)
 
     @staticmethod
-    def _counts(tuples: pd.DataFrame) -> pd.DataFrame:
-        """For each tuple, the matches with the other side's tuples of its window and key that came before it."""
-        t = tuples.sort_values(["win", "key", "arr"], kind="stable")
-        left = (t["side"] == "L").astype("int64")
-        by = [t["win"], t["key"]]
-        before_left, before_right = left.groupby(by).cumsum(), (1 - left).groupby(by).cumsum()
-        return t.assign(matches=np.where(left == 1, before_right, before_left))
+    def _counts(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the tuples and, in it, each one's matches with the other side's of its window and key before it."""
+        order = np.lexsort((tuples[ARR], tuples[KEY], tuples[WIN]))
+        left = tuples[0, order]
+        first = np.maximum.accumulate(np.where(_starts(tuples[WIN, order], tuples[KEY, order]), np.arange(len(order)), 0))
+        lefts, rights = np.cumsum(left), np.cumsum(1 - left)
+        before_left, before_right = lefts - (lefts - left)[first], rights - (rights - 1 + left)[first]
+        return order, np.where(left == 1, before_right, before_left)
 
     @staticmethod
-    def _pairs(tuples: pd.DataFrame) -> pd.DataFrame:
-        part = lambda s, p: tuples[tuples["side"] == s][["win", "key", "val", "ts", "new"]].rename(columns={c: f"{p}{c}" for c in ("val", "ts", "new")})
-        pairs = part("L", "l").merge(part("R", "r"), on=["win", "key"])
-        pairs = pairs[pairs["lnew"] | pairs["rnew"]]
-        return pd.DataFrame({"win": pairs["win"], "lkey": pairs["key"], "rkey": pairs["key"], "lval": pairs["lval"], "rval": pairs["rval"], "lts": pairs["lts"], "rts": pairs["rts"]})
-
-    def _blocks(self, came: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-        """A micro-batch's rows by blocks in order, numbered; one block without a clock."""
+    def _pairs(left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Matching tuples, about PAIRS at a time."""
+        both = np.hstack([left, right])
+        order = np.lexsort((both[KEY], both[WIN]))
+        code = np.empty(len(order), "int64")
+        code[order] = np.cumsum(_starts(both[WIN, order], both[KEY, order]))
+        lcode, rcode = np.split(code, [left.shape[1]])
+        sorts = np.argsort(rcode, kind="stable")
+        right, rcode = right[:, sorts], rcode[sorts]
+        low = np.searchsorted(rcode, lcode, "left")
+        n = np.searchsorted(rcode, lcode, "right") - low
+        left, low, n = left[:, n > 0], low[n > 0], n[n > 0]
+        ends, at = np.cumsum(n), 0
+        while at < len(n):
+            base = ends[at] - n[at]
+            upto = max(at + 1, int(np.searchsorted(ends, base + PAIRS, "right")))
+            many = n[at:upto]
+            lt = left[:, np.repeat(np.arange(at, upto), many)]
+            rt = right[:, np.repeat(low[at:upto] - (ends[at:upto] - many - base), many) + np.arange(lt.shape[1])]
+            sides = {f"{p}{c}": t[COLUMNS.index(c)] for c in ("key", "val", "ts") for p, t in (("l", lt), ("r", rt))}
+            yield pd.DataFrame({"win": lt[WIN]} | sides)
+            at = upto
+
+    def _cuts(self, arr: np.ndarray) -> list[int]:
+        """Where the blocks of ascending batches begin, and their end; one block without a clock."""
         if self.block is None:
-            yield 0, came
-            return
-        number = came["arr"].to_numpy() // (2 * self.block)
-        order = np.argsort(number, kind="stable")
-        came, number = came.iloc[order], number[order]
-        cuts = np.flatnonzero(np.diff(number)) + 1
-        for first, last in zip([0, *cuts], [*cuts, len(number)], strict=True):
-            yield int(number[first]), came.iloc[first:last]
-
-    def _step(self, came: pd.DataFrame, held: pd.DataFrame, stand: tuple, flags: bool) -> tuple[pd.DataFrame, pd.DataFrame, tuple]:
-        """What the rows that came give beside those held, what is held from now on, and where that leaves us."""
-        marks = came[came["side"] == "M"].sort_values("arr").reset_index(drop=True)
-        placed, stand = self._place(marks, stand)
-        new = came[came["side"] != "M"].merge(placed[["arr", "win"]], on="arr")[COLUMNS].astype(dict.fromkeys(COLUMNS[1:], "int64")).assign(new=True, stored=False)
-        # An eager window is open until the next one's first batch; a lazy one until the batch that completes it.
-        tuples = pd.concat([held.assign(new=False), new], ignore_index=True) if len(held) else new
+            return [0, len(arr)]
+        return [0, *(np.flatnonzero(np.diff(arr // (2 * self.block))) + 1).tolist(), len(arr)]
+
+    def _found(self, tuples: np.ndarray, new: np.ndarray, placed: np.ndarray, flags: bool) -> np.ndarray:
+        """Rows (win, arr, matches, closed) of tuples, of which ``new`` ones count, for batches (arr, win, close, closed)."""
+        order, matches = self._counts(tuples)
+        counts = new[order] & (matches > 0)
+        win, arr, matches = tuples[WIN, order][counts], tuples[ARR, order][counts], matches[counts]
         if self.lazy:
-            done = placed.loc[placed["close"] >= 0, ["close", "arr"]]
-            ready, keep = tuples[tuples["win"].isin(done["close"])].assign(new=True), tuples[~tuples["win"].isin(done["close"])]
+            done = placed[:, placed[2] >= 0]
+            arr = done[0][np.searchsorted(done[2], win)]  # windows close in order
         else:
-            ready, keep = tuples, tuples[tuples["win"] >= placed["win"].max()]
-        if self.rows:
-            return self._pairs(ready), keep, stand
-        counted = self._counts(ready)
-        counted = counted[counted["new"] & (counted["matches"] > 0)]
-        if self.lazy:
-            at = dict(zip(done["close"], done["arr"], strict=True))
-            counted = counted.assign(arr=counted["win"].map(at))
-        found = counted.groupby(["win", "arr"], as_index=False)["matches"].sum().assign(closed=False)
+            sorts = np.argsort(arr, kind="stable")
+            win, arr, matches = win[sorts], arr[sorts], matches[sorts]
+        at = np.flatnonzero(_starts(win, arr))
+        sums = np.add.reduceat(matches, at) if len(at) else matches
+        rows = [np.vstack([win[at], arr[at], sums, np.zeros(len(at), "int64")])]
         if flags:  # one bucket also gives a row for each batch or completed window, with its flag
-            rows_of = placed[placed["close"] >= 0].assign(win=lambda p: p["close"]) if self.lazy else placed
-            found = pd.concat([found, rows_of[["win", "arr", "closed"]].assign(matches=0)], ignore_index=True)
-        return found[["win", "arr", "matches", "closed"]].astype({"win": "int64", "arr": "int64", "matches": "int64", "closed": "bool"}), keep, stand
+            its = done[[2, 0, 3]] if self.lazy else placed[[1, 0, 3]]
+            rows.append(np.insert(its, 2, 0, axis=0))
+        return np.hstack(rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows), ignore_index=True)
         stand = tuple(self.stand.get()) if self.stand.exists() else (0, None, None, False)
-        held = _unpacked(self.held.get() if self.held.exists() else []).assign(stored=True)
-        stored = len(held)
-        for number, block in self._blocks(came):
-            found, held, stand = self._step(block, held, stand, key[0] == 0)
-            if self.block is not None:  # a row of no matches in each block, so that no bucket's stamp is missing
-                none = pd.DataFrame({"win": [-1], "arr": [2 * self.block * number], "matches": [0], "closed": [False]})
-                found = pd.concat([found, none], ignore_index=True).assign(us=time.time_ns() // 1000)
-            yield found
+        mark = (came["side"] == "M").to_numpy()
+        marks, stand = self._place(came[mark].sort_values("arr"), stand)
+        placed = np.vstack([marks[c].to_numpy("int64") for c in ("arr", "win", "close", "closed")])
+        new = came[~mark].sort_values("arr", kind="stable")
+        arr = new["arr"].to_numpy("int64")
+        fresh = np.vstack([(new["side"] == "L").to_numpy("int64"), *(new[c].to_numpy("int64") for c in COLUMNS[1:5]), placed[1][np.searchsorted(placed[0], arr)]])
+        held = _plain(self.held.get() if self.held.exists() else [])
+        size, stored, counted = held.shape[1], np.ones(held.shape[1], bool), []
+        cuts = self._cuts(placed[0])
+        ends = np.searchsorted(arr, placed[0][[c - 1 for c in cuts[1:]]], "right").tolist()
+        for first, last, at, end in zip(cuts, cuts[1:], [0, *ends], ends, strict=False):
+            batches = placed[:, first:last]
+            tuples = np.hstack([held, fresh[:, at:end]])
+            old = np.arange(tuples.shape[1]) < held.shape[1]
+            # An eager window is open until the next one's first batch; a lazy one until the batch that completes it.
+            if self.lazy:
+                ready = np.isin(tuples[WIN], batches[2][batches[2] >= 0])
+                keep, counts = ~ready, np.ones(int(ready.sum()), bool)
+            else:
+                ready, keep, counts = np.ones(len(old), bool), tuples[WIN] >= batches[1].max(), ~old
+            if self.rows:
+                lefts, before = ready & (tuples[0] == 1), old & (not self.lazy)
+                rights = ready & (tuples[0] == 0)
+                yield from self._pairs(tuples[:, lefts & ~before], tuples[:, rights])
+                yield from self._pairs(tuples[:, lefts & before], tuples[:, rights & ~before])
+            else:
+                found = self._found(tuples[:, ready], counts, batches, key[0] == 0)
+                if self.block is not None:  # a row of no matches in each block, so that no bucket's stamp is missing
+                    none = np.array([[-1], [batches[0, 0] // (2 * self.block) * 2 * self.block], [0], [0]])
+                    found = np.hstack([found, none])
+                counted.append(np.vstack([found, np.full(found.shape[1], time.time_ns() // 1000)]))
+            held, stored = tuples[:, keep], np.append(stored, np.zeros(end - at, bool))[keep]
+        if not self.rows:
+            win, arr, matches, closed, us = np.hstack(counted)
+            table = pd.DataFrame({"win": win, "arr": arr, "matches": matches, "closed": closed == 1})
+            yield table if self.block is None else table.assign(us=us)
         if self.width is not None:
             self.stand.update(stand)
-        if int(held["stored"].sum()) == stored:
-            fresh = held[~held["stored"]]  # nothing was closed: only what is new is written
-            if len(fresh):
-                self.held.appendList(_packed(fresh))
-        elif len(held):
+        if int(stored.sum()) == size:
+            if not stored.all():
+                self.held.appendList(_packed(held[:, ~stored]))  # nothing was closed: only what is new is written
+        elif held.shape[1]:
             self.held.put(_packed(held))
         else:
             self.held.clear()
