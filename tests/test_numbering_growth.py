@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidejoin.model import JoinSpec
 from tidejoin.operators import join
+from tidejoin.operators.windows import assign_windows
 from tidejoin.sources import sequence
 from tidejoin.sources.sequence import batched, line_tuples
 
@@ -36,3 +37,16 @@ def test_large_tables_are_numbered_once(spark):
     tuples = batched(line_tuples(spark, "/root/testdata/sf0.001"), 16, ranges=4)
     plan = join.skew_join(tuples, JoinSpec(16, 64))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "RepartitionByExpression" not in plan
+
+
+def test_a_skewed_join_has_partitions_for_its_rows(spark, monkeypatch):
+    """A hash table can't spill, so its rows are bounded whatever the session's partitions; the rows stay the same."""
+    tuples = batched(line_tuples(spark, "/root/testdata/sf0.001"), 16, ranges=4)
+    rows = lambda: join.skew_join(tuples, JoinSpec(16, 64)).select("win", *join.RESULT)
+    plain = rows()
+    monkeypatch.setattr(join, "TASK_ROWS", 100)
+    dealt = rows()
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    n = -(-assign_windows(tuples, JoinSpec(16, 64)).count() // 100)
+    assert n > 8 and plan.count(f", {n})") >= 2 and "ENSURE_REQUIREMENTS" not in plan and "ShuffledHashJoin" in plan
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect())) != []

@@ -12,6 +12,8 @@ from .windows import assign_windows, sides
 RESULT = ("lkey", "rkey", "lval", "rval", "lts", "rts")
 WORD = 32  # right tuples in a bitmap word
 HYBRID_SALTS = 8
+#: Tuples of both sides that a task of a skewed join takes, about: its hash table can't spill.
+TASK_ROWS = 1 << 20
 
 
 def _dealt(left: DataFrame, right: DataFrame, tuples: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame]:
@@ -50,12 +52,16 @@ def window_join(tuples: DataFrame, spec: JoinSpec) -> DataFrame:
 
 
 def skew_join(tuples: DataFrame, spec: JoinSpec, tasks: int | None = None) -> DataFrame:
-    """window_join() with hot keys split over tasks (see skew.py), for rows; counts need no pairs (count_by_window)."""
+    """window_join() with hot keys split over tasks (see skew.py), for rows; counts need no pairs (count_by_window).
+    Large inputs are dealt into as many partitions as keep a task's hash table small."""
     placed = assign_windows(tuples, spec)
     hot = hot_keys(placed, tasks)
     left, right = sides(placed)
     left = with_cells(left.where("lkey is not null"), hot, "win", "lkey", "lseq", True, "lkey_salt")
     right = with_cells(right.where("rkey is not null"), hot, "rwin", "rkey", "rseq", False, "rkey_salt")
+    parts = -(-placed.count() // TASK_ROWS)
+    if parts > int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(parts, "win", "lkey", "lkey_salt"), right.repartition(parts, "rwin", "rkey", "rkey_salt")
     return _joined(left, right, spec)
 
 
