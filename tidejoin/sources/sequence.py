@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scratch import cut
 
 #: Tables of up to SMALL_ROWS tuples are numbered by one window a side; larger ones by ranges of the arrival order, of
-#: about RANGE_ROWS each. Tables up to SMALL_BYTES by Catalyst's estimate (compressed) are small without being counted.
+#: about RANGE_ROWS each. SMALL_BYTES decides nothing any more: compressed bytes don't bound rows. A test still sets it.
 SMALL_BYTES, SMALL_ROWS, RANGE_ROWS, MOST_RANGES = 4 << 20, 1 << 20, 1 << 18, 8192
 
 LEFT_EVENTS = ("click", "view")
@@ -28,13 +28,14 @@ def line_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_suppkey").alias("key"), (8 * F.col("l_orderkey") + F.col("l_linenumber")).alias("val"), F.col("l_shipdate").alias("ts"), side.alias("side"))
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _ranges(tuples: DataFrame) -> int:
-    """Ranges that a table is numbered by; 0 for one window a side."""
-    if _estimated_bytes(tuples) <= SMALL_BYTES or (n := tuples.count()) <= SMALL_ROWS:
+    """Ranges that a table is numbered by; 0 for one window a side.
+
+    Rows decide, never bytes: a steady stream of millions of tuples may take a few kilobytes of Parquet. Tables whose
+    rows the plan itself bounds (generated ones, limits) aren't counted unless the bound is larger.
+    """
+    bound = tuples._jdf.queryExecution().optimizedPlan().maxRows()
+    if (bound.isDefined() and bound.get() <= SMALL_ROWS) or (n := tuples.count()) <= SMALL_ROWS:
         return 0
     return min(MOST_RANGES, max(8, -(-n // RANGE_ROWS)))
 
