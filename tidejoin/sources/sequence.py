@@ -9,7 +9,10 @@ from .scratch import cut
 
 #: Tables of up to SMALL_ROWS tuples are numbered by one window a side; larger ones by ranges of the arrival order, of
 #: about RANGE_ROWS each. SMALL_BYTES decides nothing any more: compressed bytes don't bound rows. A test still sets it.
-SMALL_BYTES, SMALL_ROWS, RANGE_ROWS, MOST_RANGES = 4 << 20, 1 << 20, 1 << 18, 8192
+#: MOST_RANGES is the default of spark.shuffle.sort.bypassMergeThreshold: a task that deals to more partitions first holds
+#: all that it read, which is a whole file if that is one row group. So from 52 M tuples on ranges grow instead; each is
+#: one sort, which spills.
+SMALL_BYTES, SMALL_ROWS, RANGE_ROWS, MOST_RANGES = 4 << 20, 1 << 20, 1 << 18, 200
 
 LEFT_EVENTS = ("click", "view")
 
