@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by tiled exact comparison.
+"""SimHash near-duplicates: by tiled exact comparison, or within bands of shared minima.
 
 A fingerprint has 64 bits for each of ``words`` hash words. Distinct fingerprints are sorted into cells by the
 population counts of their four 16-bit quarters, packed into tiles, and each tile is compared with the tiles whose
@@ -7,8 +7,15 @@ so skipped tile pairs hold no link. Within a tile pair the same bound skips pair
 numpy exclusive-or and bit counts. A tile pair yields a spanning forest of its links, never all of them, so a group of
 thousands of copies costs no more rows than its members; the forests' components are the links' components.
 
-``verified_roots`` holds such components against the shingle sets themselves: within each, all pairs of distinct sets
-that aren't joined yet are compared exactly, in blocks of a bounded number of shingles, each pair of blocks once.
+Such comparisons grow with the square of the fingerprints. ``banded_groups`` grows with the texts: a text has BANDS keys,
+each made of BAND_ROWS minima of its shingle hashes under as many orders, and texts that share a key are one group. Two
+sets of Jaccard index s share a band with probability s ** BAND_ROWS, so (1 - s ** BAND_ROWS) ** BANDS of the pairs share
+none: 5 of a million at 0.8, 1 of ten million at 0.85. A key gives a link from each of its texts to its smallest doc_id,
+so a key that many texts hold makes no pairs.
+
+``verified_roots`` holds groups against the texts: within each, the pairs of distinct shingle sets that aren't joined yet
+and whose SimHash fingerprints differ in at most ``radius`` bits are compared exactly, in blocks of a bounded number of
+shingles, each pair of blocks once.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; equal fingerprints are one
 component; rows with equal doc_id are told apart only by what they hold; a null doc_id has a null component; texts of
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,8 @@ SEED = 42
 #: A table makes about TILES tiles, of at least MIN_TILE and at most MAX_TILE fingerprints, compared in sub-tiles of
 #: SUB. What tile pairs shuffle is TILES times the fingerprints until tiles reach MAX_TILE, which bounds a task's memory.
 TILES, MIN_TILE, MAX_TILE, SUB = 16, 4096, 1 << 17, 256
+#: Keys of a text, and minima in each.
+BANDS, BAND_ROWS = 40, 6
 #: Shingles, about, in a block of a component's sets.
 BLOCK_SHINGLES = 1 << 19
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
@@ -63,9 +73,12 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1, distinct: bool = False) -> list[int]:
     """distinct: a repeated shingle counts once."""
     h = shingles(text, shingle)
+    return _of_hashes(np.unique(h) if distinct else h, words)
+
+
+def _of_hashes(h: np.ndarray, words: int) -> list[int]:
     if not len(h):
         return [0] * words
-    h = np.unique(h) if distinct else h
     out = [_majority(h)]
     for k in range(1, words):
         x = h * np.uint64(_MIX[(k - 1) % 4]) + np.uint64(k)
@@ -74,6 +87,72 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1, distinct: bo
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@cache
+def _odd(n: int, salt: int) -> np.ndarray:
+    """Odd numbers that look random."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_MIX[0]) + np.uint64(salt)) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the same runs of words as ``shingles``, made of one hash a word: about half the time."""
+    from xxhash import xxh64_intdigest
+
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    word = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
+    n, h = max(1, len(found) - shingle + 1), np.uint64(min(shingle, len(found)))
+    for k, odd in enumerate(_odd(shingle, SEED)[: len(found)]):
+        h = h + word[k : k + n] * odd
+    return _mixed(h)
+
+
+@cache
+def _orders(n: int) -> np.ndarray:
+    return (_odd(n, SEED + 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingle hashes, repeats allowed; the empty set has keys of its own."""
+    n = BANDS * BAND_ROWS
+    least, x = np.full(n, 0xFFFFFFFF, np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(x), 256):  # a product with an odd number is another order of the 32-bit numbers
+        np.minimum(least, (x[k : k + 256, None] * _orders(n)).min(axis=0), out=least)
+    return _mixed((least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _odd(BAND_ROWS, SEED + 2)).sum(axis=1) + _odd(BANDS, SEED + 3))
+
+
+def _bands(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in batches:
+            keys = [band_keys(shingle_hashes(x, shingle)).view(np.int64) for x in b.column(1).to_pylist()]
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column(0), rows], names=["doc_id", "keys"])
+
+    return run
+
+
+def banded_groups(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts (doc_id, text), each doc_id once, to (doc_id, component_id): the texts that share a key with another, and
+    the smallest doc_id reachable by shared keys."""
+    spark = texts.sparkSession
+    prepare(spark)
+    held, path = cut(texts.select("doc_id", "text").mapInArrow(_bands(shingle), "doc_id long, keys array<long>"), "bands")
+    keys = held.select("doc_id", F.explode("keys").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head != last").select("key", "head")
+    root = components(keys.join(heads.hint("merge"), "key").where("doc_id != head").select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
+    drop(spark, path)
+    return root.union(root.select("root", "root").distinct()).toDF("doc_id", "component_id")
+
+
 def _fingerprints(shingle: int, words: int, distinct: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -277,24 +356,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, radius: i
     return fps.join(placed, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _sets(shingle: int):
-    """(doc_id, component_id, text) to the text's shingle set, its size and digest."""
+def _sets(shingle: int, words: int):
+    """(doc_id, component_id, text) to the text's shingle set, its size, digest and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            sets = [np.unique(shingles(x, shingle)) for x in b.column(2).to_pylist()]
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in b.column(2).to_pylist()]
             blobs = [x.astype("<u8").tobytes() for x in sets]
-            columns = [b.column(0), b.column(1), pa.array([hashlib.md5(x).digest() for x in blobs], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "component_id", "digest", "n", "hashes"])
+            fps = [np.asarray(_of_hashes(x, words), "<u8").tobytes() for x in sets]
+            columns = [b.column(0), b.column(1), pa.array([hashlib.md5(x).digest() for x in blobs], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "component_id", "digest", "n", "fp", "hashes"])
 
     return run
 
 
-def links_of_sets(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
-    """Spanning links of the pairs of sets with a Jaccard index of at least ``threshold``.
+def links_of_sets(sets: list[np.ndarray], side: np.ndarray, threshold: float, fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Spanning links of the pairs of sets with a Jaccard index of at least ``threshold`` and fingerprints within ``radius``.
 
-    side: 0 or 1 for each set; if both occur, only pairs across count.
+    side: 0 or 1 for each set; if both occur, only pairs across count. fps: [n, words] of uint64.
     """
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     n = np.asarray([len(x) for x in sets], np.int64)
@@ -308,6 +388,7 @@ def links_of_sets(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
         if across:
             open_ &= side[a + 1 :] != side[a]
         others = np.flatnonzero(open_) + a + 1
+        others = others[np.bitwise_count(fps[others] ^ fps[a]).sum(axis=1, dtype=np.int64) <= radius]
         if not len(others):
             continue
         mark[parts[a]] = True
@@ -322,13 +403,14 @@ def links_of_sets(sets: list[np.ndarray], side: np.ndarray, threshold: float) ->
     return u, v
 
 
-def _verify(threshold: float):
-    """Rows (component_id, lo, hi, block, doc_id, hashes) sorted by the first three to links."""
+def _verify(threshold: float, radius: int):
+    """Rows (component_id, lo, hi, block, doc_id, fp, hashes) sorted by the first three to links."""
 
-    def of(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        blocks, ids, blobs = zip(*rows, strict=True)
+    def of(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        blocks, ids, fps, blobs = zip(*rows, strict=True)
         side = np.asarray(blocks)
-        u, v = links_of_sets([np.frombuffer(x, "<u8") for x in blobs], side, threshold)
+        fp = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+        u, v = links_of_sets([np.frombuffer(x, "<u8") for x in blobs], side, threshold, fp, radius)
         if u:
             ids = np.asarray(ids, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
@@ -337,7 +419,7 @@ def _verify(threshold: float):
         release()
         key, held = None, []
         for b in batches:
-            for c, lo, hi, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            for c, lo, hi, *row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
                 if key != (c, lo, hi):
                     if len(held) > 1 and (key[1] == key[2] or len({x[0] for x in held}) > 1):
                         yield from of(held)
@@ -349,25 +431,25 @@ def _verify(threshold: float):
     return run
 
 
-def verified_roots(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def verified_roots(texts: DataFrame, shingle: int, threshold: float, words: int, radius: int) -> DataFrame:
     """texts (doc_id, component_id, text) to (node, root) as components() gives them.
 
-    Links are all pairs within a component whose shingle sets have a Jaccard index of at least ``threshold``; equal
-    sets, empty ones too, are linked.
+    Links are all pairs within a component whose fingerprints of ``words`` words lie within ``radius`` and whose shingle
+    sets have a Jaccard index of at least ``threshold``; equal sets, empty ones too, are linked.
     """
     spark = texts.sparkSession
     prepare(spark)
-    sets, sets_path = cut(texts.select("doc_id", "component_id", "text").mapInArrow(_sets(shingle), "doc_id long, component_id long, digest binary, n long, hashes binary"), "sets")
+    sets, sets_path = cut(texts.select("doc_id", "component_id", "text").mapInArrow(_sets(shingle, words), "doc_id long, component_id long, digest binary, n long, fp binary, hashes binary"), "sets")
     reps, reps_path = cut(sets.groupBy("component_id", "digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "distinct")
     same = sets.select("doc_id", "component_id", "digest").join(reps, ["component_id", "digest"]).where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     blocks = reps.groupBy("component_id").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("m > 1")
     block = F.pmod(F.xxhash64("rep", "digest"), F.greatest("blocks", F.lit(1))).cast("int")
     placed = reps.join(blocks, "component_id").select("component_id", "digest", F.col("rep").alias("doc_id"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("o"))
     ends = placed.select("component_id", "digest", "doc_id", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block")
-    rows = ends.join(sets.select("doc_id", "digest", "component_id", "hashes"), ["doc_id", "digest", "component_id"])
+    rows = ends.join(sets.select("doc_id", "digest", "component_id", "fp", "hashes"), ["doc_id", "digest", "component_id"])
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.select("component_id", "lo", "hi", "block", "doc_id", "hashes").repartition(4 * n, "component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi")
-    root = components(dealt.mapInArrow(_verify(threshold), "u long, v long").union(same))  # a table of its own
+    dealt = rows.select("component_id", "lo", "hi", "block", "doc_id", "fp", "hashes").repartition(4 * n, "component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi")
+    root = components(dealt.mapInArrow(_verify(threshold, radius), "u long, v long").union(same))  # a table of its own
     drop(spark, sets_path)
     drop(spark, reps_path)
     return root
