@@ -13,8 +13,9 @@ seed, or only one and that common, and what lies beyond a passage (the item's le
 either side). Recall against all alignments over the threshold is tested: 0.99 or more on random edits.
 
 Texts are keyed by digest, since a match depends on the text alone: equal texts are aligned once and share the result.
-Documents are scanned twice, whatever the number of items. Seeds are broadcast up to BROADCAST_SEEDS rows, and shuffled
-beyond that; both joins give the same rows. There is no cap on hits, passages or partners.
+Documents are scanned twice, whatever the number of items; the second time only texts with a candidate are split into
+words. Seeds and the keys of these texts are broadcast up to BROADCAST_SEEDS rows, and shuffled beyond that; both joins
+give the same rows. There is no cap on hits, passages or partners.
 
 Defined results: a null or wordless text is clean; items with fewer than NGRAM words, or null, match nothing; an item
 with a null item_id is one like any other; items of one text or one item_id are separate, and a pair of a document and an
@@ -60,11 +61,17 @@ def word_ids(text: Column) -> Column:
 
 def _with_grams(df: DataFrame, *columns: str) -> DataFrame:
     """df (ids, ...) to columns, at, seed: the place and hash of every n-gram of SHAPES; at the end, of the words there are."""
-    ids = F.col("ids")
-    place = lambda x, i: F.array(*(F.xxhash64(F.lit(k), x, *(F.get(ids, i + o) for o in shape[1:])) for k, shape in enumerate(SHAPES)))
-    grams = F.flatten(F.transform(F.slice(ids, 1, F.greatest(F.size(ids) - (NGRAM - 1), F.lit(0))), place))
-    # The outer form, since the filter that an inner one implies would be pushed to where ids are made, once for each gram.
-    return df.select(*columns, F.posexplode_outer(grams).alias("pos", "seed")).select(*columns, F.expr(f"pos div {len(SHAPES)}").cast("int").alias("at"), "seed")
+    # Places are numbered and n-grams taken from ids, row by row in compiled code; as a list of n-grams made by transform()
+    # each would be interpreted. The outer form, since the filter that an inner one implies would be pushed to where ids are made.
+    n = F.size("ids") - (NGRAM - 1)
+    numbers = F.when(n > 0, F.sequence(F.lit(0), len(SHAPES) * n - 1))
+    numbered = df.select(*columns, "ids", F.explode_outer(numbers).alias("_number")).where("_number is not null")
+    at = F.expr(f"_number div {len(SHAPES)}").cast("int")
+    grams = [F.xxhash64(F.lit(k), *(F.get("ids", at + o) for o in shape)) for k, shape in enumerate(SHAPES)]
+    seed = grams[-1]
+    for k in reversed(range(len(SHAPES) - 1)):
+        seed = F.when(F.col("_number") % len(SHAPES) == k, grams[k]).otherwise(seed)
+    return numbered.select(*columns, at.alias("at"), seed.alias("seed"))
 
 
 def _with_chunks(texts: DataFrame, over: int) -> tuple[DataFrame, int]:
@@ -149,7 +156,7 @@ def _search(threshold: float):
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
-    """A table of a row a seed or item: broadcast up to BROADCAST_SEEDS rows, shuffled beyond."""
+    """A table of a row a seed, item or text with a candidate: broadcast up to BROADCAST_SEEDS rows, shuffled beyond."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_SEEDS else rows.hint("merge")
 
 
@@ -179,6 +186,10 @@ def find_text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     candidates, candidates_path = cut(spans, "candidates")
     drop(docs.sparkSession, seeds_path)
     drop(docs.sparkSession, hits_path)
+    # Only texts with a candidate are split again, and cut into stretches.
+    wanted, wanted_path = cut(candidates.select("key").distinct(), "wanted")
+    keyed = docs.select(text_key(F.col("text")).alias("key"), "text").join(_bounded(wanted), "key", "left_semi")
+    texts = keyed.select("key", word_ids(F.col("text")).alias("ids"))
     # Candidates grow with the documents, so the plan that shuffles both sides is taken at every size.
     longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
     chunks, step = _with_chunks(texts, longest + 3 * max(6, longest // 4))
@@ -191,6 +202,7 @@ def find_text_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
     once = possible.groupBy("key", "item", "start").agg(F.first("passage").alias("passage"), F.first("words").alias("words"))
     found, _ = cut(once.mapInArrow(_search(threshold), MATCHES), "matches")
     drop(docs.sparkSession, candidates_path)
+    drop(docs.sparkSession, wanted_path)
     best = F.min(F.struct((-F.col("score")).alias("order"), "first_word", "n_words")).alias("m")
     named = found.join(items.select("item", "item_id"), "item")
     return named.groupBy("key", "item_id").agg(best).select("key", "item_id", (-F.col("m.order")).alias("score"), "m.first_word", "m.n_words")
